@@ -5,10 +5,11 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cataloom.llm import exact_dedup, pii, sharding
+from cataloom.llm import exact_dedup, lang_id, pii, piece_codec, sharding
 from cataloom.session import ship_package
 
 
@@ -30,6 +31,13 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    trees = lang_id.train(docs.where(~lang_id.is_held_out(F.col("doc_id"))))
+    found = lang_id.identify(docs.select("doc_id", "text"), trees)
+    return found.select("doc_id", lang_id.is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find_personal_data(docs)
@@ -42,6 +50,12 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.rendered(base), 256).alias("base_sha256"), pii.rendered(F.col("pii_spans")).alias("spans"), F.array_max(F.transform("pii_spans", lambda s: s["score"])).alias("top_score"))
 
 
+def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = piece_codec.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 ORACLES = {
     "op7_exact_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cataloom.llm import exact_dedup, exact_topk, html_main, lang_id, pii, piece_codec, sharding
+from cataloom.llm import exact_dedup, exact_topk, html_main, lang_id, mixing, pii, piece_codec, quality, sharding
 from cataloom.session import ship_package
 
 
@@ -17,6 +17,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, quality.fit(docs)).select("doc_id", "votes", "posterior", "score", "keep")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
@@ -31,6 +36,10 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract_main_text(pages)
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -66,6 +75,17 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES = {
+    "op4_source_mixing": """
+        WITH RECURSIVE n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+        r AS (SELECT source, (SELECT CAST(sum(n) AS DOUBLE) FROM n) * (1.0::DOUBLE / (SELECT count(*) FROM n)) / n AS rate FROM n),
+        q AS (SELECT source, rate, CAST(greatest(ceil(rate / 256), 1) AS INTEGER) AS parts FROM r),
+        c AS (SELECT source, 0 AS k, exp(-rate / parts) AS p, exp(-rate / parts) AS cdf, rate / parts AS l FROM q
+              UNION ALL SELECT source, k + 1, p * l / (k + 1), cdf + p * l / (k + 1), l FROM c WHERE k < ceil(l + 12 * sqrt(l)) + 24),
+        d AS (SELECT d.*, q.rate, CAST('0x' || substr(md5('17:' || d.doc_id || ':' || t.part), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
+              FROM documents d JOIN q ON d.source IS NOT DISTINCT FROM q.source, LATERAL (SELECT unnest(range(1, q.parts + 1)) AS part) t),
+        x AS (SELECT d.doc_id, any_value(d.text) AS text, any_value(d.lang) AS lang, any_value(d.source) AS source, any_value(d.n_chars) AS n_chars, any_value(d.rate) AS rate,
+                     CAST(count(c.k) AS INTEGER) AS n_copies FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source AND c.cdf <= d.u GROUP BY d.doc_id)
+        SELECT doc_id, text, lang, source, n_chars, CAST(unnest(range(1, n_copies + 1)) AS INTEGER) AS copy, n_copies, rate FROM x""",
     "op5_exact_topk": """
         WITH v AS (SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

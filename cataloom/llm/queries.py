@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cataloom.llm import exact_dedup, exact_topk, html_main, lang_id, mixing, pii, piece_codec, quality, sharding
+from cataloom.llm import exact_dedup, exact_topk, html_main, lang_id, mixing, near_dedup, pii, piece_codec, quality, sharding
 from cataloom.session import ship_package
 
 
@@ -44,6 +44,11 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.mark_near_duplicates(docs.select("doc_id", "text")).select("doc_id", "class_id", "kept")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.mark_duplicates(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")

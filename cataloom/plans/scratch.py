@@ -1,0 +1,37 @@
+"""Tables written to the folder that driver and executors share, to cut long lineages."""
+
+from __future__ import annotations
+
+import atexit
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_held: list[tuple[SparkSession, str]] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or a local folder of this application where it is unset."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return (root or f"/tmp/checkpoints/{spark.sparkContext.applicationId}").rstrip("/")
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df written as Parquet and read back; deleted when the driver ends."""
+    path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _held:
+        atexit.register(release)
+    _held.append((df.sparkSession, path))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release() -> None:
+    """Delete what written() has left."""
+    while _held:
+        spark, path = _held.pop()
+        try:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the session has ended; the files are scratch
+            return

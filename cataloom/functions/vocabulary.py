@@ -11,13 +11,16 @@ from cataloom.functions.text import first_rule
 
 # Material synonyms and the order in which materials are named.
 MEDIUMS = {
-    "oil": "oil", "oil paint": "oil", "oils": "oil", "tempera": "tempera", "egg tempera": "tempera", "acrylic": "acrylic", "acrylic paint": "acrylic",
-    "watercolor": "watercolour", "watercolour": "watercolour", "gouache": "gouache", "distemper": "distemper", "encaustic": "encaustic", "wax": "encaustic",
-    "ink": "ink", "chalk": "chalk", "charcoal": "charcoal", "pastel": "pastel", "pencil": "pencil", "graphite": "graphite", "crayon": "crayon", "gold": "gold", "gold leaf": "gold", "silver": "silver",
+    "oil": "oil", "oils": "oil", "oil paint": "oil", "oil colour": "oil", "oil color": "oil", "tempera": "tempera", "egg tempera": "tempera",
+    "acrylic": "acrylic", "acrylic paint": "acrylic", "watercolor": "watercolour", "watercolour": "watercolour", "watercolor paint": "watercolour",
+    "watercolour paint": "watercolour", "gouache": "gouache", "distemper": "distemper", "encaustic": "encaustic", "wax": "encaustic", "ink": "ink",
+    "chalk": "chalk", "charcoal": "charcoal", "pastel": "pastel", "pencil": "pencil", "graphite": "graphite", "crayon": "crayon", "gold": "gold",
+    "gold leaf": "gold", "silver": "silver",
 }
 SUPPORTS = {
-    "canvas": "canvas", "linen": "canvas", "panel": "panel", "wood": "panel", "wood panel": "panel", "poplar": "panel", "oak": "panel", "board": "board", "cardboard": "board", "masonite": "board",
-    "paper": "paper", "copper": "copper", "vellum": "vellum", "parchment": "vellum", "ivory": "ivory", "plaster": "plaster",
+    "canvas": "canvas", "linen": "canvas", "panel": "panel", "wood": "panel", "wood panel": "panel", "timber": "panel", "poplar": "panel", "oak": "panel",
+    "mahogany": "panel", "walnut": "panel", "board": "board", "paperboard": "board", "cardboard": "board", "millboard": "board", "hardboard": "board",
+    "masonite": "board", "cardstock": "board", "paper": "paper", "copper": "copper", "vellum": "vellum", "parchment": "vellum", "ivory": "ivory", "plaster": "plaster",
 }
 MEDIUM_ORDER = ("oil", "tempera", "acrylic", "watercolour", "gouache", "distemper", "encaustic", "ink", "chalk", "charcoal", "pastel", "pencil", "graphite", "crayon", "gold", "silver")
 SUPPORT_ORDER = ("canvas", "panel", "board", "paper", "copper", "vellum", "ivory", "plaster")

@@ -9,6 +9,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _fold_table() -> tuple[str, str]:
@@ -84,7 +85,7 @@ def ordered_containment(short: Column, long: Column) -> Column:
     return F.when(F.size(short) == 0, 0.0).otherwise(found / F.size(short))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Ratcliff-Obershelp similarity of two strings; for candidates that an equi-join has blocked."""
     matcher = SequenceMatcher(None)

@@ -138,7 +138,7 @@ def read_coverage(spark: SparkSession, path: str) -> DataFrame:
 
 def markdown_rows(lines: DataFrame, least_columns: int = 4) -> DataFrame:
     """cells of table rows among lines (value): rulers and rows with too few cells drop out."""
-    cells = F.transform(F.split(F.trim(F.lit("|"), F.trim("value")), r"\|"), lambda c: F.trim(c))
+    cells = F.transform(F.split(F.trim(F.trim("value"), F.lit("|")), r"\|"), lambda c: F.trim(c))
     return lines.where(F.ltrim("value").startswith("|") & ~F.col("value").rlike(r"^\s*\|[\s:|-]+\|?\s*$")).select(cells.alias("cells")).where(F.size("cells") >= least_columns)
 
 

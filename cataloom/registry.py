@@ -14,7 +14,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 _OPERATORS: dict[str, str] = {}
 #: Modules that register queries.
-_MODULES = ("queries_scans",)
+_MODULES = ("queries_scans", "queries_filters", "queries_windows")
 
 
 def _load() -> None:

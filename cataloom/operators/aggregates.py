@@ -89,7 +89,7 @@ def completeness(works: DataFrame, ledger: str, baseline: Sequence[str]) -> Data
     """field, one column per status, and the share available: ledger fields and baseline fields; a missing entry isn't researched."""
     n_works = works.count()
     entries = works.select(F.explode(ledger).alias("field", "entry")).select("field", F.col("entry.status").alias("status"))
-    counts = entries.groupBy("field").pivot("status", list(STATUSES)).agg(F.count("*")).fillna(0)
+    counts = entries.groupBy("field").pivot("status", list(STATUSES)).agg(F.count(F.lit(1))).fillna(0)
     base = works.sparkSession.createDataFrame([(f,) for f in baseline], "field string")
     full = counts.join(base, "field", "full_outer").fillna(0)
     recorded = sum((F.col(s) for s in STATUSES), F.lit(0))

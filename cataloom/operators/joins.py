@@ -79,7 +79,7 @@ def hamming_pairs(left: DataFrame, right: DataFrame, threshold: int, bits: int =
     edges = [bits * k // n_bands for k in range(n_bands + 1)]
 
     def banded(rows: DataFrame, side: str) -> DataFrame:
-        bands = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(F.shiftleft(F.col(hash_col), bits - hi), bits - hi + lo).alias("value")) for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))])
+        bands = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(F.shiftleft(F.col(hash_col), 64 - hi), 64 - hi + lo).alias("value")) for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))])
         return rows.select(F.col(id_col).alias(f"{side}_id"), F.col(hash_col).alias(f"{side}_hash"), F.explode(bands).alias("b")).select(f"{side}_id", f"{side}_hash", "b.band", "b.value")
 
     met = banded(left, "left").join(banded(right, "right"), ["band", "value"])
@@ -87,12 +87,12 @@ def hamming_pairs(left: DataFrame, right: DataFrame, threshold: int, bits: int =
     return near.select("left_id", "right_id", "distance").distinct()
 
 
-def layered_dedup(candidates: DataFrame, archive: DataFrame, phash_threshold: int = 3, title_threshold: float = 0.85) -> DataFrame:
+def layered_dedup(candidates: DataFrame, archive: DataFrame, phash_threshold: int = 3, title_threshold: float = 0.85, bits: int = 64) -> DataFrame:
     """candidate_id, archive_id, layer and verdict, the cheapest decisive layer first. Both: id, digest, hash, artist, title."""
     sha = candidates.join(archive.select(F.col("id").alias("archive_id"), "digest"), "digest").groupBy(F.col("id").alias("candidate_id")).agg(F.min("archive_id").alias("archive_id"))
     layers = [sha.select("candidate_id", "archive_id", F.lit("digest").alias("layer"), F.lit("duplicate").alias("verdict"))]
     rest = candidates.join(sha, candidates["id"] == sha["candidate_id"], "left_anti")
-    near = hamming_pairs(rest.where("hash IS NOT NULL"), archive.where("hash IS NOT NULL"), phash_threshold)
+    near = hamming_pairs(rest.where("hash IS NOT NULL"), archive.where("hash IS NOT NULL"), phash_threshold, bits)
     best = near.groupBy(F.col("left_id").alias("candidate_id")).agg(F.min_by("right_id", F.struct("distance", "right_id")).alias("archive_id"))
     layers.append(best.select("candidate_id", "archive_id", F.lit("hash").alias("layer"), F.lit("duplicate").alias("verdict")))
     rest = rest.join(best, rest["id"] == best["candidate_id"], "left_anti")

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from cataloom.functions import text
 from cataloom.functions.nested import append_event, blank_to_null
@@ -111,7 +112,7 @@ def near_duplicate_lines(lines: DataFrame, group: str, order: str, line: str, le
                 held.append(words)
         return rows.assign(duplicate=flags)
 
-    return lines.groupBy(group).applyInPandas(keep, lines.schema.add("duplicate", "boolean"))
+    return lines.groupBy(group).applyInPandas(keep, StructType([*lines.schema.fields, StructField("duplicate", BooleanType())]))
 
 
 def grouped_jobs(jobs: DataFrame, rules: DataFrame) -> DataFrame:

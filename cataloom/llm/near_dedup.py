@@ -36,6 +36,8 @@ CELLS_LOG2 = 22
 BLOCK, PIVOTS = 256, 4
 #: Steps of one unit of inverse document frequency that the table holds.
 IDF_STEPS = 8
+#: Identifiers that are broadcast at most; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 _CHUNK_BYTES = 1 << 20
 _CELL_CHUNK = 1 << 16
 
@@ -352,6 +354,11 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def broadcast_if_small(ids: DataFrame) -> DataFrame:
+    """ids, to be broadcast if there are few: then the table that they select from, with its texts, isn't shuffled."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _buckets(nodes: DataFrame) -> DataFrame:
     """bucket, node and size of buckets with two nodes or more. Of buckets with the same members the one of least number stays."""
     held = nodes.select("node", F.explode("buckets").alias("bucket"))
@@ -376,7 +383,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     large = members.where(F.col("size") > block)
     seen_by_all = large.groupBy("bucket", "size").agg(F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(PIVOTS)])).alias("pivots"))
     pivots = seen_by_all.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)).alias("block"), "pivots").select("bucket", "block", F.explode("pivots").alias("node"), F.lit(True).alias("asks"))
-    wanted = members.select("node").distinct()
+    wanted = broadcast_if_small(members.select("node").distinct())
     bodies = written(rows.select(F.col("id").alias("node"), "body").join(wanted, "node", "left_semi"), "bodies")
     repeated = sketches.join(named.select("k1", "k2", "node"), ["k1", "k2"]).select("id", "node")
     # A row that repeats an identifier with another text links the nodes of both.
@@ -415,5 +422,5 @@ def mark_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that stay, with the columns of docs."""
     classes = near_duplicate_classes(docs, id_col, text_col, threshold)
-    gone = classes.where("id <> class_id").select(F.col("id").alias("__near_id"))
+    gone = broadcast_if_small(written(classes.where("id <> class_id").select(F.col("id").alias("__near_id")), "gone"))
     return docs.join(gone, docs[f"`{id_col}`"].cast("long") == gone["__near_id"], "left_anti")

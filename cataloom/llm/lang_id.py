@@ -31,6 +31,8 @@ MAX_ORDER = 3
 #: A posterior is taken over code lengths divided by this: bytes of running text aren't independent evidence.
 TEMPERATURE = 8.0
 UNDETERMINED = "und"
+#: Identifiers of the sample that are broadcast at most.
+BROADCAST_IDS = 1_000_000
 _PAD = b"\0" * MAX_ORDER
 #: Bytes of text that are coded at once.
 _CHUNK = 1 << 19
@@ -173,12 +175,18 @@ def _counted(rows: pd.DataFrame) -> pd.DataFrame:
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> Trees:
     """Trees over the first train_docs labelled documents of each language in hash order. Texts of the sample alone are gathered, a language a task."""
     ids = labelled.where(labelled[f"`{lang_col}`"].isNotNull() & labelled[f"`{text_col}`"].isNotNull())
+    ids = ids.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text"))
     order = F.xxhash64(F.col("id").cast("string"))
-    ranked = ids.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(order, "id"))).where(f"rank <= {int(train_docs)}")
-    texts = ids.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text"))
-    # The sample holds train_docs identifiers a language at most.
-    sample = texts.join(ranked.select("id", "lang").distinct(), ["id", "lang"], "left_semi")
+    # The first of each salt, then the first of those: a language that most documents have isn't ranked by one task.
+    ranked = ids.select("id", "lang", order.alias("order")).distinct().withColumn("salt", F.pmod("order", F.lit(64)))
+    for keys in (["lang", "salt"], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("order", "id"))
+        ranked = ranked.withColumn("rank", rank).where(F.col("rank") <= int(train_docs)).drop("rank")
+    chosen = ranked.select("id", "lang")
+    n_languages = ids.select("lang").distinct().count()
+    if n_languages * train_docs <= BROADCAST_IDS:  # then the texts aren't shuffled
+        chosen = F.broadcast(chosen)
+    sample = ids.join(chosen, ["id", "lang"], "left_semi")
     found = sample.groupBy("lang").applyInPandas(_counted, "lang string, grams binary, counts binary, sizes array<long>").collect()
     counts = {}
     for row in found:

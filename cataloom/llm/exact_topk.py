@@ -43,7 +43,7 @@ def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors:
     cuts = list(range(0, n_dims, DIMENSIONS))
     exact = np.abs(queries).max(initial=0) * np.abs(vectors).max(initial=0) * n_dims < 2**52
     if not exact:  # too large for doubles to hold the sums
-        queries, vectors = queries.astype(np.int64), vectors.astype(np.int64)
+        queries, vectors = queries.astype(np.int64), vectors.astype(np.int64)  # scores must fit 64 bits
 
     def masses(rows: np.ndarray) -> np.ndarray:
         """Norm of what remains after each dimension block."""
@@ -56,8 +56,9 @@ def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors:
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for low in range(0, len(queries), BATCH):
         batch, batch_mass, batch_ids = queries[low : low + BATCH], query_mass[low : low + BATCH], query_ids[low : low + BATCH]
-        floor = np.full(len(batch), -np.inf)  # the k-th score so far
-        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        least = -np.inf if exact else np.iinfo(np.int64).min
+        floor = np.full(len(batch), least, dtype=batch.dtype)  # the k-th score so far
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, dtype=batch.dtype))
         at = 0
         while at < len(ids):
             alive = np.arange(at, min(len(ids), at + (STEP if at else max(256, 2 * k))))
@@ -66,7 +67,7 @@ def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors:
             for b, cut in enumerate(cuts):
                 score += batch[:, cut : cut + DIMENSIONS] @ vertical[cut : cut + DIMENSIONS, alive]
                 if b + 1 < len(cuts):
-                    bound = score + batch_mass[:, b : b + 1] * mass[alive, b]
+                    bound = score + batch_mass[:, b : b + 1] * mass[alive, b] + np.abs(score) * 1e-12
                     survives = (bound >= floor[:, None]).any(axis=0)
                     if not survives.all():
                         alive, score = alive[survives], np.ascontiguousarray(score[:, survives])

@@ -61,7 +61,7 @@ def _is_dropped(name: str, attributes: str) -> bool:
         if key in ("class", "id"):
             for token in value.split():
                 words = [w.lower() for w in _WORDS.findall(token)]
-                if words and words[0] not in NEGATED and (words[0] in names or words[-1] in names):
+                if words and NEGATED.isdisjoint(words) and (words[0] in names or words[-1] in names):
                     return True
         elif key == "role" and value.lower() in PART_ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             return True

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from cataloom.plans.scratch import written
 
@@ -116,23 +117,23 @@ def _fit_by_joins(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def closest_unasked(strengths: DataFrame, comparisons: DataFrame, k: int = 1) -> DataFrame:
-    """The k unasked pairs of neighbours in strength with the least gap.
+    """The k unasked pairs of a component with the least gap in strength.
 
-    The least gap of unasked pairs is looked for among neighbours at growing distance in the order of strength, as no
-    farther pair is closer than all nearer ones are; distances stop where k pairs are found.
+    Pairs are taken from neighbours in the order of strength, at growing distance. They suffice when the k-th gap found
+    is no greater than the least gap of the next distance, because gaps grow with distance.
     """
     asked = comparisons.select(F.least("winner", "loser").alias("a"), F.greatest("winner", "loser").alias("b")).distinct()
-    from pyspark.sql import Window
-
     order = Window.partitionBy("component").orderBy("strength", "item")
-    distance, found = 1, None
+    distance = 1
     while True:
-        ahead = F.struct(*[F.struct(F.lead("item", d).over(order).alias("item"), F.lead("strength", d).over(order).alias("strength")).alias(f"d{d}") for d in range(1, distance + 1)])
-        near = strengths.select("item", "strength", ahead.alias("h"))
-        pairs = near.select("item", "strength", F.explode(F.array(*[F.col(f"h.d{d}") for d in range(1, distance + 1)])).alias("o")).where("o.item IS NOT NULL")
-        pairs = pairs.select(F.least("item", "o.item").alias("a"), F.greatest("item", "o.item").alias("b"), F.abs(F.col("strength") - F.col("o.strength")).alias("gap"))
-        found = pairs.join(asked, ["a", "b"], "left_anti").orderBy("gap", "a", "b").limit(k)
-        if distance >= 64 or found.count() >= k:
+        steps = range(1, distance + 1)
+        ahead = F.array(*[F.struct(F.lead("item", d).over(order).alias("item"), F.lead("strength", d).over(order).alias("strength")) for d in steps])
+        near = strengths.select("item", "strength", ahead.alias("ahead")).select("item", "strength", F.explode("ahead").alias("o")).where("o.item IS NOT NULL")
+        pairs = near.select(F.least("item", "o.item").alias("a"), F.greatest("item", "o.item").alias("b"), F.abs(F.col("strength") - F.col("o.strength")).alias("gap"))
+        found = written(pairs.join(asked, ["a", "b"], "left_anti").orderBy("gap", "a", "b").limit(k), "pairs")
+        n, worst = found.agg(F.count("*"), F.max("gap")).first()
+        beyond = strengths.select((F.lead("strength", distance + 1).over(order) - F.col("strength")).alias("gap")).agg(F.min("gap")).first()[0]
+        if beyond is None or n == k and worst <= beyond:
             return found
         distance *= 2
 

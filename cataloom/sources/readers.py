@@ -28,20 +28,17 @@ RATING_SCHEMA = "work_id string, rater string, scheme string, surface string, ts
 
 def scan_works(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """Records below root (one meta.json a folder), keyed by folder, and the paths of unreadable ones."""
-    raw = (
-        spark.read.schema(f"{WORK_SCHEMA}, _corrupt string")
-        .options(multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", recursiveFileLookup=True, pathGlobFilter="meta.json")
-        .json(root)
-        .withColumn("path", F.col("_metadata.file_path"))
-        .withColumn("wid", F.element_at(F.split("path", "/"), -2))
-    )
-    return raw.where("_corrupt IS NULL").drop("_corrupt"), raw.where("_corrupt IS NOT NULL").select("wid", "path")
+    raw = spark.read.options(recursiveFileLookup=True, pathGlobFilter="meta.json").text(root, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    keyed = raw.withColumn("wid", F.element_at(F.split("path", "/"), -2)).withColumn("__v", F.try_parse_json("value"))
+    readable = F.col("__v").isNotNull() & F.schema_of_variant("__v").startswith("OBJECT")
+    good = keyed.where(readable).withColumn("__r", F.from_json("value", WORK_SCHEMA)).select("wid", "path", "__r.*")
+    return good, keyed.where(~F.coalesce(readable, F.lit(False))).select("wid", "path")
 
 
 def scan_record_files(spark: SparkSession, root: str) -> DataFrame:
     """Text of each meta.json at any depth and of each top-level *.json, once: path, value."""
-    deep = spark.read.options(recursiveFileLookup=True, pathGlobFilter="meta.json", wholetext=True).text(root).select(F.col("_metadata.file_path").alias("path"), "value")
-    top = spark.read.options(pathGlobFilter="*.json", wholetext=True).text(root).select(F.col("_metadata.file_path").alias("path"), "value")
+    deep = spark.read.options(recursiveFileLookup=True, pathGlobFilter="meta.json").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    top = spark.read.options(pathGlobFilter="*.json").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return deep.unionByName(top).dropDuplicates(["path"])
 
 
@@ -84,7 +81,7 @@ def scan_ndjson(spark: SparkSession, path: str, largest: int = 1 << 20) -> tuple
     whole_paths = per_file.where("n_good = 0").select("path")
     by_line = parsed.join(whole_paths, "path", "left_anti")
     bad = by_line.where(F.col("record").isNull() | ~is_object).select("path", F.when(F.col("record").isNull(), "invalid-json").otherwise("non-object-json").alias("reason"))
-    whole = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("path")).join(whole_paths, "path", "left_semi")
+    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path")).join(whole_paths, "path", "left_semi")
     judged = whole.withColumn("record", F.when(F.length("value") <= largest, F.try_parse_json("value")))
     reason = F.when(F.length("value") > largest, "legacy-json-fallback-buffer-limit").when(F.col("record").isNull(), "invalid-json").when(~F.schema_of_variant("record").rlike("^(OBJECT|ARRAY<OBJECT)"), "non-object-json")
     judged = judged.withColumn("reason", reason)
@@ -102,8 +99,9 @@ def scan_tolerant(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def scan_queues(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Queue documents (name, description, work_ids, n) and the paths of invalid ones."""
-    raw = spark.read.schema("name string, description string, work_ids array<string>, _corrupt string").options(multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt").json(path).withColumn("path", F.col("_metadata.file_path"))
-    return raw.where("_corrupt IS NULL").select("path", "name", "description", "work_ids", F.size("work_ids").alias("n")), raw.where("_corrupt IS NOT NULL").select("path")
+    raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path")).withColumn("__v", F.try_parse_json("value"))
+    good = raw.where("__v IS NOT NULL").withColumn("__q", F.from_json("value", "name string, description string, work_ids array<string>"))
+    return good.select("path", "__q.*").withColumn("n", F.size("work_ids")), raw.where("__v IS NULL").select("path")
 
 
 def read_yaml(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -131,7 +129,7 @@ def read_junit(spark: SparkSession, path: str) -> DataFrame:
 
 def read_coverage(spark: SparkSession, path: str) -> DataFrame:
     """file, covered, missing, percent of a coverage JSON document."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     files = F.from_json("value", "files map<string,struct<summary:struct<covered_lines:bigint,missing_lines:bigint,percent_covered:double>>>")["files"]
     return raw.select(F.explode(files).alias("file", "f")).select("file", F.col("f.summary.covered_lines").alias("covered"), F.col("f.summary.missing_lines").alias("missing"), F.col("f.summary.percent_covered").alias("percent"))
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def tail(spark: SparkSession, path: str, schema: str, file_format: str = "parquet", files_per_batch: int = 8, **options: str) -> DataFrame:
@@ -38,59 +38,44 @@ def sessions(events: DataFrame, ts: str, gap: str, late: str, keys: Sequence[str
     return events.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("w_start"), F.col("w.end").alias("w_end"), *keys, "n")
 
 
-class ExpiringLatest(StatefulProcessor):
-    """The latest payload of each key, forgotten when it has been silent for ttl_ms of processing time."""
+def expiring_latest(events: DataFrame, ttl_ms: int) -> DataFrame:
+    """key, ts, payload: the latest payload of each key of events (key, ts, payload), forgotten when it has been silent for ttl_ms of processing time."""
 
-    def __init__(self, ttl_ms: int) -> None:
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.latest = handle.getValueState("latest", "ts string, payload string", ttlDurationMs=self.ttl_ms)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held = self.latest.get() if self.latest.exists() else None
-        best = (held[0], held[1]) if held else ("", None)
-        for frame in rows:
+    def keep(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        best = state.get if state.exists else ("", None)
+        for frame in frames:
             for ts, payload in zip(frame["ts"], frame["payload"], strict=True):
                 if ts >= best[0]:
                     best = (ts, payload)
-        self.latest.update(best)
+        state.update(best)
+        state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame({"key": [str(key[0])], "ts": [best[0]], "payload": [best[1]]})
 
-    def close(self) -> None:
-        return None
-
+    return events.groupBy("key").applyInPandasWithState(keep, "key string, ts string, payload string", "ts string, payload string", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
-class Debounce(StatefulProcessor):
-    """Whether to dispatch: a first request, one after an error, or one whose pending predecessor has timed out."""
 
-    def __init__(self, pending_seconds: float) -> None:
-        self.pending_seconds = pending_seconds
+def debounced(requests: DataFrame, pending_seconds: float) -> DataFrame:
+    """key, at, dispatch for each request of (key, at, kind): a first one goes out, one after an error, or one whose pending predecessor has timed out."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("dispatch", "status string, at double")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        status, since = self.state.get() if self.state.exists() else (None, 0.0)
+    def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        status, since = state.get if state.exists else (None, 0.0)
         out = []
-        for frame in rows:
+        for frame in frames:
             for at, kind in zip(frame["at"], frame["kind"], strict=True):
                 if kind != "request":
                     status, since = kind, at
                     continue
-                go = status in (None, "error") or (status == "pending" and at - since >= self.pending_seconds)
+                go = status in (None, "error") or (status == "pending" and at - since >= pending_seconds)
                 out.append((str(key[0]), at, go))
                 if go:
                     status, since = "pending", at
-        self.state.update((status, float(since)))
+        state.update((status, float(since)))
         yield pd.DataFrame(out, columns=["key", "at", "dispatch"])
 
-    def close(self) -> None:
-        return None
-
-
-def with_state(events: DataFrame, key: str, processor: StatefulProcessor, schema: str, mode: str = "Update") -> DataFrame:
-    return events.groupBy(key).transformWithStateInPandas(processor, outputStructType=schema, outputMode=mode, timeMode="ProcessingTime")
+    return requests.groupBy("key").applyInPandasWithState(decide, "key string, at double, dispatch boolean", "status string, since double", "update", GroupStateTimeout.NoTimeout)
 
 
 def upsert_batches(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:

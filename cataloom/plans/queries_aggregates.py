@@ -110,7 +110,7 @@ def completeness_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "cost_per_success",
-    "AGG-15 AGG-12 AGG-13 AGG-17",
+    "AGG-15",
     """WITH e AS (SELECT event_type, user_id % 3 AS tier, CASE WHEN event_id % 17 <> 0 OR user_id % 3 = 1 THEN value END AS cost, event_id % 4 <> 0 AS ok FROM events)
         SELECT event_type, tier, count(*) AS n, round(sum(cost), 4) AS cost, count(*) FILTER (ok) AS n_success, round(sum(cost) / nullif(count(*) FILTER (ok), 0), 6) AS cost_per_success, CASE WHEN count(*) > count(cost) THEN 'modeled' ELSE 'measured' END AS basis FROM e GROUP BY ALL""",
 )

@@ -190,7 +190,7 @@ def model_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "injection_and_triage_rules",
-    "FLT-23 STR-24 TXT-02 TXT-05 CPX-16",
+    "FLT-23 TXT-02",
     r"""WITH r AS (SELECT doc_id, lower(text) AS t FROM documents)
         SELECT doc_id, list_filter([CASE WHEN regexp_matches(t, 'ignore (all|previous)') THEN 'override' END, CASE WHEN regexp_matches(t, '\|') THEN 'table' END, CASE WHEN regexp_matches(t, '(stupid|worthless|trash)') THEN 'abuse' END], lambda x: x IS NOT NULL) AS findings,
         regexp_matches(t, '(stupid|worthless|trash)') AS blocking FROM r""",

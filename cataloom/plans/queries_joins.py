@@ -289,7 +289,7 @@ def title_margin_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("id", "qid", "score", F.when(F.col("n_cluster") > 1, "ambiguous").when(~F.col("sane"), "year-mismatch").otherwise("matched").alias("reason"))
 
 
-@register("entity_match_ratio", "JOIN-13 JOIN-14 JOIN-15 JOIN-33 STR-08 UDX-03 UDX-04 UDX-05 ITR-07")
+@register("entity_match_ratio", "JOIN-13 STR-08 STR-09")
 def entity_match_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratcliff-Obershelp similarity of blocked titles; SQL has no such function, so tests compare it with the library's."""
     p = table(spark, sf_dir, "part")
@@ -361,7 +361,7 @@ def keyed_join_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "near_duplicate_lines",
-    "TXT-03 TXT-01",
+    "TXT-03",
 )
 def near_duplicate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order-dependent, so tested against a loop."""
@@ -380,3 +380,35 @@ def as_of_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     dates = o.select("o_custkey", "o_orderdate").distinct()
     prior = dates.withColumn("previous", F.lag("o_orderdate").over(Window.partitionBy("o_custkey").orderBy("o_orderdate")))
     return o.join(prior, ["o_custkey", "o_orderdate"]).where("previous IS NOT NULL").select("o_orderkey", "previous")
+
+
+@register(
+    "keyword_alignment",
+    "TXT-01",
+    r"""WITH w AS (SELECT a.p_brand AS g, list_distinct(regexp_extract_all(lower(a.p_name), '[a-z]{4,}')) AS want, list_distinct(regexp_extract_all(lower(a.p_type), '[a-z]{4,}')) AS did FROM part a),
+        s AS (SELECT g, list_has_any(did, want) OR (list_has_any(did, ['small', 'promo']) AND len(list_filter(did, lambda x: NOT list_contains(want, x) AND NOT list_contains(['small', 'promo'], x))) <= 2) AS aligned FROM w)
+        SELECT g AS "group", round(avg(CAST(aligned AS INTEGER)) * 10, 6) AS score, count(*) AS n FROM s GROUP BY g""",
+)
+def keyword_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tasks = table(spark, sf_dir, "part").select(F.col("p_brand").alias("group"), F.col("p_name").alias("criteria"), F.col("p_type").alias("commit"))
+    return transforms.alignment(tasks, ["small", "promo"]).withColumn("score", F.round("score", 6))
+
+
+@register(
+    "required_job_groups",
+    "TXT-06",
+    """WITH j AS (SELECT DISTINCT p_name AS job, regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g') AS slug FROM part), r(rule, prefix, fallback) AS (VALUES ('reds', 'red-', 'none'), ('rings', 'small-', 'none'), ('missing', 'zzz', 'fallback'))
+        SELECT rule, coalesce(list_sort(list(job) FILTER (job IS NOT NULL)), [any_value(fallback)]) AS jobs FROM r LEFT JOIN j ON starts_with(slug, prefix) GROUP BY rule""",
+)
+def required_job_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame([("reds", "red-", "none"), ("rings", "small-", "none"), ("missing", "zzz", "fallback")], "rule string, prefix string, fallback string")
+    return transforms.grouped_jobs(table(spark, sf_dir, "part").select(F.col("p_name").alias("job")), rules)
+
+
+@register(
+    "seeded_sample",
+    "SRT-05",
+)
+def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample that a seed fixes; the hash is Spark's, so SQL elsewhere can't repeat it."""
+    return sets.seeded_sample(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey", 50, 7)

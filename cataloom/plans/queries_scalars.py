@@ -77,7 +77,7 @@ def slug_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "html_text_triage",
-    "STR-24 SRC-19 STR-20",
+    "STR-24",
     """SELECT page_id, len(regexp_extract_all(html, '<p>')) AS n_paragraphs, len(list_distinct(regexp_extract_all(html, 'href="([^"]+)"', 1))) AS n_targets, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang,
         list_filter([CASE WHEN contains(html, 'track(') THEN 'tracker' END, CASE WHEN contains(html, 'class="ad"') THEN 'advert' END], lambda x: x IS NOT NULL) AS findings FROM pages""",
 )
@@ -181,7 +181,7 @@ def creator_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "checklists",
-    "STR-26 TXT-06 STR-13",
+    "STR-26",
     """SELECT conv_id, turn, ['Title ' || turn] AS headings, [turn % 2 = 0, true] AS done FROM conversations""",
 )
 def checklists(spark: SparkSession, sf_dir: str) -> DataFrame:

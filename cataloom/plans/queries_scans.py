@@ -65,7 +65,7 @@ def overflow_error_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "json_variant_bucket",
-    "AGG-19 FLT-22 SRC-24",
+    "AGG-19",
     """SELECT CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) >= 75 THEN 'high' WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) >= 25 THEN 'middle' ELSE 'low' END AS bucket,
         count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY 1""",
 )
@@ -175,7 +175,7 @@ def tag_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "fact_sentences",
-    "PRJ-06 PRJ-15 PRJ-17 PRJ-18",
+    "PRJ-06",
     f"""WITH {WORKS_SQL} SELECT work_id, list_filter([CASE WHEN artist IS NOT NULL THEN 'By ' || artist || '.' END, CASE WHEN year IS NOT NULL THEN 'Made in ' || year || '.' END, CASE WHEN genre IS NOT NULL THEN 'A ' || genre || '.' END], lambda x: x IS NOT NULL) AS facts FROM works""",
 )
 def fact_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,7 +249,7 @@ def reference_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "markdown_and_files",
-    "SRC-16 SNK-05 SNK-06 STR-26",
+    "SRC-16",
     r"""WITH l AS (SELECT n_nationkey, '| ' || n_name || ' | ' || n_nationkey || ' | ' || n_regionkey || ' | x |' AS value FROM nation)
         SELECT trim(string_split(trim(value, '|'), '|')[1]) AS name, CAST(trim(string_split(trim(value, '|'), '|')[2]) AS INTEGER) AS nation, 4 AS n_cells FROM l""",
 )

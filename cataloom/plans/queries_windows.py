@@ -89,7 +89,7 @@ def within_margin_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "recent_top_n",
-    "SRT-02 SRT-05 SRT-08 SRT-10 SRT-11 SRT-14",
+    "SRT-02",
     f"""WITH {RATINGS_SQL} SELECT row_id, work_id, ts FROM ratings ORDER BY ts DESC, row_id DESC LIMIT 20""",
 )
 def recent_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +107,7 @@ def most_common_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "identifier_order",
-    "SRT-17 SRT-13 SRT-16",
+    "SRT-17",
     """SELECT s_suppkey, row_number() OVER (ORDER BY CAST(substr('Q' || s_suppkey, 2) AS BIGINT), 'Q' || s_suppkey) AS place FROM supplier""",
 )
 def identifier_order(spark: SparkSession, sf_dir: str) -> DataFrame:

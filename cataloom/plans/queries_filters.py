@@ -31,6 +31,16 @@ def playlist_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return playlist.select_playlist(works(spark, sf_dir), _SPEC, _axes(spark, sf_dir))
 
 
+@register(
+    "playlist_by_fit",
+    "FLT-01 SRT-04 SRC-06 WIN-02",
+    f"""{_JUDGED_SQL} SELECT work_id, artist, genre, year, title, fit, quality, tags FROM j WHERE genre IN ('painting/en', 'painting/fr') AND year >= 1400 ORDER BY coalesce(fit, -1) DESC, title, work_id LIMIT 40""",
+)
+def playlist_by_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = playlist.PlaylistSpec(genres=("painting/en", "painting/fr"), year_from=1400, sort="fit", limit=40)
+    return playlist.select_playlist(works(spark, sf_dir), spec, _axes(spark, sf_dir))
+
+
 @register("playlist_drop_reasons", "FLT-01", f"""{_JUDGED_SQL} SELECT coalesce(verdict, 'matched') AS reason, count(*) AS n FROM j GROUP BY 1""")
 def playlist_drop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return playlist.drop_reasons(works(spark, sf_dir), _SPEC, _axes(spark, sf_dir))

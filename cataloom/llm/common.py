@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +58,17 @@ def replacing(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 def unit_hash(*parts: Column) -> Column:
     """A double in (0, 1] from the 64-bit hash of the parts."""
     return (F.shiftrightunsigned(F.xxhash64(*parts), 11) + F.lit(1)).cast("double") / F.lit(float(1 << 53))
+
+
+def trimmed(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """An Arrow function whose worker hands freed memory back when a task ends: idle workers stay while later stages run."""
+
+    @functools.wraps(function)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return run

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from cataloom.llm.common import replacing, written
+from cataloom.llm.common import replacing, trimmed, written
 
 _NO_ID = (1 << 63) - 1
 _CLASS_SCHEMA = "n_bytes long, h long, sha string, body binary, owner long, owner_rows long, n_rows long"
@@ -152,8 +152,8 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """One row per distinct normalised text: n_bytes, h, sha, keep_id, owner_rows, group_size."""
     norm = docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), normalised(docs[f"`{text_col}`"]).alias("norm"))
     rows = norm.select("id", *_keys("norm"), F.col("norm").cast("binary").alias("body"))
-    combined = rows.mapInArrow(_combine, _CLASS_SCHEMA)
-    return combined.repartition("n_bytes", "h").sortWithinPartitions("n_bytes", "h").mapInArrow(_own, _OWNER_SCHEMA)
+    combined = rows.mapInArrow(trimmed(_combine), _CLASS_SCHEMA)
+    return combined.repartition("n_bytes", "h").sortWithinPartitions("n_bytes", "h").mapInArrow(trimmed(_own), _OWNER_SCHEMA)
 
 
 def _keys(norm: str) -> list[Column]:

@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from cataloom.llm.common import trimmed
+
 #: Labelled documents per language that the trees are counted over.
 TRAIN_DOCS = 400
 MAX_ORDER = 3
@@ -222,7 +224,7 @@ def identify(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame
                 results = _predict(scorer, names, column)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *results], names=[*batch.schema.names[: len(rest)], *added])
 
-    return source.mapInArrow(scored, schema)
+    return source.mapInArrow(trimmed(scored), schema)
 
 
 def _predict(scorer: Scorer, names: np.ndarray, column: pa.Array) -> list[pa.Array]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cataloom.llm.common import replacing, written
+from cataloom.llm.common import replacing, trimmed, written
 
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
 #: At a similarity of 0.8, 12 bands of 3 samples miss (1 - 0.8 ** 3) ** 12 = 0.02 % of the pairs.
@@ -239,7 +239,7 @@ def _sum_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def document_frequencies(rows: DataFrame) -> np.ndarray:
     """The IDF table of rows (id, body). Counts meet by chunk of cells; the driver gets the table, whose size is fixed."""
     n_chunks = (1 << CELLS_LOG2) // _CELL_CHUNK
-    summed = rows.mapInArrow(_count_cells, _COUNT_SCHEMA).repartition(n_chunks, "chunk").mapInArrow(_sum_cells, _COUNT_SCHEMA)
+    summed = rows.mapInArrow(trimmed(_count_cells), _COUNT_SCHEMA).repartition(n_chunks, "chunk").mapInArrow(_sum_cells, _COUNT_SCHEMA)
     counts, n_documents = np.zeros(1 << CELLS_LOG2, dtype=np.int64), 0
     for row in summed.collect():
         part = np.frombuffer(pa.decompress(row.counts, 8 * _CELL_CHUNK, codec="zstd", asbytes=True), dtype=np.int64)
@@ -260,7 +260,7 @@ def sketch(rows: DataFrame, idf: object) -> DataFrame:
             signed = keys.view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(signed[:, 0]), pa.array(signed[:, 1]), pa.array(held, pa.list_(pa.int64()))], names=["id", "k1", "k2", "buckets"])
 
-    return rows.mapInArrow(sketched, "id long, k1 long, k2 long, buckets array<long>")
+    return rows.mapInArrow(trimmed(sketched), "id long, k1 long, k2 long, buckets array<long>")
 
 
 def link_block(nodes: list[int], texts: list[bytes], asking: list[bool], idf: np.ndarray, threshold: float) -> list[tuple[int, int]]:
@@ -336,7 +336,7 @@ def _linked(groups: DataFrame, keys: list[str], bodies: DataFrame, idf: object,
     """Links of groups (keys, node, asks), the texts coming from bodies (node, body)."""
     with_text = groups.join(bodies, "node").select(*keys, "node", "asks", "body")
     dealt = with_text.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(_linker(idf, threshold, len(keys)), "a long, b long")
+    return dealt.mapInArrow(trimmed(_linker(idf, threshold, len(keys))), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -117,12 +117,32 @@ def embedding_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
 def variant_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
     edges = s.where("s_suppkey < 50").select(F.col("s_suppkey").alias("owner"), (F.col("s_suppkey") * 7 % 50).alias("held"), F.col("s_suppkey").alias("ord"))
+    return _variant_verdicts(edges, s)
+
+
+def _variant_verdicts(edges: DataFrame, s: DataFrame) -> DataFrame:
     holdings, mutual, own = joins.variant_edges(edges)
     qids = s.select(F.col("s_suppkey").alias("item"), F.when(F.col("s_suppkey") % 3 != 0, F.col("s_nationkey")).alias("qid"))
     judged = joins.classify_holdings(holdings, qids).select("owner", "held", "verdict")
     return judged.unionByName(mutual.withColumn("verdict", F.lit("mutual"))).unionByName(own.select("owner", F.col("owner").alias("held"), F.lit("self").alias("verdict")))
 
 
+@register(
+    "variant_edges_all",
+    "JOIN-09 JOIN-10 BAT-11",
+    """WITH e AS (SELECT s_suppkey AS owner, (s_suppkey * 7) % (SELECT count(*) FROM supplier) AS held, s_suppkey AS ord FROM supplier), m AS (SELECT DISTINCT a.owner, a.held FROM e a JOIN e b ON a.owner = b.held AND a.held = b.owner AND a.owner <> a.held),
+        h AS (SELECT held, arg_min(owner, (ord, owner)) AS owner FROM e WHERE (owner, held) NOT IN (SELECT owner, held FROM m) GROUP BY held), q AS (SELECT s_suppkey AS item, CASE WHEN s_suppkey % 3 <> 0 THEN s_nationkey END AS qid FROM supplier)
+        SELECT owner, held, CASE WHEN o.qid IS NULL AND i.qid IS NULL THEN 'unresolved' WHEN o.qid IS NULL THEN 'owner-no-qid' WHEN i.qid IS NULL OR o.qid = i.qid THEN 'true-crop' ELSE 'qid-conflict' END AS verdict FROM h LEFT JOIN q o ON o.item = owner LEFT JOIN q i ON i.item = held
+        UNION ALL SELECT owner, held, 'mutual' FROM m WHERE owner < held UNION ALL SELECT owner, owner, 'self' FROM e WHERE owner = held""",
+)
+def variant_edges_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over every supplier; variant_edges stops at a fixed identifier."""
+    s = table(spark, sf_dir, "supplier")
+    n = s.agg(F.count("*").alias("n"))
+    edges = s.join(F.broadcast(n)).select(F.col("s_suppkey").alias("owner"), (F.col("s_suppkey") * 7 % F.col("n")).alias("held"), F.col("s_suppkey").alias("ord"))
+    return _variant_verdicts(edges, s)
+
+
 @register(
     "uniqueness_guard",
     "JOIN-11 BAT-07",
@@ -134,6 +154,18 @@ def uniqueness_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.claim_unique(p.where("id >= 20 AND id < 200"), p.where("id < 20"), "qid", "id").select("id", "qid", "outcome")
 
 
+@register(
+    "uniqueness_guard_all",
+    "JOIN-11 BAT-07",
+    """WITH a AS (SELECT p_partkey AS id, p_partkey // 3 AS qid, p_size % 5 = 0 AS holds FROM part), h AS (SELECT DISTINCT qid FROM a WHERE holds), p AS (SELECT id, qid FROM a WHERE NOT holds)
+        SELECT id, qid, CASE WHEN qid IN (SELECT qid FROM h) THEN 'held' WHEN row_number() OVER (PARTITION BY qid ORDER BY id) = 1 THEN 'assigned' ELSE 'contested' END AS outcome FROM p""",
+)
+def uniqueness_guard_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over every part, which its size makes a holder or a proposal; uniqueness_guard stops at a fixed identifier."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.floor(F.col("p_partkey") / 3).alias("qid"), (F.col("p_size") % 5 == 0).alias("holds"))
+    return joins.claim_unique(p.where("NOT holds"), p.where("holds"), "qid", "id").select("id", "qid", "outcome")
+
+
 @register("shared_identifiers", "JOIN-12 BAT-17", """SELECT o_custkey, list_sort(list(DISTINCT o_orderstatus)) AS items FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1""")
 def shared_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.shared_keys(table(spark, sf_dir, "orders"), "o_custkey", "o_orderstatus")
@@ -215,7 +247,22 @@ def family_root(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT key, CAST(cluster AS BIGINT) AS cluster, arg_min(title, ord) AS title, arg_min(year, ord) AS year, arg_min(holder, ord) FILTER (holder IS NOT NULL) AS holder, list_sort(list(DISTINCT source)) AS sources, max(sitelinks) AS sitelinks FROM c GROUP BY key, cluster""",
 )
 def known_works_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where("p_partkey < 400")
+    return _known_works(table(spark, sf_dir, "part").where("p_partkey < 400"))
+
+
+@register(
+    "known_works_merge_all",
+    "JOIN-20 SRT-16 SET-01",
+    """WITH s AS (SELECT p_partkey AS ord, p_name AS title, 1900 + p_size AS year, CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS holder, p_type AS source, p_partkey % 40 AS sitelinks FROM part),
+        j AS (SELECT *, lower(title) AS key, CASE WHEN year - lag(year) OVER (PARTITION BY lower(title) ORDER BY year, ord) > 3 THEN 1 ELSE 0 END AS jump FROM s), c AS (SELECT *, sum(jump) OVER (PARTITION BY key ORDER BY year, ord) AS cluster FROM j)
+        SELECT key, CAST(cluster AS BIGINT) AS cluster, arg_min(title, ord) AS title, arg_min(year, ord) AS year, arg_min(holder, ord) FILTER (holder IS NOT NULL) AS holder, list_sort(list(DISTINCT source)) AS sources, max(sitelinks) AS sitelinks FROM c GROUP BY key, cluster""",
+)
+def known_works_merge_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over every part; known_works_merge stops at a fixed identifier."""
+    return _known_works(table(spark, sf_dir, "part"))
+
+
+def _known_works(p: DataFrame) -> DataFrame:
     s = p.select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("title"), (F.lit(1900) + F.col("p_size")).alias("year"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).alias("holder"), F.lit(None).cast("string").alias("image_url"), F.col("p_type").alias("source"), (F.col("p_partkey") % 40).alias("sitelinks"))
     return joins.merge_known_works(s).drop("image_url")
 

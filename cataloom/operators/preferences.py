@@ -19,7 +19,7 @@ SITELINKS_FULL_AT = 30.0
 DISPLAY_WEIGHTS = {"sitelinks": 0.45, "image": 0.25, "collection": 0.15, "corroboration": 0.15}
 STUDY_WORDS = r"(?i)\b(stud(?:y|ies)|sketch|drawing|fragment|preparatory|cartoon|recto|verso)\b"
 STUDY_DEMOTION = 0.4
-#: Items of one component that are fitted in one task; a larger component is fitted by joins.
+#: Items of one component or group that are fitted or chosen from in one task; a larger one is handled by joins.
 FIT_ITEMS = 20_000
 
 
@@ -173,7 +173,11 @@ def diverse_subset(items: pd.DataFrame, k: int, seed: int = 0) -> pd.DataFrame:
 
 
 def select_diverse(items: DataFrame, group: str, k: int, seed: int = 0) -> DataFrame:
-    """k items of each group (id, quality, vec); a group is an exhibition's candidate list."""
+    """k items of each group (id, quality, vec); a group is an exhibition's candidate list. A group, whose size is checked, is chosen from by one task."""
+    largest = items.groupBy(group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    if largest is not None and largest > FIT_ITEMS:
+        return _select_by_rounds(items, group, k, seed)
+
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
         return diverse_subset(rows, k, seed).assign(**{group: rows[group].iloc[0]})
 
@@ -181,6 +185,44 @@ def select_diverse(items: DataFrame, group: str, k: int, seed: int = 0) -> DataF
     return items.groupBy(group).applyInPandas(pick, f"id {kind['id']}, place int, quality_part double, nearest double, determinant double, {group} {kind[group]}")
 
 
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+
+
+def _select_by_rounds(items: DataFrame, group: str, k: int, seed: int) -> DataFrame:
+    """The same greedy steps with an aggregate a round, for groups too large for one task."""
+    quality, vec = F.col("quality").cast("double"), F.col("vec").cast("array<double>")
+    norm = F.sqrt(_dot(vec, vec))
+    usable = quality.isNotNull() & ~F.isnan(quality) & (quality >= 0) & (quality < float("inf")) & (norm > 0) & ~F.isnan(norm) & (norm < float("inf"))
+    if items.where(~F.coalesce(usable, F.lit(False))).limit(1).count():
+        raise ValueError("quality must be finite and not negative, embeddings finite and not zero")
+    tie = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")), 256)
+    none = F.array().cast("array<double>")
+    unit = F.transform(vec, lambda x: x / norm)
+    start = items.select(F.col(group).alias("g"), "id", quality.alias("quality"), unit.alias("unit"), F.substring(tie, 1, 16).alias("tie"), (quality * quality).alias("rest"), none.alias("row"))
+    state = written(start.withColumn("at", F.monotonically_increasing_id()), "diverse")
+    chosen = state.select("g").distinct().select("g", F.lit(1.0).alias("determinant"), F.array().cast("array<array<double>>").alias("units"))
+    places = []
+    for place in range(1, k + 1):
+        c = chosen.select(F.col("g").alias("cg"), "determinant", "units")
+        met = state.join(c, F.col("g").eqNullSafe(F.col("cg")))
+        gain = F.when(F.abs(F.col("determinant") * F.greatest("rest", F.lit(0.0))) < 1e-12, 0.0).otherwise(F.col("determinant") * F.col("rest"))
+        ranked = met.withColumn("gain", gain)
+        best = F.min_by(F.struct("at", "id", "quality", "unit", "rest", "row", "gain", "units"), F.struct(-F.col("gain"), -F.col("quality"), "tie", -F.col("at")))
+        picked = written(ranked.groupBy("g").agg(best.alias("p")), "picked")
+        nearest = F.array_max(F.transform("p.units", lambda u: _dot(F.col("p.unit"), u)))
+        places.append(picked.select("p.id", F.lit(place).alias("place"), (F.col("p.quality") * F.col("p.quality")).alias("quality_part"), nearest.alias("nearest"), F.col("p.gain").alias("determinant"), F.col("g").alias(group)))
+        chosen = picked.select("g", F.col("p.gain").alias("determinant"), F.concat("p.units", F.array("p.unit")).alias("units"))
+        if place < k:
+            with_pick = state.join(picked.select(F.col("g").alias("pg"), "p"), F.col("g").eqNullSafe(F.col("pg"))).where("at <> p.at")
+            step = (F.col("p.quality") * F.col("quality") * _dot(F.col("unit"), F.col("p.unit")) - _dot(F.col("row"), F.col("p.row"))) / F.sqrt(F.greatest("p.rest", F.lit(1e-300)))
+            state = written(with_pick.withColumn("step", step).select("g", "id", "quality", "unit", "tie", (F.col("rest") - F.col("step") * F.col("step")).alias("rest"), F.concat("row", F.array("step")).alias("row"), "at"), "diverse")
+    out = places[0]
+    for held in places[1:]:
+        out = out.unionByName(held)
+    return out
+
+
 def display_score(title: Column, image: Column, holder: Column, n_sources: Column, sitelinks: Column) -> Column:
     """0 to 1: demand, picture, collection and corroboration; studies are demoted."""
     demand = F.least(F.coalesce(sitelinks, F.lit(0)) / SITELINKS_FULL_AT, F.lit(1.0))

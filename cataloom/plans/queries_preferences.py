@@ -67,6 +67,18 @@ def bt_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preferences.components(s.select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") + 7).alias("b")))
 
 
+@register(
+    "bt_components_all",
+    "AGG-10",
+    """WITH RECURSIVE e AS (SELECT s_suppkey AS a, CASE WHEN s_suppkey % 5 = 0 THEN s_suppkey ELSE s_suppkey + 7 END AS b FROM supplier), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, seen) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.seen)
+        SELECT node, min(seen) AS component FROM r GROUP BY node""",
+)
+def bt_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over every supplier; bt_components leaves out some and stops at a fixed identifier."""
+    k = F.col("s_suppkey")
+    return preferences.components(table(spark, sf_dir, "supplier").select(k.alias("a"), F.when(k % 5 == 0, k).otherwise(k + 7).alias("b")))
+
+
 @register("next_pairs", "ITR-02 SET-05")
 def next_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The closest unasked pairs by fitted strength; tests compare with a loop."""
@@ -77,7 +89,7 @@ def next_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("diverse_selection", "ITR-04 WIN-12")
 def diverse_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy and order-dependent; tests compare with determinants taken directly."""
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 400").select(F.col("vec_id").alias("id"), (F.lit(0.5) + F.col("vec_id") % 10 / 20).alias("quality"), F.col("embedding").cast("array<double>").alias("vec"), "label")
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (F.lit(0.5) + F.col("vec_id") % 10 / 20).alias("quality"), F.col("embedding").cast("array<double>").alias("vec"), "label")
     return preferences.select_diverse(e, "label", 5)
 
 
@@ -97,7 +109,7 @@ def image_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashes and sharpness of pixel arrays made from parts; tests compare with known images."""
     i = F.sequence(F.lit(0), F.lit(31))
     pixels = F.transform(i, lambda y: F.transform(i, lambda x: ((x * (F.col("p_size") % 7 + 1) + y * (F.col("p_partkey") % 5)) % 256).cast("int")))
-    return images.image_report(table(spark, sf_dir, "part").where("p_partkey < 200").select(F.col("p_partkey").alias("id"), pixels.alias("pixels")))
+    return images.image_report(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), pixels.alias("pixels")))
 
 
 @register(

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import duckdb
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from cataloom import registry
+from cataloom.operators import preferences
 from tests.test_queries import TABLES, plain
 
 LARGER = "/root/testdata/sf0.01"
@@ -24,7 +27,7 @@ def against_oracle(spark, name, folder=LARGER):
     return sorted(rows, key=repr), sorted((tuple(plain(r[i]) for i in order) for r in held.fetchall()), key=repr)
 
 
-@pytest.mark.parametrize("name", ["known_works_merge_all", "uniqueness_guard_all", "variant_edges_all"])
+@pytest.mark.parametrize("name", ["known_works_merge_all", "uniqueness_guard_all", "variant_edges_all", "bt_components_all"])
 def test_oracle_beyond_the_ranges(spark, name):
     rows, expected = against_oracle(spark, name)
     assert rows == expected and rows
@@ -40,3 +43,36 @@ def test_every_part_and_supplier_counts(spark):
     assert {r.outcome for r in guarded.select("outcome").distinct().collect()} == {"held", "assigned", "contested"}
     verdicts = q["variant_edges_all"](spark, LARGER)
     assert verdicts.selectExpr("max(owner)").first()[0] > 93 and verdicts.where("verdict IN ('mutual', 'self')").count() > 0
+
+
+def test_diverse_selection_over_every_embedding(spark):
+    e = spark.read.parquet(f"{LARGER}/embeddings.parquet").toPandas()
+    e = pd.DataFrame({"id": e.vec_id, "quality": 0.5 + e.vec_id % 10 / 20, "vec": [[float(x) for x in v] for v in e.embedding], "label": e.label})
+    expected = {(label, r.place, r.id) for label, rows in e.groupby("label") for r in preferences.diverse_subset(rows, 5).itertuples()}
+    assert any(i >= 400 for _, _, i in expected)
+    assert {(r.label, r.place, r.id) for r in registry.queries()["diverse_selection"](spark, LARGER).collect()} == expected
+
+
+def test_diverse_rounds_are_the_subset(spark, monkeypatch):
+    """Groups too large for a task: equal picks, a null group, groups of fewer than k items, ties."""
+    rows = [(i, 0.5 + i * 7 % 10 / 20, [float((i * 37 + j * j * 11) % 19 - 9) for j in range(6)], None if i % 4 == 0 else i % 4) for i in range(60)]
+    rows += [(100, 0.5, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0], 9), (101, 0.5, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0], 9)]
+    frame = spark.createDataFrame(rows, "id long, quality double, vec array<double>, label int")
+    expected = {}
+    for label in (None, 1, 2, 3, 9):
+        part = pd.DataFrame([r[:3] for r in rows if r[3] == label], columns=["id", "quality", "vec"])
+        expected |= {(label, r.place): (r.id, r.quality_part, None if pd.isna(r.nearest) else round(r.nearest, 9), round(r.determinant, 9)) for r in preferences.diverse_subset(part, 5).itertuples()}
+    monkeypatch.setattr(preferences, "FIT_ITEMS", 1)
+    got = {(r.label, r.place): (r.id, r.quality_part, None if r.nearest is None else round(r.nearest, 9), round(r.determinant, 9)) for r in preferences.select_diverse(frame, "label", 5).collect()}
+    assert got == expected
+    with pytest.raises(ValueError, match="finite"):
+        preferences.select_diverse(frame.withColumn("quality", F.lit(-1.0)), "label", 5)
+
+
+def test_image_kernels_over_every_part(spark):
+    assert registry.queries()["image_kernels"](spark, LARGER).count() == spark.read.parquet(f"{LARGER}/part.parquet").count()
+
+
+def test_components_hold_every_supplier(spark):
+    nodes = registry.queries()["bt_components_all"](spark, LARGER).select("node")
+    assert spark.read.parquet(f"{LARGER}/supplier.parquet").selectExpr("s_suppkey AS node").join(nodes, "node", "left_anti").count() == 0

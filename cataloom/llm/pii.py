@@ -2,8 +2,11 @@
 
 A regular expression proposes the spans of each kind, leftmost and non-overlapping. A validator confirms them: the
 Luhn sum for card numbers, mod 97 for IBANs, ranges for address parts, digit counts for phones. Words near a span
-adjust its score. The patterns are written so that no run of characters is scanned twice: possessive quantifiers, and
-starts only at the head of a run or where the last match ended, which finds the same matches as the plain patterns.
+adjust its score. The patterns of the base kinds are written so that no run of characters is scanned twice: possessive
+quantifiers, and starts only at the head of a run or where the last match ended, which finds the same matches as the
+plain patterns. An IBAN ends where the length of its country says, whatever word or number follows; that of a country
+not listed ends at the first end of a word where mod 97 holds. Each head of an IBAN is tried, also within a candidate
+that isn't confirmed.
 
 Positions come from splitting at the pattern: the k-th match starts after k + 1 pieces and k matches. They count code
 points; ends are exclusive. Defined results: a null text counts as empty; no spans give zero counts, an empty list
@@ -17,6 +20,18 @@ from pyspark.sql import functions as F
 
 from cataloom.llm.common import replacing
 
+#: Length of an IBAN -> countries.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+_LISTED = [c for held in IBAN_LENGTHS.values() for c in held.split()]
+_IBANS = "|".join(rf"(?:{held.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, held in IBAN_LENGTHS.items())
+_IBANS += rf"|(?!{'|'.join(_LISTED)})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}"
+#: Code points of a candidate IBAN that its match takes; the rest is only looked at, so that later heads are tried too.
+IBAN_HEAD = 2
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: kind: (pattern, cheap test that holds for every text with a match)
 PATTERNS = {
@@ -24,7 +39,7 @@ PATTERNS = {
     "ip": (r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}+", "."),
     "card": (r"[0-9](?:[\x20-]?[0-9]){12,}+", None),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", None),
+    "iban": (rf"(?<![A-Za-z0-9])(?=((?:{_IBANS})(?![A-Za-z0-9])))[A-Z]{{{IBAN_HEAD}}}", None),
 }
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Words that raise the score of a span when they stand just before it.
@@ -84,6 +99,22 @@ def _confirmed(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _iban_of(candidate: Column) -> Column:
+    """The candidate, cut at the first end of a word where it is valid if its country has no listed length; null if nowhere."""
+    words = F.split(candidate, " ")
+    cuts = F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))
+    return F.when(F.substring(candidate, 1, 2).isin(_LISTED), candidate).otherwise(F.get(F.filter(cuts, lambda c: _confirmed("iban", c)), F.lit(0)))
+
+
+def _apart(spans: Column) -> Column:
+    """spans in order without those that begin before the last kept one ends."""
+    def step(kept: Column, s: Column) -> Column:
+        last = F.get(kept, F.size(kept) - 1)
+        return F.when((F.size(kept) > 0) & (s["start"] < last["end"]), kept).otherwise(F.concat(kept, F.array(s)))
+
+    return F.aggregate(spans, F.slice(spans, 1, 0), step)
+
+
 def _fold(pieces: Column, matches: Column, kind: str) -> Column:
     """Spans of a kind: an array of (kind, start, end, match, near), start being the running length of pieces and matches."""
     start = F.lit(0).cast("long")
@@ -95,12 +126,14 @@ def _fold(pieces: Column, matches: Column, kind: str) -> Column:
         begin = state["at"] + F.length(piece)
         end = begin + F.length(match)
         span = F.struct(begin.alias("start"), end.alias("end"), match.alias("match"), F.substring(piece, -NEAR, NEAR).alias("near"))
-        return F.struct(end.cast("long").alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+        at = begin + IBAN_HEAD if kind == "iban" else end
+        return F.struct(at.cast("long").alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
 
     folded = F.aggregate(index, F.struct(start.alias("at"), empty.alias("spans")), step, lambda s: s["spans"])
     spans = F.when(F.size(matches) > 0, folded).otherwise(empty)
+    confirmed = F.filter(spans, lambda s: _confirmed(kind, s["match"]))
     return F.transform(
-        F.filter(spans, lambda s: _confirmed(kind, s["match"])),
+        _apart(confirmed) if kind == "iban" else confirmed,
         lambda s: F.struct(
             F.lit(kind).alias("kind"),
             s["start"].alias("start"),
@@ -125,8 +158,10 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", kinds: tuple[str
         pattern, needs = PATTERNS[kind]
         may = text.contains(needs) if needs else text.rlike(r"[0-9]")
         none = F.array().cast("array<string>")
+        matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(int(kind == "iban")))
+        matches = F.transform(matches, _iban_of) if kind == "iban" else matches
         proposals += [
-            F.when(may, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none).alias(f"{prefix}_m_{kind}"),
+            F.when(may, matches).otherwise(none).alias(f"{prefix}_m_{kind}"),
         ]
     found = found.select("*", *proposals)
     found = found.select("*", *[F.when(F.size(f"{prefix}_m_{kind}") > 0, F.split(text, PATTERNS[kind][0], -1)).otherwise(F.array().cast("array<string>")).alias(f"{prefix}_p_{kind}") for kind in kinds])

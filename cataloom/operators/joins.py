@@ -1,7 +1,8 @@
 """Joins: ordered lookups, alias resolution, tiered and layered matching, kNN, graph closure, uniqueness, merges.
 
 Fuzzy joins are blocked by equalities that lose no match: each live tier of a match needs an equality, so its candidates
-come from equi-joins on that key. No join here has an OR or a similarity alone as its condition.
+come from equi-joins on that key. No join here has an OR or a similarity alone as its condition; nearest neighbours
+without a known block meet all rows.
 """
 
 from __future__ import annotations
@@ -109,15 +110,34 @@ def layered_dedup(candidates: DataFrame, archive: DataFrame, phash_threshold: in
     return out
 
 
-def blocked_cosine_topk(queries: DataFrame, candidates: DataFrame, block: str, k: int, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
-    """The k most similar candidates of each query within its block; rows whose block is unknown meet nobody's block."""
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("qv"), block)
-    c = candidates.select(F.col(id_col).alias("match_id"), F.col(vec_col).alias("cv"), block)
-    scored = q.join(c, block).where("query_id <> match_id").select("query_id", "match_id", numbers.cosine(F.col("qv"), F.col("cv")).alias("similarity"))
+def _vectors(rows: DataFrame, id_as: str, vec_as: str, id_col: str, vec_col: str, *more: str) -> DataFrame:
+    return rows.select(F.col(id_col).alias(id_as), F.col(vec_col).alias(vec_as), *more)
+
+
+def _best_matches(met: DataFrame, k: int) -> DataFrame:
+    scored = met.where("query_id <> match_id").select("query_id", "match_id", numbers.cosine(F.col("qv"), F.col("cv")).alias("similarity"))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "match_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def cosine_topk(queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
+    """The k most similar candidates of each query among all."""
+    q, c = _vectors(queries, "query_id", "qv", id_col, vec_col), _vectors(candidates, "match_id", "cv", id_col, vec_col)
+    return _best_matches(q.crossJoin(c), k)
+
+
+def blocked_cosine_topk(queries: DataFrame, candidates: DataFrame, block: str, k: int, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
+    """The k most similar candidates of each query, without those whose block is known and differs from its own, known one. Null and empty are unknown."""
+    q, c = _vectors(queries, "query_id", "qv", id_col, vec_col, block), _vectors(candidates, "match_id", "cv", id_col, vec_col, block)
+    known = F.coalesce(F.col(block).cast("string"), F.lit("")) != ""
+    q_known, c_known = q.where(known), c.where(known)
+    q_unknown, c_unknown = q.where(~known).drop(block), c.where(~known).drop(block)
+    met = q_known.join(c_known, block).drop(block)
+    # A pair of two known blocks comes from the first part only, one of an unknown query from the second, the rest from the third.
+    met = met.unionByName(q_unknown.crossJoin(c.drop(block))).unionByName(q_known.drop(block).crossJoin(c_unknown))
+    return _best_matches(met, k)
+
+
 def similarity_tag(similarity: Column, duplicate: float = 0.90, review: float = 0.80) -> Column:
     return F.when(similarity >= duplicate, "duplicate").when(similarity >= review, "review").otherwise("distinct")
 

@@ -106,6 +106,19 @@ def embedding_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("query_id", "match_id", F.round("similarity", 6).alias("similarity"), "rank", joins.similarity_tag(F.col("similarity")).alias("tag"))
 
 
+@register(
+    "embedding_topk",
+    "JOIN-08 MTH-02 SRC-13 SRT-15",
+    """WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS match_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, match_id) AS rank FROM p) SELECT query_id, match_id, round(s, 6) AS similarity, CAST(rank AS INTEGER) AS rank, CASE WHEN s >= 0.9 THEN 'duplicate' WHEN s >= 0.8 THEN 'review' ELSE 'distinct' END AS tag FROM r WHERE rank <= 5""",
+)
+def embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search without blocks, of the identifiers divisible by 20 among all rows."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+    top = joins.cosine_topk(e.where("id % 20 = 0"), e, 5)
+    return top.select("query_id", "match_id", F.round("similarity", 6).alias("similarity"), "rank", joins.similarity_tag(F.col("similarity")).alias("tag"))
+
+
 @register(
     "variant_edges",
     "JOIN-09 JOIN-10 BAT-11",

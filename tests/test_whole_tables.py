@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cataloom import registry
-from cataloom.operators import preferences
+from cataloom.operators import joins, preferences
 from tests.test_queries import TABLES, plain
 
 LARGER = "/root/testdata/sf0.01"
@@ -27,7 +27,7 @@ def against_oracle(spark, name, folder=LARGER):
     return sorted(rows, key=repr), sorted((tuple(plain(r[i]) for i in order) for r in held.fetchall()), key=repr)
 
 
-@pytest.mark.parametrize("name", ["known_works_merge_all", "uniqueness_guard_all", "variant_edges_all", "bt_components_all"])
+@pytest.mark.parametrize("name", ["known_works_merge_all", "uniqueness_guard_all", "variant_edges_all", "bt_components_all", "embedding_topk"])
 def test_oracle_beyond_the_ranges(spark, name):
     rows, expected = against_oracle(spark, name)
     assert rows == expected and rows
@@ -74,5 +74,17 @@ def test_image_kernels_over_every_part(spark):
 
 
 def test_components_hold_every_supplier(spark):
-    nodes = registry.queries()["bt_components_all"](spark, LARGER).select("node")
+    nodes = registry.queries()["bt_components_all", "embedding_topk"](spark, LARGER).select("node")
     assert spark.read.parquet(f"{LARGER}/supplier.parquet").selectExpr("s_suppkey AS node").join(nodes, "node", "left_anti").count() == 0
+
+
+def test_unknown_blocks_meet_everything(spark):
+    rows = [(1, [1.0, 0.0], "a"), (2, [1.0, 0.0], None), (3, [1.0, 0.1], "b"), (4, [0.0, 1.0], ""), (5, [0.9, 0.1], "a")]
+    e = spark.createDataFrame(rows, "id long, vec array<double>, artist string")
+
+    def cosine(a, b):
+        return sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+
+    expected = {(i, j, rank) for i, v, block in rows for rank, j in enumerate(sorted((r[0] for r in rows if r[0] != i and not (block and r[2] and block != r[2])), key=lambda j: (-cosine(v, rows[j - 1][1]), j))[:3], 1)}
+    assert {(r.query_id, r.match_id, r["rank"]) for r in joins.blocked_cosine_topk(e, e, "artist", 3).collect()} == expected
+    assert (2, 1, 1) in expected and (1, 2, 1) in expected

@@ -89,17 +89,17 @@ def hamming_pairs(left: DataFrame, right: DataFrame, threshold: int, bits: int =
 
 
 def layered_dedup(candidates: DataFrame, archive: DataFrame, phash_threshold: int = 3, title_threshold: float = 0.85, bits: int = 64) -> DataFrame:
-    """candidate_id, archive_id, layer and verdict, the cheapest decisive layer first. Both: id, digest, hash, artist, title."""
-    sha = candidates.join(archive.select(F.col("id").alias("archive_id"), "digest"), "digest").groupBy(F.col("id").alias("candidate_id")).agg(F.min("archive_id").alias("archive_id"))
+    """candidate_id, archive_id, layer and verdict, the cheapest decisive layer first. Both: id, digest, hash, artist, title. A row doesn't meet itself."""
+    sha = candidates.join(archive.select(F.col("id").alias("archive_id"), "digest"), "digest").where("archive_id <> id").groupBy(F.col("id").alias("candidate_id")).agg(F.min("archive_id").alias("archive_id"))
     layers = [sha.select("candidate_id", "archive_id", F.lit("digest").alias("layer"), F.lit("duplicate").alias("verdict"))]
     rest = candidates.join(sha, candidates["id"] == sha["candidate_id"], "left_anti")
-    near = hamming_pairs(rest.where("hash IS NOT NULL"), archive.where("hash IS NOT NULL"), phash_threshold, bits)
+    near = hamming_pairs(rest.where("hash IS NOT NULL"), archive.where("hash IS NOT NULL"), phash_threshold, bits).where("left_id <> right_id")
     best = near.groupBy(F.col("left_id").alias("candidate_id")).agg(F.min_by("right_id", F.struct("distance", "right_id")).alias("archive_id"))
     layers.append(best.select("candidate_id", "archive_id", F.lit("hash").alias("layer"), F.lit("duplicate").alias("verdict")))
     rest = rest.join(best, rest["id"] == best["candidate_id"], "left_anti")
     c = rest.select(F.col("id").alias("candidate_id"), "artist", text.tokens(text.norm_title(F.col("title"))).alias("ct"))
     a = archive.select(F.col("id").alias("archive_id"), "artist", text.tokens(text.norm_title(F.col("title"))).alias("at"))
-    alike = c.join(a, "artist").withColumn("sim", text.title_similarity(F.col("ct"), F.col("at"))).where(F.col("sim") >= title_threshold)
+    alike = c.join(a, "artist").where("archive_id <> candidate_id").withColumn("sim", text.title_similarity(F.col("ct"), F.col("at"))).where(F.col("sim") >= title_threshold)
     titled = alike.groupBy("candidate_id").agg(F.max_by("archive_id", F.struct("sim", -F.col("archive_id"))).alias("archive_id"))
     layers.append(titled.select("candidate_id", "archive_id", F.lit("title").alias("layer"), F.lit("needs_review").alias("verdict")))
     new = rest.join(titled, rest["id"] == titled["candidate_id"], "left_anti")

@@ -52,22 +52,45 @@ def alias_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def tiered_duplicate_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = inventory(spark, sf_dir)
-    c = i.where("rel_id % 50 = 0").select("rel_id", "title", "artist")
+    return _tiered(i.where("rel_id % 50 = 0"), i)
+
+
+@register(
+    "tiered_duplicate_match_all",
+    "JOIN-05 STR-01 STR-05 STR-06 SRT-14",
+    f"""WITH {INVENTORY_SQL}, c AS (SELECT rel_id AS cid, title AS ct, artist AS ca FROM inventory), i AS (SELECT rel_id AS iid, CASE WHEN rel_id % 3 = 0 THEN title || ' large' ELSE title END AS it, CASE WHEN rel_id % 7 = 0 THEN 'Other Maker' ELSE artist END AS ia FROM inventory),
+        p AS (SELECT cid, iid, ct, it, replace(lower(ca), '#', ' ') AS ca, replace(lower(ia), '#', ' ') AS ia, list_distinct(string_split(ct, ' ')) AS a, list_distinct(string_split(it, ' ')) AS b FROM c JOIN i ON (ct = it OR ca = ia) AND cid <> iid),
+        s AS (SELECT *, len(list_intersect(a, b)) AS k, greatest(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE, CASE WHEN least(len(a), len(b)) >= 2 THEN len(list_intersect(a, b)) / least(len(a), len(b))::DOUBLE ELSE 0 END) AS sim FROM p),
+        t AS (SELECT *, CASE WHEN ct = it AND ca = ia THEN 'exact-title-artist' WHEN ca = ia AND sim >= 0.6 THEN 'exact-artist+near-title' WHEN ct = it THEN 'exact-title' END AS tier FROM s)
+        SELECT cid AS candidate_id, iid AS inventory_id, tier, round(CASE tier WHEN 'exact-title-artist' THEN 0.99 WHEN 'exact-title' THEN 0.70 ELSE 0.70 + 0.25 * sim END, 6)::DOUBLE AS confidence FROM t WHERE tier IS NOT NULL""",
+)
+def tiered_duplicate_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row against all others; tiered_duplicate_match thins the candidates."""
+    return _tiered(inventory(spark, sf_dir), inventory(spark, sf_dir)).where("candidate_id <> inventory_id")
+
+
+def _tiered(candidates: DataFrame, i: DataFrame) -> DataFrame:
+    c = candidates.select("rel_id", "title", "artist")
     altered = i.select("rel_id", F.when(F.col("rel_id") % 3 == 0, F.concat("title", F.lit(" large"))).otherwise(F.col("title")).alias("title"), F.when(F.col("rel_id") % 7 == 0, "Other Maker").otherwise(F.col("artist")).alias("artist"))
     out = joins.tiered_match(c, altered, ["rel_id", "title", "artist"], ["rel_id", "title", "artist"])
     return out.withColumn("confidence", F.round("confidence", 6))
 
 
-def _hash_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _hash_rows(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Hashes, artists and titles of documents; titles are whole first lines or prefixes of them."""
     digest = F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("bigint")
     d = table(spark, sf_dir, "documents")
     noisy = digest.bitwiseXOR(F.when(F.col("doc_id") % 2 == 0, F.expr("shiftleft(1L, CAST(doc_id % 32 AS INT))")).otherwise(0))
-    return d.select(F.col("doc_id").alias("id"), noisy.alias("hash"), F.sha2("text", 256).alias("digest"), F.col("source").alias("artist"), F.substring(F.split("text", "\n")[0], 1, 30).alias("title"))
+    line = F.split("text", "\n")[0]
+    title = line if whole else F.substring(line, 1, 30)
+    return d.select(F.col("doc_id").alias("id"), noisy.alias("hash"), F.sha2("text", 256).alias("digest"), F.col("source").alias("artist"), title.alias("title"))
 
 
 _HASH_SQL = """h AS (SELECT doc_id AS id, xor(CAST('0x' || substr(md5(text), 1, 8) AS BIGINT), CASE WHEN doc_id % 2 = 0 THEN CAST(1 AS BIGINT) << CAST(doc_id % 32 AS BIGINT) ELSE 0 END) AS hash, sha256(text) AS digest, source AS artist,
     substr(string_split(text, chr(10))[1], 1, 30) AS title FROM documents)"""
 
+_WHOLE_HASH_SQL = _HASH_SQL.replace("substr(string_split(text, chr(10))[1], 1, 30)", "string_split(text, chr(10))[1]")
+
 
 @register("hamming_knn", "JOIN-07 MTH-01 SRC-12", f"""WITH {_HASH_SQL} SELECT a.id AS left_id, b.id AS right_id, CAST(bit_count(xor(a.hash, b.hash)) AS INTEGER) AS distance FROM h a JOIN h b ON bit_count(xor(a.hash, b.hash)) <= 3 WHERE a.id % 10 = 0""")
 def hamming_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +117,32 @@ def layered_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.layered_dedup(c, a, bits=32)
 
 
+@register("hamming_knn_all", "JOIN-07 MTH-01 SRC-12", f"""WITH {_HASH_SQL} SELECT a.id AS left_id, b.id AS right_id, CAST(bit_count(xor(a.hash, b.hash)) AS INTEGER) AS distance FROM h a JOIN h b ON bit_count(xor(a.hash, b.hash)) <= 3 AND a.id <> b.id""")
+def hamming_knn_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row against all others; hamming_knn thins the left side."""
+    h = _hash_rows(spark, sf_dir)
+    return joins.hamming_pairs(h, h, 3, bits=32).where("left_id <> right_id")
+
+
+@register(
+    "layered_dedup_all",
+    "JOIN-06 UDX-01 ITR-06",
+    f"""WITH {_WHOLE_HASH_SQL}, c AS (SELECT * FROM h), a AS (SELECT * FROM h),
+        s AS (SELECT c.id AS candidate_id, min(a.id) AS archive_id FROM c JOIN a ON a.digest = c.digest AND a.id <> c.id GROUP BY 1),
+        n AS (SELECT c.id AS candidate_id, arg_min(a.id, (bit_count(xor(a.hash, c.hash)), a.id)) AS archive_id FROM c JOIN a ON bit_count(xor(a.hash, c.hash)) <= 3 AND a.id <> c.id WHERE c.id NOT IN (SELECT candidate_id FROM s) GROUP BY 1),
+        r AS (SELECT * FROM c WHERE id NOT IN (SELECT candidate_id FROM s UNION SELECT candidate_id FROM n)), tk AS (SELECT id, artist, list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(strip_accents(title)), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda x: x <> '')) AS t FROM h),
+        p AS (SELECT r.id AS candidate_id, y.id AS archive_id, len(list_intersect(x.t, y.t)) AS k, x.t AS xt, y.t AS yt FROM r JOIN tk x ON x.id = r.id JOIN tk y ON y.artist = x.artist AND y.id <> r.id),
+        q AS (SELECT *, CASE WHEN len(xt) = 0 OR len(yt) = 0 THEN 0 ELSE greatest(k / len(list_distinct(list_concat(xt, yt)))::DOUBLE, CASE WHEN least(len(xt), len(yt)) >= 2 THEN k / least(len(xt), len(yt))::DOUBLE ELSE 0 END) END AS sim FROM p),
+        m AS (SELECT candidate_id, arg_max(archive_id, (sim, -archive_id)) AS archive_id FROM q WHERE sim >= 0.85 GROUP BY 1)
+        SELECT candidate_id, archive_id, 'digest' AS layer, 'duplicate' AS verdict FROM s UNION ALL SELECT candidate_id, archive_id, 'hash', 'duplicate' FROM n UNION ALL SELECT candidate_id, archive_id, 'title', 'needs_review' FROM m
+        UNION ALL SELECT id, NULL, 'none', 'new' FROM r WHERE id NOT IN (SELECT candidate_id FROM m)""",
+)
+def layered_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row against all others, by whole titles; layered_dedup splits the rows into two sides."""
+    h = _hash_rows(spark, sf_dir, whole=True)
+    return joins.layered_dedup(h, h.select("*"), bits=32)
+
+
 @register(
     "embedding_blocked",
     "JOIN-08 MTH-02 SRC-13 SRT-15 JOIN-29",
@@ -341,21 +390,42 @@ def same_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def title_margin_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
+    return _title_margin(p.where("p_partkey % 20 = 0"), p.where("p_partkey % 20 <> 0"))
+
+
+@register(
+    "title_margin_match_all",
+    "JOIN-13 JOIN-16 JOIN-17 JOIN-18 STR-07 STR-10",
+    """WITH w AS (SELECT p_partkey AS id, p_brand AS creator, p_name AS title, p_size AS year FROM part), o AS (SELECT p_partkey AS qid, p_brand AS creator, p_name AS label, p_size AS year FROM part),
+        p AS (SELECT id, qid, w.year AS wy, o.year AS oy, list_distinct(string_split(w.title, ' ')) AS a, list_distinct(string_split(o.label, ' ')) AS b FROM w JOIN o ON w.creator = o.creator AND id <> qid),
+        s AS (SELECT id, qid, abs(wy - oy) <= 6 AS sane, len(list_intersect(a, b)) / len(a)::DOUBLE AS score FROM p), g AS (SELECT *, max(score) OVER (PARTITION BY id) AS best FROM s), c AS (SELECT *, count(*) OVER (PARTITION BY id) AS n_cluster FROM g WHERE score >= best - 0.04 AND best >= 0.5)
+        SELECT id, qid, score, CASE WHEN n_cluster > 1 THEN 'ambiguous' WHEN NOT sane THEN 'year-mismatch' ELSE 'matched' END AS reason FROM c""",
+)
+def title_margin_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part against all others; title_margin_match splits the parts into two sides."""
+    p = table(spark, sf_dir, "part")
+    return _title_margin(p, p)
+
+
+def _title_margin(works: DataFrame, others: DataFrame) -> DataFrame:
     toks = text.tokens(text.norm_title(F.col("p_name")))
-    w = p.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("id"), "p_brand", toks.alias("a"), F.col("p_size").alias("wy"))
-    o = p.where("p_partkey % 20 <> 0").select(F.col("p_partkey").alias("qid"), "p_brand", toks.alias("b"), F.col("p_size").alias("oy"))
-    scored = w.join(o, "p_brand").select("id", "qid", (F.abs(F.col("wy") - F.col("oy")) <= 6).alias("sane"), (F.size(F.array_intersect("a", "b")) / F.size("a")).alias("score"))
+    w = works.select(F.col("p_partkey").alias("id"), "p_brand", toks.alias("a"), F.col("p_size").alias("wy"))
+    o = others.select(F.col("p_partkey").alias("qid"), "p_brand", toks.alias("b"), F.col("p_size").alias("oy"))
+    scored = w.join(o, "p_brand").where("id <> qid").select("id", "qid", (F.abs(F.col("wy") - F.col("oy")) <= 6).alias("sane"), (F.size(F.array_intersect("a", "b")) / F.size("a")).alias("score"))
     near = windows.within_margin(scored, ["id"], "qid", "score", 0.04).where("best >= 0.5").join(scored.select("id", "qid", "sane"), ["id", "qid"])
     return near.select("id", "qid", "score", F.when(F.col("n_cluster") > 1, "ambiguous").when(~F.col("sane"), "year-mismatch").otherwise("matched").alias("reason"))
 
 
 @register("entity_match_ratio", "JOIN-13 STR-08 STR-09")
 def entity_match_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ratcliff-Obershelp similarity of blocked titles; SQL has no such function, so tests compare it with the library's."""
+    """Ratcliff-Obershelp similarity of blocked titles, every part against all others; SQL has no such function, so tests compare it with the library's."""
     p = table(spark, sf_dir, "part")
-    w = p.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("id"), "p_brand", F.col("p_name").alias("title"))
-    o = p.where("p_partkey % 50 <> 0").select(F.col("p_partkey").alias("qid"), "p_brand", F.concat("p_name", F.lit(" 1900")).alias("label"))
-    scored = w.join(o, "p_brand").select("id", "qid", text.ratio(text.score_fold(F.col("title")), text.score_fold(F.col("label"))).alias("score"))
+    w = p.select(F.col("p_partkey").alias("id"), "p_brand", text.score_fold(F.col("p_name")).alias("title"))
+    o = p.select(F.col("p_partkey").alias("qid"), "p_brand", text.score_fold(F.concat("p_name", F.lit(" 1900"))).alias("label"))
+    # Titles repeat, so each pair of them is scored once a block.
+    titles = w.select("p_brand", "title").distinct().join(o.select("p_brand", "label").distinct(), "p_brand")
+    ratios = titles.select("p_brand", "title", "label", text.ratio("title", "label").alias("score"))
+    scored = w.join(ratios, ["p_brand", "title"]).join(o, ["p_brand", "label"]).where("id <> qid").select("id", "qid", "score")
     return windows.within_margin(scored, ["id"], "qid", "score", 0.04).where("best >= 0.93").select("id", "qid", "score", "n_cluster")
 
 

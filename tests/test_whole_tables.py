@@ -88,3 +88,15 @@ def test_unknown_blocks_meet_everything(spark):
     expected = {(i, j, rank) for i, v, block in rows for rank, j in enumerate(sorted((r[0] for r in rows if r[0] != i and not (block and r[2] and block != r[2])), key=lambda j: (-cosine(v, rows[j - 1][1]), j))[:3], 1)}
     assert {(r.query_id, r.match_id, r["rank"]) for r in joins.blocked_cosine_topk(e, e, "artist", 3).collect()} == expected
     assert (2, 1, 1) in expected and (1, 2, 1) in expected
+
+
+def test_same_side_duplicates_meet(spark, tmp_path):
+    """Ids 13 and 23, equal texts on one side of the old split; parts that no old filter lets meet."""
+    docs = [(13, "an equal text", "s"), (23, "an equal text", "s"), (30, "x" * 35 + " one", "t"), (40, "y" * 35 + " two", "u")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "red ring bolts", "b", 5), (2, "red ring bolts", "b", 5), (3, "blue", "c", 5)], "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    q = registry.queries()
+    layered = {r.candidate_id: (r.archive_id, r.layer) for r in q["layered_dedup_all"](spark, str(tmp_path)).collect()}
+    assert layered[13] == (23, "digest") and layered[23] == (13, "digest")
+    assert {(r.id, r.qid) for r in q["title_margin_match_all"](spark, str(tmp_path)).collect()} == {(1, 2), (2, 1)}
+    assert {(r.id, r.qid): r.score for r in q["entity_match_ratio"](spark, str(tmp_path)).collect()} == {(1, 2): 1.0, (2, 1): 1.0}

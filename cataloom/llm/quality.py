@@ -139,7 +139,7 @@ def fit_labellers(patterns: dict[str, int], rounds: int = 200) -> tuple[dict[str
 
 def word_slots(word: str) -> tuple[int, int]:
     """Hashed slots of a word and of its shape: the kinds of its characters, runs of a kind once."""
-    kinds = ["a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c for c in word[:24]]
+    kinds = ["a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c for c in word]
     shape = "".join(k for k, before in zip(kinds, ["", *kinds], strict=False) if k != before)
     return zlib.crc32(word.encode()) % N_WEIGHTS, zlib.crc32(b"shape " + shape.encode()) % N_WEIGHTS
 

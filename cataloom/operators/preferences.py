@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from cataloom.plans.scratch import written
+from cataloom.scratch import written
 
 # Centroid weights, prior games, fit limits, display weights.
 BETA, GAMMA = 1.0, 0.5
@@ -19,8 +19,8 @@ SITELINKS_FULL_AT = 30.0
 DISPLAY_WEIGHTS = {"sitelinks": 0.45, "image": 0.25, "collection": 0.15, "corroboration": 0.15}
 STUDY_WORDS = r"(?i)\b(stud(?:y|ies)|sketch|drawing|fragment|preparatory|cartoon|recto|verso)\b"
 STUDY_DEMOTION = 0.4
-#: Items of one component or group that are fitted or chosen from in one task; a larger one is handled by joins.
-FIT_ITEMS = 20_000
+#: Items of a group that are chosen from in one task; pairs of a component that are fitted in one. Larger ones are handled by joins, by the same rule.
+FIT_ITEMS, FIT_PAIRS = 20_000, 1_000_000
 
 
 def rocchio_weights(features: DataFrame, scores: DataFrame) -> DataFrame:
@@ -57,13 +57,12 @@ def components(edges: DataFrame) -> DataFrame:
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
     labels = written(labels, "labels")
     while True:
-        heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("heard"))
+        heard = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("heard"))
         lower = labels.join(heard, "node").select("node", F.least("component", "heard").alias("component"), F.col("component").alias("before"))
         onward = lower.select(F.col("node").alias("component"), F.col("component").alias("onward"))
-        new = written(lower.join(onward, "component", "left").select("node", F.coalesce("onward", "component").alias("component"), "before"), "labels")
-        labels = new.select("node", "component")
-        if new.where("component <> before").isEmpty():
-            return labels
+        labels = written(lower.join(onward, "component", "left").select("node", F.coalesce("onward", "component").alias("component"), "before"), "labels", replaces=labels)
+        if labels.where("component <> before").isEmpty():
+            return labels.select("node", "component")
 
 
 def _fit_component(rows: pd.DataFrame) -> pd.DataFrame:
@@ -84,14 +83,18 @@ def _fit_component(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"item": items, "component": rows["component"].iloc[0], "strength": strength, "iterations": steps, "converged": converged})
 
 
-def bradley_terry(comparisons: DataFrame) -> DataFrame:
-    """item, component, strength, iterations, converged. Each component, whose size is checked, is fitted by one task; strengths average 1 within it."""
+def bradley_terry(comparisons: DataFrame, fit_pairs: int = FIT_PAIRS) -> DataFrame:
+    """item, component, strength, iterations, converged; strengths average 1 within a component.
+
+    Each component is fitted by one task if no component has more pairs than that; else the same steps run as joins. Both
+    stop at TOLERANCE, so their strengths agree to that.
+    """
     pairs = pair_counts(comparisons)
     labels = components(pairs.select("a", "b"))
-    largest = labels.groupBy("component").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    if largest is not None and largest > FIT_ITEMS:
-        return _fit_by_joins(pairs, labels)
     held = pairs.join(labels.withColumnRenamed("node", "a"), "a")
+    largest = held.groupBy("component").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    if largest is not None and largest > fit_pairs:
+        return _fit_by_joins(pairs, labels)
     return held.groupBy("component").applyInPandas(_fit_component, "item long, component long, strength double, iterations int, converged boolean")
 
 
@@ -108,9 +111,8 @@ def _fit_by_joins(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         raw = wins.join(denominators, "item").select("item", "component", (F.col("wins") / F.col("d")).alias("raw"))
         scale = raw.groupBy("component").agg(F.sum("raw").alias("total")).join(sizes, "component")
         new = raw.join(scale, "component").join(current.select("item", F.col("strength").alias("before")), "item")
-        current = written(new.select("item", "component", (F.col("raw") * F.col("n_items") / F.col("total")).alias("strength"), "before"), "strengths")
+        current = written(new.select("item", "component", (F.col("raw") * F.col("n_items") / F.col("total")).alias("strength"), "before"), "strengths", replaces=current)
         moved = current.agg(F.max(F.abs(F.col("strength") - F.col("before")))).first()[0]
-        current = current.select("item", "component", "strength")
         if moved is None or moved < TOLERANCE:
             break
     return current.select("item", "component", "strength", F.lit(step).alias("iterations"), F.lit(moved is None or moved < TOLERANCE).alias("converged"))

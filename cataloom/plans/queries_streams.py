@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cataloom.plans.scratch import shared_folder, written
+from cataloom.scratch import shared_folder, written
 from cataloom.registry import register
 from cataloom.streaming import streams
 

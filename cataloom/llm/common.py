@@ -1,51 +1,30 @@
-"""Helpers that the training-data operators share: scratch tables in the shared folder, column replacement, stable hashing."""
+"""Helpers that the training-data operators share: column replacement, internal names, stable hashing, bounded Arrow batches."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import functools
-import uuid
-from collections.abc import Callable, Iterator
+import gc
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SCRATCH: list[tuple[SparkSession, str]] = []
+from cataloom.scratch import discard, written
 
+__all__ = ["bound_batches", "discard", "fresh", "replacing", "trimmed", "unit_hash", "written"]
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+#: Bytes of an Arrow batch that goes to a Python worker; whole texts of any length pass through.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+_BATCH_DEFAULT = 64 << 20
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet under the shared folder and read it back. Removed when the driver ends."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/cataloom-{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    if not _SCRATCH:
-        atexit.register(release_scratch)
-    _SCRATCH.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release_scratch() -> None:
-    """Delete the tables that written() has left in the shared folder."""
-    while _SCRATCH:
-        spark, path = _SCRATCH.pop()
-        try:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session may be gone already; the files are scratch
-            return
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on the bytes of an Arrow batch if it is the default, so that texts don't pile up beside the heap."""
+    if spark.conf.get(_BATCH_SETTING).rstrip("b") == str(_BATCH_DEFAULT):
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
 
 
 def replacing(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -55,6 +34,15 @@ def replacing(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*rest, *[value.alias(name) for name, value in columns.items()])
 
 
+def fresh(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, with a prefix that makes them clash with none of the columns in any letter case."""
+    taken = {c.lower() for c in columns}
+    prefix = "__"
+    while any(c.startswith(prefix) for c in taken):
+        prefix += "_"
+    return [prefix + name for name in names]
+
+
 def unit_hash(*parts: Column) -> Column:
     """A double in (0, 1] from the 64-bit hash of the parts."""
     return (F.shiftrightunsigned(F.xxhash64(*parts), 11) + F.lit(1)).cast("double") / F.lit(float(1 << 53))
@@ -66,6 +54,7 @@ def trimmed(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
     @functools.wraps(function)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from function(batches)
+        gc.collect()
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
         if trim is not None:

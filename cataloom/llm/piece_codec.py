@@ -1,14 +1,18 @@
 """SentencePiece encoding and decoding for merge-type (BPE) models, exact, by backtracking.
 
 A text is cut where no piece can cross: before each run of the space mark, at line breaks and at characters that the
-vocabulary lacks. In each unit an Aho-Corasick automaton lists the pieces that start at each position, longest first.
-The encoder takes the longest one that is compatible with the piece before it, falls back to shorter ones, and else
-drops the last piece; a bitfield keeps the positions from which no encoding exists, so that none is tried twice. Two
-pieces are compatible if merging the characters of both again, by the model's rule (best score first, then leftmost),
-gives just these two; a sequence whose neighbours are all compatible is the one that merging the whole unit gives.
-Space marks have pieces of equal score, for which that argument fails, so runs of several are merged directly.
+vocabulary lacks. In each unit an Aho-Corasick automaton finds the longest piece that starts at each position; shorter
+ones follow from a table of each piece's longest proper prefix. The encoder takes the longest one that is compatible
+with the piece before it, falls back to shorter ones, and else drops the last piece; a bitfield keeps the positions from
+which no encoding exists, so that none is tried twice. Two pieces are compatible if merging the characters of both again,
+by the model's rule (best score first, then leftmost), gives just these two; a sequence whose neighbours are all
+compatible is the one that merging the whole unit gives. Runs of space marks, whose pieces tie in score below all others,
+take the same way: of runs of equal score only the longest piece followed by the rest is compatible with itself.
 Characters without a piece become byte pieces.
 
+A worker keeps the ids of units it has met, within a bound of bytes, and the compatibility of pairs, within a bound of
+entries; both bounds change speed only.
+
 Defined results: a null text counts as empty; an empty text has no ids and decodes to an empty text; texts of any
 length are processed whole; rows keep their other columns, and columns named like an output column are replaced.
 """
@@ -25,11 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
+from cataloom.llm.common import trimmed
+
 SPACE = "▁"
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
-#: Entries of the caches of a worker. Units are kept in two generations: a full young one becomes the old one, and what
-#: is used again moves to the young one. Units longer than CACHED_CHARS aren't kept.
-CACHE_ENTRIES, CACHED_CHARS = 300_000, 48
+#: Bytes of the units that a worker keeps in each of two generations (a full young one becomes the old one, and what is
+#: used again moves to the young one), what an entry takes beside its characters, the longest unit kept, and pairs kept.
+CACHE_BYTES, ENTRY_BYTES, CACHED_CHARS, CACHED_PAIRS = 32 << 20, 260, 48, 200_000
 
 
 class PieceModel:
@@ -57,16 +63,23 @@ class PieceCodec:
 
     def __init__(self, model: PieceModel) -> None:
         self.model = model
-        self.alphabet = {p for p in model.scores if len(p) == 1}
+        alphabet = sorted(p for p in model.scores if len(p) == 1)
+        self.unknown = re.compile(f"[^{re.escape(''.join(alphabet))}]" if alphabet else "[\\s\\S]")
         self.matcher = ahocorasick.Automaton()
-        for piece, number in model.ids.items():
-            if self.merge(piece) == [piece]:  # a piece that merging never ends with is never part of an encoding
-                self.matcher.add_word(piece, (number, len(piece)))
+        self.sizes = [len(p) for p in model.pieces]
+        self.surfaces = [p.replace(SPACE, " ") for p in model.pieces]
+        self.shorter = [-1] * len(model.pieces)  # the longest piece that is a proper prefix
+        sound = {piece: number for piece, number in model.ids.items() if self.merge(piece) == [piece]}
+        for piece, number in sound.items():  # a piece that merging never ends with is never part of an encoding
+            self.matcher.add_word(piece, number)
+            self.shorter[number] = next((sound[piece[:n]] for n in range(len(piece) - 1, 0, -1) if piece[:n] in sound), -1)
         self.matcher.make_automaton()
         self.byte_of = {i: b for b, i in model.byte_ids.items()}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.units: dict[str, tuple[str, str]] = {}
-        self.old_units: dict[str, tuple[str, str]] = {}
+        self.odd = frozenset(self.byte_of) | model.control_ids | {model.unknown_id}
+        self.pairs: dict[int, bool] = {}
+        self.units: dict[str, str | tuple[str, str]] = {}
+        self.old_units: dict[str, str | tuple[str, str]] = {}
+        self.unit_bytes = 0
 
     def merge(self, text: str) -> list[str]:
         """The model's own rule: join the neighbours whose joint piece scores best, the leftmost first, until none is left."""
@@ -93,57 +106,59 @@ class PieceCodec:
         return [p for p in parts if p]
 
     def compatible(self, left: int, right: int) -> bool:
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) >= CACHE_ENTRIES:
-                self.pairs.clear()
-            pieces = self.model.pieces
-            known = self.pairs[left, right] = self.merge(pieces[left] + pieces[right]) == [pieces[left], pieces[right]]
+        pieces = self.model.pieces
+        if len(self.pairs) >= CACHED_PAIRS:
+            self.pairs.clear()
+        known = self.pairs[left << 32 | right] = self.merge(pieces[left] + pieces[right]) == [pieces[left], pieces[right]]
         return known
 
     def backtrack(self, text: str) -> list[int]:
-        """Ids of a text of known characters without runs of the space mark."""
-        starts: list[list[tuple[int, int]]] = [[] for _ in text]
-        for end, (number, n) in self.matcher.iter(text):
-            starts[end - n + 1].append((n, number))
-        for found in starts:
-            found.reverse()  # the automaton reports ends from left to right, so shorter pieces first
+        """Ids of a text of known characters."""
+        sizes, shorter, pairs = self.sizes, self.shorter, self.pairs
+        longest = [-1] * len(text)
+        for end, number in self.matcher.iter(text):  # ends come from left to right, so the longest piece of a start comes last
+            longest[end - sizes[number] + 1] = number
         failed = bytearray(len(text) // 8 + 1)
-        chosen: list[tuple[int, int, int]] = []  # position, which of the pieces there, id
-        at, choice = 0, 0
+        chosen: list[int] = []
+        at, last, offered = 0, -1, longest[0]
         while at < len(text):
-            last = chosen[-1][2] if chosen else None
-            for k in range(choice, len(starts[at])):
-                n, number = starts[at][k]
-                end = at + n
-                if not failed[end >> 3] >> (end & 7) & 1 and (last is None or self.compatible(last, number)):
-                    chosen.append((at, k, number))
-                    at, choice = end, 0
-                    break
+            while offered >= 0:
+                end = at + sizes[offered]
+                if not failed[end >> 3] >> (end & 7) & 1:
+                    fits = last < 0 or pairs.get(last << 32 | offered)
+                    if fits is None:
+                        fits = self.compatible(last, offered)
+                    if fits:
+                        break
+                offered = shorter[offered]
+            if offered >= 0:
+                chosen.append(offered)
+                at, last = end, offered
+                offered = longest[at] if at < len(text) else -1
             else:
                 failed[at >> 3] |= 1 << (at & 7)
-                at, choice, _ = chosen.pop()
-                choice += 1
-        return [number for _, _, number in chosen]
+                dropped = chosen.pop()
+                at -= sizes[dropped]
+                last, offered = chosen[-1] if chosen else -1, shorter[dropped]
+        return chosen
 
     def unit_ids(self, unit: str) -> list[int]:
         ids: list[int] = []
-        model, alphabet = self.model, self.alphabet
-        at = 0
+        model, at = self.model, 0
         while at < len(unit):
-            end = at
-            while end < len(unit) and unit[end] in alphabet:
-                end += 1
+            stop = self.unknown.search(unit, at)
+            end = stop.start() if stop else len(unit)
             if end > at:
-                part = unit[at:end]
-                ids += [model.ids[p] for p in self.merge(part)] if part.startswith(SPACE * 2) else self.backtrack(part)
-            if end < len(unit):
+                ids += self.backtrack(unit[at:end] if stop or at else unit)
+            if stop:
                 ids += [model.byte_ids[b] for b in unit[end].encode()] if model.byte_ids else [model.unknown_id]
             at = end + 1
         return ids
 
     def decode_raw(self, ids: list[int]) -> str:
         """The surface of ids, its first space mark still there."""
+        if self.odd.isdisjoint(ids):
+            return "".join([self.surfaces[i] for i in ids])
         out, pending = [], bytearray()
         for i in ids:
             if i in self.byte_of:
@@ -155,7 +170,7 @@ class PieceCodec:
             if i == self.model.unknown_id:
                 out.append(self.model.unknown_text)
             elif i not in self.model.control_ids:
-                out.append(self.model.pieces[i].replace(SPACE, " "))
+                out.append(self.surfaces[i])
         return "".join(out) + _surface(pending)
 
     def decode(self, ids: list[int]) -> str:
@@ -163,25 +178,32 @@ class PieceCodec:
         first = self.model.pieces[ids[0]] if ids else ""
         return text[1:] if self.model.prefix and first.startswith(SPACE) else text
 
-    def _coded(self, unit: str) -> tuple[str, str]:
+    def _coded(self, unit: str) -> str | tuple[str, str]:
+        """A unit's ids, comma-joined; with what they decode to, if that isn't the unit itself."""
         coded = self.old_units.get(unit)
         if coded is None:
             ids = self.unit_ids(unit)
-            coded = (",".join(map(str, ids)), self.decode_raw(ids))
+            coded, decoded = ",".join(map(str, ids)), self.decode_raw(ids)
+            if decoded != unit.replace(SPACE, " "):
+                coded = coded, decoded
         if len(unit) <= CACHED_CHARS:
             self.units[unit] = coded
+            self.unit_bytes += ENTRY_BYTES + 2 * len(unit)
+            if self.unit_bytes > CACHE_BYTES:
+                self.units, self.old_units, self.unit_bytes = {}, self.units, 0
         return coded
 
     def encode_text(self, text: str) -> tuple[str, str]:
         """The ids of a text, comma-joined, and what they decode to."""
         if not text:
             return "", ""
-        if len(self.units) >= CACHE_ENTRIES:
-            self.units, self.old_units = {}, self.units
-        get, coded = self.units.get, self._coded
-        found = [get(unit) or coded(unit) for unit in _UNITS.findall(self.model.prefix + text.replace(" ", SPACE))]
-        decoded = "".join([d for _, d in found])
-        return ",".join([i for i, _ in found]), decoded[1:] if self.model.prefix else decoded
+        coded, units = self._coded, _UNITS.findall(self.model.prefix + text.replace(" ", SPACE))
+        found = [self.units.get(unit) or coded(unit) for unit in units]
+        for k, one in enumerate(found):
+            if type(one) is tuple:
+                found[k], units[k] = one
+        decoded = "".join(units).replace(SPACE, " ")
+        return ",".join(found), decoded[1:] if self.model.prefix else decoded
 
     def encode(self, text: str) -> list[int]:
         joined, _ = self.encode_text(text)
@@ -218,7 +240,7 @@ def _codec(serialized: bytes) -> PieceCodec:
 
 
 #: Bytes of results that one Arrow batch holds.
-_BATCH_BYTES = 8 << 20
+_BATCH_BYTES = 1 << 20
 
 
 def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
@@ -245,4 +267,4 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text") -
                     at, held, rows = k + 1, 0, []
 
     schema = source.select(*[f"`{c}`" for c in rest]).schema.add("n_tokens", "long").add("ids", "string").add("decoded", "string")
-    return source.mapInArrow(coded, schema)
+    return source.mapInArrow(trimmed(coded), schema)

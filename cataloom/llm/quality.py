@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cataloom.llm.common import trimmed
+
 #: Rows that the scorer is trained on, at most, and its number of hashed weights.
 TRAIN_ROWS, N_WEIGHTS = 4_000, 1 << 14
 BAD, ABSTAIN, GOOD = 0, 1, 2
@@ -219,7 +221,7 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> QualityModel:
     """The model of docs: vote patterns of all rows (3 to the number of labellers at most), then the scorer on the sample."""
     text = docs[f"`{text_col}`"].alias("text")
-    patterns = docs.select(text).mapInArrow(_votes, "votes string").groupBy("votes").count().collect()
+    patterns = docs.select(text).mapInArrow(trimmed(_votes), "votes string").groupBy("votes").count().collect()
     posteriors, accuracies = fit_labellers({r["votes"]: r["count"] for r in patterns})
     key = F.xxhash64(docs[f"`{id_col}`"].cast("string"))
     first = docs.select(key.alias("key")).distinct().orderBy("key").limit(train_rows).agg(F.max("key")).first()[0]
@@ -245,4 +247,4 @@ def classify(docs: DataFrame, model: QualityModel, text_col: str = "text", least
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *columns], names=[*batch.schema.names[: len(rest)], *added])
 
     schema = source.select(*[f"`{c}`" for c in rest]).schema.add("votes", "string").add("posterior", "double").add("score", "double").add("keep", "boolean")
-    return source.mapInArrow(classified, schema)
+    return source.mapInArrow(trimmed(classified), schema)

@@ -9,8 +9,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cataloom import registry
 from cataloom.llm import exact_dedup, exact_topk, html_main, lang_id, mixing, near_dedup, pii, piece_codec, quality, sharding
-from cataloom.session import ship_package
+from cataloom.llm.common import bound_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,12 +108,13 @@ ORACLES = {
 
 
 def shipped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """The query, run when the executors have the package."""
+    """The query, run when the executors have the package and Arrow batches are bounded."""
+    ready = registry.shipped(query)
 
     @functools.wraps(query)
     def run(spark: SparkSession, *args: object) -> DataFrame:
-        ship_package(spark)
-        return query(spark, *args)
+        bound_batches(spark)
+        return ready(spark, *args)
 
     return run
 

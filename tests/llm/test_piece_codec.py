@@ -55,7 +55,8 @@ def test_long_units(codec, library, text):
 
 
 def test_small_caches_change_nothing(codec, library, monkeypatch):
-    monkeypatch.setattr(P, "CACHE_ENTRIES", 3)
+    monkeypatch.setattr(P, "CACHE_BYTES", 900)
+    monkeypatch.setattr(P, "CACHED_PAIRS", 3)
     text = "many different words make the caches turn over and over again " * 5
     assert codec.encode(text) == library.encode(text)
 
@@ -67,3 +68,9 @@ def test_table(hostile, nothing, library):
         got = out[r.doc_id]
         assert (got.n_tokens, got.ids, got.decoded) == (len(ids), ",".join(map(str, ids)), library.decode(ids))
     assert P.encode_documents(nothing, PATH).count() == 0
+
+
+def test_runs_of_space_marks_take_the_same_way(codec, library):
+    """No length of a run, and nothing after it, leaves the backtracking."""
+    texts = [" " * n + word + " " * k for n in range(70) for word in ("", "the", "zq", "12", "\n", "☃", "▁x") for k in (0, 1, 17)]
+    assert [codec.encode(t) for t in texts] == [library.encode(t) for t in texts]

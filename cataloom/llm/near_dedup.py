@@ -1,20 +1,25 @@
 """Near-duplicate detection by improved consistent weighted sampling over TF-IDF shingles.
 
-1. Every text becomes a weighted set of hashed five-word shingles; its weight is the term frequency times the inverse
-   document frequency. Document frequencies are counted over all documents into CELLS hashed cells, a table of fixed
-   size, so that what is broadcast doesn't grow.
+1. Every text becomes a weighted set of hashed five-word shingles; the weight of one is its term frequency times its
+   inverse document frequency, 1 + ln(total / df) / ln(total): from 1 for what is everywhere to 2 for what is met once,
+   so that rare words which an edit brings in don't outweigh the text that two copies share. Document frequencies are
+   counted over all documents into 2 ** CELLS_LOG2 hashed cells, a table of fixed size, so that what is broadcast
+   doesn't grow. A cell counts by what it holds above the mean cell: in a corpus that fills all cells the many rare
+   shingles of each are that mean, and a shingle stands out once it makes up more than one cell's share of all.
 2. Consistent weighted samples (r, c from Gamma(2, 1), b from U(0, 1); t = floor(ln w / r + b); the least
    c / exp(r (t - b + 1)) wins) agree between two sets with the probability of their weighted Jaccard similarity.
    BANDS bands of ROWS samples make buckets; texts of the same words are one node.
 3. Each bucket is compared exactly, a block of at most BLOCK members a time, by weighted Jaccard similarity; what is
    joined already is not compared again, and a block gives at most a spanning forest of links. A larger bucket is dealt
-   into blocks that share a few pivots. Members that its largest component has not taken in meet all its other blocks
+   into blocks that share a few pivots; its members find its size by a broadcast, so that no task gathers them. Members that its largest component has not taken in meet all its other blocks
    afterwards, so that no link between classes is lost, however large the bucket.
 4. Links become components by label propagation with shortcuts; the class of a document is its least identifier.
 
 Words are runs of bytes above the space, ASCII capitals folded. Defined results: texts with the same words are one
 class, and so are all texts without words; shorter texts are one shingle; rows that share an identifier are one
-document; rows without an identifier have no class and are kept; an empty table gives an empty result.
+document, whatever their texts; rows without an identifier have no class and are kept; an empty table gives an empty
+result. Texts whose similarity is below the threshold are never joined directly, however many words they share: a text
+of n words with e scattered edits keeps about (n - 5e) / (n + 5e) of its shingles, so 0.8 allows 2 % of edited words.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cataloom.llm.common import replacing, trimmed, written
+from cataloom.llm.common import discard, fresh, replacing, trimmed, written
 
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
 #: At a similarity of 0.8, 12 bands of 3 samples miss (1 - 0.8 ** 3) ** 12 = 0.02 % of the pairs.
@@ -34,8 +39,8 @@ ROWS, BANDS = 3, 12
 CELLS_LOG2 = 22
 #: Members that are compared at a time, and pivots that the blocks of a larger bucket share.
 BLOCK, PIVOTS = 256, 4
-#: Steps of one unit of inverse document frequency that the table holds.
-IDF_STEPS = 8
+#: Steps between the least and the largest inverse document frequency that the table holds.
+IDF_STEPS = 255
 #: Identifiers that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _CHUNK_BYTES = 1 << 20
@@ -127,18 +132,20 @@ def _cells(values: np.ndarray) -> np.ndarray:
     return (values >> np.uint64(64 - CELLS_LOG2)).astype(np.int64)
 
 
-def idf_table(counts: np.ndarray, n_documents: int) -> np.ndarray:
-    """Steps of inverse document frequency by cell: ln of all counts over the cell's, the mean count being added to each."""
-    total = max(1.0, float(counts.sum()))
-    share = counts / total + 1.0 / len(counts)
-    return np.maximum(1, np.round(-np.log(share) * IDF_STEPS)).clip(max=255).astype(np.uint8)
+def idf_table(counts: np.ndarray) -> np.ndarray:
+    """Steps of inverse document frequency by cell, from 0 for a shingle that makes up all to IDF_STEPS for one met once."""
+    total = float(counts.sum())
+    if total <= 1:
+        return np.full(len(counts), IDF_STEPS, dtype=np.uint8)
+    above = np.maximum(1.0, counts - total / len(counts))
+    return np.round(IDF_STEPS * np.log(total / above) / np.log(total)).astype(np.uint8)
 
 
 def weighted(texts: list[bytes], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of texts, their weights, cuts, and the hashes of the texts' words."""
     found = Shingles(texts)
     values, times, cuts = distinct(found.values, found.cuts)
-    return values, times * (idf[_cells(values)] / np.float32(IDF_STEPS)).astype(np.float32), cuts, found.keys
+    return values, times * (1 + idf[_cells(values)] / np.float32(IDF_STEPS)).astype(np.float32), cuts, found.keys
 
 
 def samples(values: np.ndarray, weights: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -203,49 +210,44 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[byte
 def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents that hold a shingle of each cell, over the rows of a task, in chunks of cells."""
     counts = np.zeros(1 << CELLS_LOG2, dtype=np.int64)
-    n_documents = 0
-    for ids, texts in _chunks(batches):
+    for _, texts in _chunks(batches):
         found = Shingles(texts)
         values, _, _ = distinct(found.values, found.cuts)
         counts += np.bincount(_cells(values), minlength=len(counts))
-        n_documents += len(ids)
-    if n_documents:
-        yield _count_batch(counts, n_documents)
+    if counts.any():
+        yield _count_batch(counts)
 
 
-def _count_batch(counts: np.ndarray, n_documents: int) -> pa.RecordBatch:
+def _count_batch(counts: np.ndarray) -> pa.RecordBatch:
     kind = np.uint16 if counts.max(initial=0) < 1 << 16 else np.int64
     parts = [counts[at : at + _CELL_CHUNK].astype(kind).tobytes() for at in range(0, len(counts), _CELL_CHUNK)]
     packed = [pa.compress(p, codec="zstd", asbytes=True) for p in parts]
-    return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([n_documents] * len(parts), pa.int64()), pa.array([len(p) // _CELL_CHUNK for p in parts], pa.int32()), pa.array(packed, pa.binary())], names=["chunk", "n_documents", "width", "counts"])
+    return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([len(p) // _CELL_CHUNK for p in parts], pa.int32()), pa.array(packed, pa.binary())], names=["chunk", "width", "counts"])
 
 
-_COUNT_SCHEMA = "chunk int, n_documents long, width int, counts binary"
+_COUNT_SCHEMA = "chunk int, width int, counts binary"
 
 
 def _sum_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of the chunks that meet in a task."""
     sums: dict[int, np.ndarray] = {}
-    documents: dict[int, int] = {}
     for batch in batches:
-        for chunk, n, width, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for chunk, width, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             held = np.frombuffer(pa.decompress(counts, width * _CELL_CHUNK, codec="zstd", asbytes=True), dtype=np.uint16 if width == 2 else np.int64)
             sums[chunk] = sums[chunk] + held if chunk in sums else held.astype(np.int64)
-            documents[chunk] = documents.get(chunk, 0) + n
     for chunk, total in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([documents[chunk]], pa.int64()), pa.array([8], pa.int32()), pa.array([pa.compress(total.tobytes(), codec="zstd", asbytes=True)], pa.binary())], names=["chunk", "n_documents", "width", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([8], pa.int32()), pa.array([pa.compress(total.tobytes(), codec="zstd", asbytes=True)], pa.binary())], names=["chunk", "width", "counts"])
 
 
 def document_frequencies(rows: DataFrame) -> np.ndarray:
     """The IDF table of rows (id, body). Counts meet by chunk of cells; the driver gets the table, whose size is fixed."""
     n_chunks = (1 << CELLS_LOG2) // _CELL_CHUNK
     summed = rows.mapInArrow(trimmed(_count_cells), _COUNT_SCHEMA).repartition(n_chunks, "chunk").mapInArrow(_sum_cells, _COUNT_SCHEMA)
-    counts, n_documents = np.zeros(1 << CELLS_LOG2, dtype=np.int64), 0
+    counts = np.zeros(1 << CELLS_LOG2, dtype=np.int64)
     for row in summed.collect():
         part = np.frombuffer(pa.decompress(row.counts, 8 * _CELL_CHUNK, codec="zstd", asbytes=True), dtype=np.int64)
         counts[row.chunk * _CELL_CHUNK : (row.chunk + 1) * _CELL_CHUNK] = part
-        n_documents = row.n_documents
-    return idf_table(counts, n_documents)
+    return idf_table(counts)
 
 
 def sketch(rows: DataFrame, idf: object) -> DataFrame:
@@ -301,13 +303,13 @@ def _linker(idf: object, threshold: float, n_keys: int) -> object:
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: tuple | None = None
-        group: dict[int, tuple[bytes, bool]] = {}
+        group: dict[tuple[int, bytes], bool] = {}  # an identifier that repeats may have several texts
         out: list[tuple[int, int]] = []
 
         def finish() -> None:
             if len(group) > 1:
-                nodes = list(group)
-                out.extend(link_block(nodes, [group[x][0] for x in nodes], [group[x][1] for x in nodes], idf.value, threshold))
+                nodes, texts = zip(*group, strict=True)
+                out.extend(link_block(list(nodes), list(texts), list(group.values()), idf.value, threshold))
 
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns[: n_keys + 2]]
@@ -316,7 +318,8 @@ def _linker(idf: object, threshold: float, n_keys: int) -> object:
                 if tuple(key) != at:
                     finish()
                     at, group = tuple(key), {}
-                group[node] = (bodies[k].as_py(), asks or (node in group and group[node][1]))
+                member = node, bodies[k].as_py()
+                group[member] = asks or group.get(member, False)
             if out:
                 yield _link_batch(out)
                 out.clear()
@@ -344,14 +347,14 @@ def components(links: DataFrame) -> DataFrame:
     both = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), "links")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
-        heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
+        heard = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
         lower = labels.join(heard, "node").select("node", F.least("label", "heard").alias("label"), F.col("label").alias("before"))
         jump = lower.select(F.col("node").alias("label"), F.col("label").alias("onward"))
         new = lower.join(jump, "label", "left").select("node", F.least("label", F.coalesce("onward", "label")).alias("label"), "before")
-        new = written(new, "labels")
-        labels = new.select("node", "label")
-        if new.where("label <> before").isEmpty():
-            return labels
+        labels = written(new, "labels", replaces=labels)
+        if labels.where("label <> before").isEmpty():
+            discard(both)
+            return labels.select("node", "label")
 
 
 def broadcast_if_small(ids: DataFrame) -> DataFrame:
@@ -359,13 +362,20 @@ def broadcast_if_small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def _buckets(nodes: DataFrame) -> DataFrame:
-    """bucket, node and size of buckets with two nodes or more. Of buckets with the same members the one of least number stays."""
+def _buckets(nodes: DataFrame, block: int) -> DataFrame:
+    """bucket, node and size of buckets with two nodes or more. Of buckets with the same members the one of least number stays.
+
+    Members of buckets beyond a block meet their size by a broadcast, so that a hot bucket isn't gathered by one task.
+    """
     held = nodes.select("node", F.explode("buckets").alias("bucket"))
     code = F.xxhash64("node")
     sizes = held.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor(code).alias("x"), F.sum(F.shiftright(code, 16)).alias("s"), F.min("node").alias("least"))
-    kept = sizes.where("size > 1").groupBy("size", "x", "s", "least").agg(F.min("bucket").alias("bucket"))
-    return held.join(kept.select("bucket", "size"), "bucket")
+    kept = written(sizes.where("size > 1").groupBy("size", "x", "s", "least").agg(F.min("bucket").alias("bucket")).select("bucket", "size"), "kept")
+    hot = kept.where(F.col("size") > block)
+    if not 0 < hot.count() <= BROADCAST_IDS:
+        return held.join(kept, "bucket")
+    apart = held.join(F.broadcast(hot), "bucket", "left")
+    return apart.where("size IS NOT NULL").unionByName(apart.where("size IS NULL").drop("size").join(kept.where(F.col("size") <= block), "bucket"))
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
@@ -376,7 +386,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     sketches = written(sketch(rows, idf), "sketches")
     nodes = sketches.groupBy("k1", "k2").agg(F.min("id").alias("node"), F.first("buckets").alias("buckets"))
     named = written(nodes, "nodes")
-    members = written(_buckets(named), "buckets")
+    members = written(_buckets(named, block), "buckets")
     n_blocks = F.ceil(F.col("size") / block).cast("long")
     dealt = members.select("bucket", F.pmod(F.xxhash64("node"), n_blocks).alias("block"), "node", F.lit(True).alias("asks"))
     # Pivots: the least member by each of a few hashes, shown to every block of a bucket of several.
@@ -386,8 +396,9 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     wanted = broadcast_if_small(members.select("node").distinct())
     bodies = written(rows.select(F.col("id").alias("node"), "body").join(wanted, "node", "left_semi"), "bodies")
     repeated = sketches.join(named.select("k1", "k2", "node"), ["k1", "k2"]).select("id", "node")
-    # A row that repeats an identifier with another text links the nodes of both.
-    same_id = repeated.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("a", "b")
+    # Rows that repeat an identifier with other texts link the nodes of all.
+    several = repeated.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a <> most").select("id", "a")
+    same_id = repeated.distinct().join(several, "id").where("a <> node").select("a", F.col("node").alias("b"))
     links = written(_linked(dealt.union(pivots), ["bucket", "block"], bodies, idf, threshold).union(same_id), "forest")
     labels = components(links)
     if not large.isEmpty():
@@ -414,13 +425,15 @@ def _left_over(large: DataFrame, labels: DataFrame, n_blocks: object, block: int
 def mark_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with class_id and kept: one row of each class, that of the least identifier, is kept."""
     classes = near_duplicate_classes(docs, id_col, text_col, threshold)
-    joined = docs.join(classes.toDF("__near_id", "__near_class"), docs[f"`{id_col}`"].cast("long") == F.col("__near_id"), "left")
-    mine = F.col("__near_class").isNull() | (F.col("__near_class") == F.col("__near_id"))
-    return replacing(joined, {"class_id": F.col("__near_class"), "kept": mine}).drop("__near_id", "__near_class")
+    own, found = fresh(docs.columns, "near_id", "near_class")
+    joined = docs.join(classes.toDF(own, found), docs[f"`{id_col}`"].cast("long") == F.col(own), "left")
+    mine = F.col(found).isNull() | (F.col(found) == F.col(own))
+    return replacing(joined, {"class_id": F.col(found), "kept": mine}).drop(own, found)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that stay, with the columns of docs."""
     classes = near_duplicate_classes(docs, id_col, text_col, threshold)
-    gone = broadcast_if_small(written(classes.where("id <> class_id").select(F.col("id").alias("__near_id")), "gone"))
-    return docs.join(gone, docs[f"`{id_col}`"].cast("long") == gone["__near_id"], "left_anti")
+    (own,) = fresh(docs.columns, "near_id")
+    gone = broadcast_if_small(written(classes.where("id <> class_id").select(F.col("id").alias(own)), "gone"))
+    return docs.join(gone, docs[f"`{id_col}`"].cast("long") == gone[own], "left_anti")

@@ -1,20 +1,23 @@
 """Personal data by patterns, checksums and context, with DataFrame functions only.
 
 A regular expression proposes the spans of each kind, leftmost and non-overlapping. A validator confirms them: the
-Luhn sum for card numbers, mod 97 for IBANs, ranges for address parts, digit counts for phones. Words near a span
-adjust its score. The patterns of the base kinds are written so that no run of characters is scanned twice: possessive
+Luhn sum for card numbers, mod 97 for IBANs, ranges for address parts, digit counts for phones. Words near a span, on
+either side, raise or lower its score. The patterns of the base kinds are written so that no run of characters is scanned twice: possessive
 quantifiers, and starts only at the head of a run or where the last match ended, which finds the same matches as the
 plain patterns. An IBAN ends where the length of its country says, whatever word or number follows; that of a country
 not listed ends at the first end of a word where mod 97 holds. Each head of an IBAN is tried, also within a candidate
 that isn't confirmed.
 
-Positions come from splitting at the pattern: the k-th match starts after k + 1 pieces and k matches. They count code
-points; ends are exclusive. Defined results: a null text counts as empty; no spans give zero counts, an empty list
+Positions come from splitting at the pattern: the k-th match starts after k + 1 pieces and k matches. Their lengths are
+summed in blocks of about the root of their number, so that a text of very many matches isn't quadratic. Positions count
+code points; ends are exclusive. Defined results: a null text counts as empty; no spans give zero counts, an empty list
 and the digest of the empty string; rows and texts of any length are processed whole.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +45,7 @@ PATTERNS = {
     "iban": (rf"(?<![A-Za-z0-9])(?=((?:{_IBANS})(?![A-Za-z0-9])))[A-Z]{{{IBAN_HEAD}}}", None),
 }
 BASE_KINDS = ("email", "ip", "card", "phone")
-#: Words that raise the score of a span when they stand just before it.
+#: Words that raise the score of a span when they stand near it, and words that lower it.
 CONTEXT = {
     "email": "mail|contact|write|reach",
     "ip": "ip|address|host|server|login",
@@ -50,10 +53,19 @@ CONTEXT = {
     "phone": "phone|call|tel|mobile|fax",
     "iban": "iban|bank|account|transfer",
 }
+AGAINST = {
+    "email": "example|sample|dummy",
+    "ip": "version|release|build|firmware|section",
+    "card": "order|tracking|serial|isbn|invoice|article",
+    "phone": "order|tracking|serial|isbn|invoice|article",
+    "iban": "example|sample|dummy",
+}
 #: Score of a confirmed span by kind, before its context counts.
 PRIOR = {"email": 0.8, "ip": 0.5, "card": 0.7, "phone": 0.6, "iban": 0.9}
-#: Code points before a span that count as near, and what a context word adds.
+#: Code points on either side of a span that count as near, and what a context word adds or takes.
 NEAR, NEAR_BONUS = 40, 0.1
+#: Code points that an IBAN takes at most, a space before each character.
+IBAN_REACH = 68
 
 
 def _digits(text: Column) -> Column:
@@ -106,41 +118,71 @@ def _iban_of(candidate: Column) -> Column:
     return F.when(F.substring(candidate, 1, 2).isin(_LISTED), candidate).otherwise(F.get(F.filter(cuts, lambda c: _confirmed("iban", c)), F.lit(0)))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _apart(spans: Column) -> Column:
-    """spans in order without those that begin before the last kept one ends."""
-    def step(kept: Column, s: Column) -> Column:
-        last = F.get(kept, F.size(kept) - 1)
-        return F.when((F.size(kept) > 0) & (s["start"] < last["end"]), kept).otherwise(F.concat(kept, F.array(s)))
+    """spans in order without those that begin within an earlier one."""
+
+    def alone(all_: Column) -> Column:
+        def begins_within(s: Column, i: Column) -> Column:
+            before = F.slice(all_, F.greatest(i - IBAN_REACH, F.lit(0)) + 1, F.least(i, F.lit(IBAN_REACH)))
+            return ~F.exists(before, lambda p: p["end"] > s["start"])
+
+        return F.filter(all_, begins_within)
+
+    return _let(spans, alone)
+
 
-    return F.aggregate(spans, F.slice(spans, 1, 0), step)
+def running_sums(lengths: Column) -> Column:
+    """For each of an array's numbers the sum of those before it; the array isn't empty."""
+
+    def grown(start: Column, numbers: Column) -> Column:
+        return F.aggregate(numbers, F.array(start), lambda sums, x: F.concat(sums, F.array(F.element_at(sums, -1) + x)))
+
+    def blocks_of(xs: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(xs))).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.ceil(F.size(xs) / width).cast("int") - 1), lambda b: F.slice(xs, b * width + 1, width))
+
+    def summed(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0).cast("long"), lambda a, x: a + x))
+        return _let(grown(F.lit(0).cast("long"), totals), lambda starts: F.flatten(F.transform(blocks, lambda block, b: F.slice(grown(F.get(starts, b), block), F.lit(1), F.size(block)))))
+
+    return _let(_let(lengths, blocks_of), summed)
 
 
 def _fold(pieces: Column, matches: Column, kind: str) -> Column:
-    """Spans of a kind: an array of (kind, start, end, match, near), start being the running length of pieces and matches."""
-    start = F.lit(0).cast("long")
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,match:string,near:string>>")
+    """Spans of a kind: an array of (kind, start, end, match, score), start being the running length of pieces and matches."""
+    empty = F.array().cast("array<struct<start:bigint,end:bigint,match:string,before:string,after:string>>")
     index = F.sequence(F.lit(1), F.size(matches))
 
-    def step(state: Column, i: Column) -> Column:
-        piece, match = F.element_at(pieces, i), F.element_at(matches, i)
-        begin = state["at"] + F.length(piece)
-        end = begin + F.length(match)
-        span = F.struct(begin.alias("start"), end.alias("end"), match.alias("match"), F.substring(piece, -NEAR, NEAR).alias("near"))
-        at = begin + IBAN_HEAD if kind == "iban" else end
-        return F.struct(at.cast("long").alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+    def length(i: Column) -> Column:
+        taken = F.lit(IBAN_HEAD) if kind == "iban" else F.length(F.element_at(matches, i))
+        return (F.length(F.element_at(pieces, i)) + taken).cast("long")
 
-    folded = F.aggregate(index, F.struct(start.alias("at"), empty.alias("spans")), step, lambda s: s["spans"])
-    spans = F.when(F.size(matches) > 0, folded).otherwise(empty)
+    def placed(sums: Column) -> Column:
+        def span(i: Column) -> Column:
+            piece, match = F.element_at(pieces, i), F.element_at(matches, i)
+            begin = F.get(sums, i - 1) + F.length(piece)
+            after = F.element_at(pieces, i + 1)
+            if kind == "iban":  # the piece after its head begins with the rest of it
+                after = F.substring(after, F.length(match) - IBAN_HEAD + 1, F.lit(NEAR))
+            return F.struct(begin.alias("start"), (begin + F.length(match)).alias("end"), match.alias("match"), F.substring(piece, -NEAR, NEAR).alias("before"), F.substring(after, F.lit(1), F.lit(NEAR)).alias("after"))
+
+        return F.transform(index, span)
+
+    spans = F.when(F.size(matches) > 0, _let(running_sums(F.transform(index, length)), placed)).otherwise(empty)
     confirmed = F.filter(spans, lambda s: _confirmed(kind, s["match"]))
+
+    def score(s: Column) -> Column:
+        near = F.lower(F.concat_ws(" ", s["before"], s["after"]))
+        return F.lit(PRIOR[kind]) + F.when(near.rlike(f"\\b(?:{CONTEXT[kind]})"), NEAR_BONUS).otherwise(0.0) - F.when(near.rlike(f"\\b(?:{AGAINST[kind]})"), NEAR_BONUS).otherwise(0.0)
+
     return F.transform(
         _apart(confirmed) if kind == "iban" else confirmed,
-        lambda s: F.struct(
-            F.lit(kind).alias("kind"),
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            s["match"].alias("match"),
-            (F.lit(PRIOR[kind]) + F.when(F.lower(s["near"]).rlike(f"\\b(?:{CONTEXT[kind]})"), NEAR_BONUS).otherwise(0.0)).alias("score"),
-        ),
+        lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"), score(s).alias("score")),
     )
 
 

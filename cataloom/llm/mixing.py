@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cataloom.llm.common import replacing
+from cataloom.llm.common import fresh, replacing
 
 BROADCAST_SOURCES, SALTS = 100_000, 32
 #: A rate above this is split into equal parts, each inverted at a digest of its own: exp(-rate) must not vanish.
@@ -46,8 +46,8 @@ def poisson_cdf(rate: Column) -> Column:
 
 def source_rates(docs: DataFrame, source_col: str, weights: dict[str | None, float] | None, target_rows: int | None) -> tuple[DataFrame, int]:
     """Per source: rate, the number of parts it is split into and the distribution of a part; and the number of sources."""
-    counts = docs.groupBy(docs[f"`{source_col}`"].cast("string").alias("__source")).agg(F.count("*").alias("__n"))
-    n_sources, n_rows = counts.agg(F.count("*"), F.coalesce(F.sum("__n"), F.lit(0))).first()
+    counts = docs.groupBy(docs[f"`{source_col}`"].cast("string").alias("source")).agg(F.count("*").alias("n"))
+    n_sources, n_rows = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     total = float(n_rows if target_rows is None else target_rows)
     if weights is None:
         share = F.lit(1.0 / max(1, n_sources))
@@ -55,32 +55,33 @@ def source_rates(docs: DataFrame, source_col: str, weights: dict[str | None, flo
         scale = sum(weights.values())
         share = F.lit(0.0)
         for name, weight in weights.items():
-            share = F.when(F.col("__source").eqNullSafe(F.lit(name)), F.lit(weight / scale)).otherwise(share)
-    rates = counts.select("__source", (F.lit(total) * share / F.col("__n")).alias("__rate"))
-    rates = rates.withColumn("__parts", F.greatest(F.ceil(F.col("__rate") / LARGEST_PART), F.lit(1)).cast("int"))
-    return rates.withColumn("__cdf", poisson_cdf(F.col("__rate") / F.col("__parts"))), n_sources
+            share = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(weight / scale)).otherwise(share)
+    rates = counts.select("source", (F.lit(total) * share / F.col("n")).alias("rate"))
+    rates = rates.withColumn("parts", F.greatest(F.ceil(F.col("rate") / LARGEST_PART), F.lit(1)).cast("int"))
+    return rates.withColumn("cdf", poisson_cdf(F.col("rate") / F.col("parts"))), n_sources
 
 
 def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, target_rows: int | None = None, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
     """docs replicated to the target weights (None: equal for all sources; T: rows of docs), with copy, n_copies and rate, in random order."""
     rates, n_sources = source_rates(docs, source_col, weights, target_rows)
+    name, rate, parts, cdf, salt, count, copy, place = internal = fresh(docs.columns, "source", "rate", "parts", "cdf", "salt", "count", "copy", "place")
+    rates = rates.toDF(name, rate, parts, cdf)
     source, key = docs[f"`{source_col}`"].cast("string"), docs[f"`{id_col}`"]
     if n_sources <= broadcast_sources:
-        joined = docs.join(F.broadcast(rates), source.eqNullSafe(rates["__source"]))
+        joined = docs.join(F.broadcast(rates), source.eqNullSafe(rates[name]))
     else:
-        salted = docs.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
-        spread = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        joined = salted.join(spread, source.eqNullSafe(spread["__source"]) & (salted["__salt"] == spread["__salt"])).drop("__salt")
-    parts = F.sequence(F.lit(1), F.col("__parts"))
+        salted = docs.withColumn(salt, F.pmod(F.xxhash64(key), F.lit(SALTS)))
+        spread = rates.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        joined = salted.join(spread, source.eqNullSafe(spread[name]) & (salted[salt] == spread[salt])).drop(salt)
 
     def drawn(part: Column) -> Column:
         u = seeded_uniform(seed, key, part)
-        return F.size(F.filter("__cdf", lambda c: c <= u))
-
-    count = F.aggregate(F.transform(parts, drawn), F.lit(0), lambda a, n: a + n)
-    counted = joined.withColumn("__count", count).where("__count > 0")
-    copies = counted.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__count"))))
-    placed = copies.withColumn("__place", F.xxhash64(F.lit(seed), key, F.col("__copy")))
-    shuffled = placed.repartition("__place").sortWithinPartitions("__place")
-    out = replacing(shuffled, {"copy": F.col("__copy"), "n_copies": F.col("__count"), "rate": F.col("__rate")})
-    return out.drop("__source", "__rate", "__parts", "__cdf", "__count", "__copy", "__place")
+        return F.size(F.filter(cdf, lambda c: c <= u))
+
+    drawn_counts = F.transform(F.sequence(F.lit(1), F.col(parts)), drawn)
+    counted = joined.withColumn(count, F.aggregate(drawn_counts, F.lit(0), lambda a, n: a + n)).where(F.col(count) > 0)
+    copies = counted.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(count))))
+    placed = copies.withColumn(place, F.xxhash64(F.lit(seed), key, F.col(copy)))
+    shuffled = placed.repartition(place).sortWithinPartitions(place)
+    out = replacing(shuffled, {"copy": F.col(copy), "n_copies": F.col(count), "rate": F.col(rate)})
+    return out.drop(*internal)

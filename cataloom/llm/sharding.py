@@ -4,7 +4,8 @@ A row descends from the root over region and rack to a shard. At each level ever
 a hash of the row's key and the child's name, and the smallest draw wins, so that a child gets its share of the
 weight. The draw of a child depends on that child alone: when weights change, rows move only into or out of subtrees
 whose weight changed. Capacity added as a new subtree under the root takes rows only into itself; tree_for() adds
-every shard beyond the base block in that way, so that one more shard never moves a row between old ones.
+every shard beyond the base block in that way, so that one more shard than the base or more never moves a row between
+old ones. The base block itself is fixed: there is no tree of fewer shards than its base.
 
 Defined results: a null key hashes like any other value; equal keys go to one shard; a null or empty text has size 1;
 an empty table gives an empty result; input columns named like an output column are replaced.
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from cataloom.llm.common import replacing, unit_hash
+from cataloom.llm.common import fresh, replacing, unit_hash
 
 #: Rows that one slot bucket holds on average; each bucket is numbered by one task.
 ROWS_PER_BUCKET = 65_536
@@ -47,9 +48,11 @@ class HashTree:
 
 def tree_for(n_shards: int, base: int = 8, shards_per_rack: int = 2, racks_per_region: int = 2) -> HashTree:
     """The first base shards fill racks and regions; each further shard opens a region of its own."""
+    if n_shards < base:
+        raise ValueError(f"{n_shards} shards are fewer than the base block of {base}")
     tree = HashTree()
     for shard in range(n_shards):
-        if n_shards >= base > shard:
+        if shard < base:
             rack = shard // shards_per_rack
             tree = tree.with_shard(rack // racks_per_region, rack, shard)
         else:
@@ -95,14 +98,15 @@ def number_slots(rows: DataFrame, order: list[str], shard_col: str = "shard", ro
     """rows with slot, gapless from 0 in each shard. A shard is numbered in hash buckets, each by one task; a bucket starts where the counts of those before it end."""
     n_rows, n_shards = rows.agg(F.count("*"), F.count_distinct(shard_col)).first()
     n_buckets = max(1, -(-n_rows // max(1, n_shards * rows_per_bucket)))
-    bucketed = rows.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(n_buckets)))
-    counts = bucketed.groupBy(shard_col, "__bucket").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(shard_col).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(shard_col, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    within = F.row_number().over(Window.partitionBy(shard_col, "__bucket").orderBy(*order))
-    numbered = bucketed.withColumn("__row", within).join(offsets, [shard_col, "__bucket"])
-    out = replacing(numbered, {"slot": (F.col("__before") + F.col("__row") - 1).cast("long")})
-    return out.drop("__bucket", "__before", "__row")
+    bucket, n, start, row = fresh(rows.columns, "bucket", "n", "start", "row")
+    bucketed = rows.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(n_buckets)))
+    counts = bucketed.groupBy(shard_col, bucket).agg(F.count("*").alias(n))
+    before = Window.partitionBy(shard_col).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(shard_col, bucket, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    within = F.row_number().over(Window.partitionBy(shard_col, bucket).orderBy(*order))
+    numbered = bucketed.withColumn(row, within).join(offsets, [shard_col, bucket])
+    out = replacing(numbered, {"slot": (F.col(start) + F.col(row) - 1).cast("long")})
+    return out.drop(bucket, start, row)
 
 
 def write_shards(docs: DataFrame, path: str, tree: HashTree, key_col: str = "doc_id", seed: int = 0) -> None:

@@ -61,3 +61,11 @@ def test_hostile(hostile, nothing):
     assert set(out.columns) == set(hostile.columns) | {"n_copies"} and out.where("source IS NULL").count() > 0
     assert out.where("copy < 1").count() == 0
     assert M.mix_sources(nothing).count() == 0
+
+
+def test_clashing_names(spark):
+    docs = spark.range(40).selectExpr("id AS doc_id", "CAST(id % 3 AS string) AS source", "1 AS __source", "2 AS __count", "3 AS __copy", "4 AS __rate")
+    for few in (0, 100):
+        out = M.mix_sources(docs, broadcast_sources=few)
+        assert out.columns == [*docs.columns, "copy", "n_copies", "rate"]
+        assert {(r["__source"], r["__count"], r["__copy"], r["__rate"]) for r in out.collect()} == {(1, 2, 3, 4)}

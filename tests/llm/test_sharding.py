@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pytest
 from pyspark.sql import functions as F
 
 from cataloom.llm import sharding as S
@@ -31,6 +34,36 @@ def test_weights_give_shares_and_confine_movement(spark):
     assert none.where("shard = 4").count() == 0
 
 
+def test_no_tree_below_its_base(spark):
+    with pytest.raises(ValueError):
+        S.tree_for(7)
+    rows = spark.range(20_000).withColumnRenamed("id", "k")
+    for n in (3, 4, 7):  # smaller base blocks keep the law
+        moved = S.assign_shards(rows, "k", S.tree_for(n, base=3), S.tree_for(n + 1, base=3)).where("shard <> grown_shard")
+        assert {r.grown_shard for r in moved.select("grown_shard").distinct().collect()} == {n}
+
+
+def test_descent_against_brute_force(spark):
+    """Every draw of every child, level by level, from the same hashes."""
+    tree = S.tree_for(8).with_shard(0, 1, 3, 2.5).with_shard(7, 9, 30, 0.5)
+    keys = [f"k{i}" for i in range(300)]
+    names = sorted({c for level in tree.levels() for children in level.values() for c, _ in children})
+    frame = spark.createDataFrame([(k,) for k in keys], "k string")
+    hashed = frame.select("k", *[S.unit_hash(F.lit(0), F.lit(d), F.lit(c).cast("long"), F.col("k")).alias(f"u{d}_{c}") for d in range(3) for c in names]).collect()
+    got = {r.k: r.shard for r in S.assign_shards(frame, "k", tree).collect()}
+    for row in hashed:
+        at = -1
+        for depth, level in enumerate(tree.levels()):
+            at = min((-math.log(row[f"u{depth}_{c}"]) / w, c) for c, w in level[at] if w > 0)[1]
+        assert got[row.k] == at
+
+
+def test_clashing_names(spark):
+    rows = spark.range(50).selectExpr("id AS k", "1 AS __bucket", "2 AS __row", "3 AS __before", "4 AS __n")
+    out = S.number_slots(S.assign_shards(rows, "k", S.tree_for(8)), ["k"])
+    assert sorted(out.columns) == sorted([*rows.columns, "shard", "slot"]) and {(r["__bucket"], r["__row"], r["__before"]) for r in out.collect()} == {(1, 2, 3)}
+
+
 def test_slots_are_gapless(spark):
     rows = S.assign_shards(spark.range(5000).withColumnRenamed("id", "k"), "k", S.tree_for(8))
     slots = S.number_slots(rows, ["k"], rows_per_bucket=100)

@@ -9,7 +9,7 @@ the language with the shortest code wins.
 Training takes whole texts of a bounded, documented sample: for each language the TRAIN_DOCS labelled documents with
 the smallest hashes. Prediction reads the text only, whole.
 
-Defined results: a text that is null or has no letter is `und` with score 0; rows without a label teach nothing; with
+Defined results: a text that is null or has no letter is `und` with score 0; a null identifier is never held out; rows without a label teach nothing; with
 no labels at all every text is `und`; ties between languages go to the first name; rows keep their other columns.
 """
 
@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -169,13 +168,29 @@ class Scorer:
         return total
 
 
-def _counted(rows: pd.DataFrame) -> pd.DataFrame:
-    counts = count_grams([t.encode() for t in rows["text"]])
-    return pd.DataFrame({"lang": rows["lang"].iloc[:1], "grams": [b"".join(k.tobytes() for k, _ in counts)], "counts": [b"".join(n.astype(np.int64).tobytes() for _, n in counts)], "sizes": [[len(k) for k, _ in counts]]})
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Grams of the texts of a batch by language and order, about _CHUNK bytes at a time. Columns: language, text."""
+
+    def counted(lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        for order, (keys, n) in enumerate(count_grams(texts)):
+            size = len(keys)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * size, pa.string()), pa.array([order] * size, pa.int32()), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "order", "gram", "n"])
+
+    held: dict[str, list[bytes]] = {}
+    sizes: dict[str, int] = {}
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            held.setdefault(lang, []).append(text.as_py().encode())
+            sizes[lang] = sizes.get(lang, 0) + len(held[lang][-1])
+            if sizes[lang] >= _CHUNK:
+                yield from counted(lang, held.pop(lang))
+                del sizes[lang]
+    for lang, texts in held.items():
+        yield from counted(lang, texts)
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> Trees:
-    """Trees over the first train_docs labelled documents of each language in hash order. Texts of the sample alone are gathered, a language a task."""
+    """Trees over the first train_docs labelled documents of each language in hash order. Grams are counted where the texts lie; the driver gets the grams of the sample."""
     ids = labelled.where(labelled[f"`{lang_col}`"].isNotNull() & labelled[f"`{text_col}`"].isNotNull())
     ids = ids.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text"))
     order = F.xxhash64(F.col("id").cast("string"))
@@ -189,18 +204,22 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     if n_languages * train_docs <= BROADCAST_IDS:  # then the texts aren't shuffled
         chosen = F.broadcast(chosen)
     sample = ids.join(chosen, ["id", "lang"], "left_semi")
-    found = sample.groupBy("lang").applyInPandas(_counted, "lang string, grams binary, counts binary, sizes array<long>").collect()
+    found = sample.select("lang", "text").mapInArrow(trimmed(_counted), "lang string, order int, gram long, n long").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n")).toArrow()
+    langs, orders = found.column("lang").to_numpy(zero_copy_only=False), found.column("order").to_numpy()
+    grams_, n = found.column("gram").to_numpy().astype(np.int64).view(np.uint64), found.column("n").to_numpy()
     counts = {}
-    for row in found:
-        keys, n = np.frombuffer(row.grams, dtype=np.uint64), np.frombuffer(row.counts, dtype=np.int64)
-        cuts = np.cumsum(row.sizes)[:-1]
-        counts[row.lang] = list(zip(np.split(keys, cuts), np.split(n, cuts), strict=True))
+    for lang in sorted(set(langs)):
+        counts[lang] = []
+        for order in range(MAX_ORDER + 1):
+            at = np.flatnonzero((langs == lang) & (orders == order))
+            at = at[np.argsort(grams_[at])]
+            counts[lang].append((grams_[at], n[at]))
     return Trees.fit(counts)
 
 
 def is_held_out(doc_id: Column) -> Column:
     """Whether a document must teach nothing: crc32 of its identifier as text leaves 2 when divided by 4."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def identify(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:

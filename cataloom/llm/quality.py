@@ -3,11 +3,12 @@
 Overlapping heuristic labellers vote good, bad or abstain on each text. Votes are counted by pattern over all rows, and
 expectation-maximisation over the patterns estimates how each labeller votes on good and on bad texts and how common
 good ones are, which gives each pattern a posterior. Posteriors are the targets of a linear scorer over hashed words,
-word shapes and repetitions, trained on a bounded, documented sample (the TRAIN_ROWS rows with the smallest hashes of
-their identifiers) and applied to the whole text of every row. No human label is read.
+word shapes and repetitions, trained on a bounded, documented sample (the TRAIN_ROWS distinct rows with the smallest
+hashes of identifier and text) and applied to the whole text of every row. No human label is read. The driver gets the
+sample's hashed features, N_WEIGHTS + 2 numbers a row at most, and never a text.
 
 Defined results: a null or blank text has no votes but bad and score 0; if all labellers abstain the posterior is the
-share of good texts; rows that repeat an identifier are scored alike; an empty table gives an empty result.
+share of good texts; equal texts are scored alike, whatever their identifiers; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -160,12 +161,11 @@ def features(text: str) -> dict[int, float]:
     return found
 
 
-def train_scorer(texts: list[str], targets: list[float], rounds: int = 300, rate: float = 4.0, decay: float = 1e-5) -> np.ndarray:
-    """Logistic regression on soft targets, by full gradient steps scaled by each weight's past gradients."""
+def train_scorer(rows: list[dict[int, float]], targets: list[float], rounds: int = 300, rate: float = 4.0, decay: float = 1e-5) -> np.ndarray:
+    """Logistic regression on features and soft targets, by full gradient steps scaled by each weight's past gradients."""
     weights = np.zeros(N_WEIGHTS + 2)
-    if not texts:
+    if not rows:
         return weights
-    rows = [features(t) for t in texts]
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     slot = np.array([s for r in rows for s in r])
     value = np.array([v for r in rows for v in r.values()])
@@ -218,15 +218,28 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([votes_of(t.as_py()) for t in batch.column(0)], pa.string())], names=["votes"])
 
 
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Votes and features of texts, beside their keys."""
+    for batch in batches:
+        texts = [t.as_py() or "" for t in batch.column(2)]
+        rows = [features(t) for t in texts]
+        columns = [pa.array([votes_of(t) for t in texts], pa.string()), pa.array([list(r) for r in rows], pa.list_(pa.int32())), pa.array([list(r.values()) for r in rows], pa.list_(pa.float64()))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["key", "body", "votes", "slots", "weights"])
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> QualityModel:
     """The model of docs: vote patterns of all rows (3 to the number of labellers at most), then the scorer on the sample."""
     text = docs[f"`{text_col}`"].alias("text")
     patterns = docs.select(text).mapInArrow(trimmed(_votes), "votes string").groupBy("votes").count().collect()
     posteriors, accuracies = fit_labellers({r["votes"]: r["count"] for r in patterns})
-    key = F.xxhash64(docs[f"`{id_col}`"].cast("string"))
-    first = docs.select(key.alias("key")).distinct().orderBy("key").limit(train_rows).agg(F.max("key")).first()[0]
-    sample = [r["text"] or "" for r in docs.where(key <= F.lit(first)).select(text).limit(2 * train_rows).collect()] if first is not None else []
-    weights = train_scorer(sample, [posteriors[votes_of(t)] for t in sample])
+    keyed = docs.select(F.xxhash64(docs[f"`{id_col}`"].cast("string")).alias("key"), F.xxhash64(docs[f"`{text_col}`"]).alias("body"), text)
+    last = keyed.select("key", "body").distinct().orderBy("key", "body").limit(train_rows).agg(F.max(F.struct("key", "body"))).first()[0]
+    if last is None:
+        return QualityModel(posteriors, accuracies, train_scorer([], []))
+    chosen = keyed.where((F.col("key") < last.key) | (F.col("key") == last.key) & (F.col("body") <= last.body))
+    held = chosen.mapInArrow(trimmed(_sampled), "key long, body long, votes string, slots array<int>, weights array<double>")
+    sample = held.groupBy("key", "body").agg(F.first(F.struct("votes", "slots", "weights")).alias("row")).orderBy("key", "body").collect()
+    weights = train_scorer([dict(zip(r.row.slots, r.row.weights, strict=True)) for r in sample], [posteriors[r.row.votes] for r in sample])
     return QualityModel(posteriors, accuracies, weights)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -48,3 +50,41 @@ def test_hostile(hostile, nothing):
     rows = {r.doc_id: r for r in out.collect()}
     assert out.count() == hostile.count() and rows[3].score == 0 and not rows[4].keep and set(out.columns) == set(hostile.columns) | {"posterior", "keep"}
     assert Q.classify(nothing, Q.fit(nothing)).count() == 0
+
+
+def test_scorer_against_brute_force():
+    """Training against the same steps written out weight by weight; scoring against the sum over features."""
+    texts = ["good words here", "bad bad bad $$$ word", "more good words", "$$$ bad"]
+    targets = [0.9, 0.1, 0.8, 0.2]
+    rows = [Q.features(t) for t in texts]
+    weights, past = {}, {}
+    slots = sorted({s for r in rows for s in r})
+    for s in slots:
+        weights[s], past[s] = 0.0, 1e-8
+    for _ in range(25):
+        errors = [(1 / (1 + math.exp(-sum(v * weights[s] for s, v in r.items()))) - t) / len(rows) for r, t in zip(rows, targets, strict=True)]
+        for s in slots:
+            gradient = sum(e * r.get(s, 0.0) for e, r in zip(errors, rows, strict=True)) + 1e-5 * weights[s]
+            past[s] += gradient**2
+            weights[s] -= 0.4 * gradient / math.sqrt(past[s])
+    trained = Q.train_scorer(rows, targets, rounds=25)
+    assert all(abs(trained[s] - weights[s]) < 1e-9 for s in slots)
+    scorer = Q.WordScorer(trained)
+    for text, row in zip(texts, rows, strict=True):
+        assert abs(scorer.score(text) - 1 / (1 + math.exp(-sum(v * trained[s] for s, v in row.items())))) < 1e-9
+
+
+def test_sample_is_fixed_where_identifiers_repeat(spark):
+    """One identifier with many texts: the sample keeps its bound, and neither order nor partitions change the model."""
+    rows = [(i % 3, f"text {i} with some words {i * 7 % 11} and $$$ now and then" * (1 + i % 4)) for i in range(400)] * 2
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    models = [Q.fit(frame.repartition(n).orderBy(F.rand(n)), train_rows=50) for n in (1, 5)]
+    assert np.allclose(models[0].weights, models[1].weights) and models[0].weights.any()
+
+
+def test_long_words_and_texts(spark):
+    long = "x" * 40 + "1"
+    assert Q.word_slots(long) != Q.word_slots("x" * 40)
+    frame = spark.createDataFrame([(1, "word " * 300_000), (2, "y" * 1_000_000), (3, "plain text of a few words")], "doc_id long, text string")
+    out = {r.doc_id: r for r in Q.classify(frame, Q.fit(frame)).collect()}
+    assert len(out) == 3 and out[1].votes[1] == "0"

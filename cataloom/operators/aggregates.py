@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from cataloom.functions.numbers import wilson_interval
+from cataloom.operators.windows import running_totals
 
 # Prior rates by tier, weights of the composite and its warm-up.
 TIER_PRIORS: dict[int, dict[str, float]] = {
@@ -130,16 +131,40 @@ def benchmark_metrics(cases: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def distribution(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Linear median and p90, and the maximum."""
-    return rows.groupBy(*keys).agg(F.count(value).alias("n"), F.median(value).alias("median"), F.expr(f"percentile_cont(0.9) WITHIN GROUP (ORDER BY {value})").alias("p90"), F.max(value).alias("most"))
+    return exact_quantiles(rows, keys, value, {"median": 0.5, "p90": 0.9})
+
+
+def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str, shares: Mapping[str, float]) -> DataFrame:
+    """Per key n, the linearly interpolated quantiles of the non-null values, and the maximum (most).
+
+    Values are counted, and the counts run up over range partitions, so that no task gathers the values of a key.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    upto = running_totals(counts, keys, ["value"], {"upto": F.col("n")})
+    own = [f"__key_{k}" for k in keys]
+    sizes = upto.groupBy(*keys).agg(F.max("upto").alias("n_values"), F.max("value").alias("most")).toDF(*own, "n_values", "most")
+    held = upto.join(sizes, [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own, strict=True)]) if keys else upto.join(F.broadcast(sizes))
+    found = []
+    for name, share in shares.items():
+        place = (F.col("n_values") - 1) * F.lit(float(share))
+        low, high = (F.min(F.when(F.col("upto") > step(place), F.col("value"))).cast("double") for step in (F.floor, F.ceil))
+        rest = F.first(place - F.floor(place))
+        found.append((low + rest * (high - low)).alias(name))
+    stats = held.groupBy(*keys).agg(F.first("n_values").alias("n"), *found, F.first("most").alias("most"))
+    if not keys:
+        return stats
+    stats = stats.toDF(*own, *stats.columns[len(keys) :])
+    out = rows.select(*keys).distinct().join(stats, [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own, strict=True)], "left")
+    return out.select(*keys, F.coalesce("n", F.lit(0)).alias("n"), *shares, "most")
 
 
 def f1_sweep(scores: DataFrame, score: str, label: str) -> DataFrame:
     """threshold, precision, recall, f1 at the midpoints between neighbouring distinct scores, and below the least. Sums run over distinct scores."""
     per_score = scores.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
     totals = per_score.agg(F.sum("pos").alias("all_pos"))
-    above = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    below = F.lead("s").over(Window.orderBy(F.desc("s")))
-    swept = per_score.withColumn("tp", F.sum("pos").over(above)).withColumn("fp", F.sum("neg").over(above)).withColumn("threshold", F.when(below.isNull(), F.col("s")).otherwise((F.col("s") + below) / 2))
+    ranked = running_totals(per_score, [], [F.desc("s")], {"tp": F.col("pos"), "fp": F.col("neg"), "place": F.lit(1)})
+    below = ranked.select((F.col("place") - 1).alias("place"), F.col("s").alias("below"))
+    swept = ranked.join(below, "place", "left").withColumn("threshold", F.when(F.col("below").isNull(), F.col("s")).otherwise((F.col("s") + F.col("below")) / 2))
     swept = swept.join(F.broadcast(totals))
     precision, recall = F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp")), F.try_divide(F.col("tp").cast("double"), F.col("all_pos"))
     f1 = F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0))
@@ -177,10 +202,10 @@ def combined_state(rows: DataFrame, keys: Sequence[str], state: str, priority: M
 def bounded_errors(errors: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
     """Error counts by key; the most frequent are named, the others fold into one overflow row with their sum."""
     counts = errors.groupBy(*keys).agg(F.count("*").alias("n"))
-    w = Window.orderBy(F.desc("n"), *keys)
-    ranked = counts.withColumn("rank", F.row_number().over(w))
-    named = [F.when(F.col("rank") <= most, F.col(k)).otherwise("(overflow)").alias(k) for k in keys]
-    return ranked.select(*named, "n").groupBy(*keys).agg(F.sum("n").alias("n"))
+    named = counts.orderBy(F.desc("n"), *keys).limit(most)
+    hit = named.select(*[F.col(k).alias(f"named_{k}") for k in keys], F.lit(True).alias("is_named"))
+    ranked = counts.join(F.broadcast(hit), [F.col(k).eqNullSafe(F.col(f"named_{k}")) for k in keys], "left")
+    return ranked.select(*[F.when(F.col("is_named"), F.col(k)).otherwise("(overflow)").alias(k) for k in keys], "n").groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
 def duplicate_positions(rows: DataFrame, keys: Sequence[str], position: str, item: str) -> DataFrame:

@@ -156,10 +156,16 @@ def fitness(value: Column, fit_at: float, borderline_at: float) -> Column:
     return F.when(value.isNull(), "unknown").when(value >= fit_at, "fit").when(value >= borderline_at, "borderline").otherwise("unfit")
 
 
+#: Devices that a gate takes; more are an error.
+MOST_DEVICES = 1_000
+
+
 def device_gate(reports: DataFrame, devices: DataFrame, borderline: float = 0.75) -> DataFrame:
     """Each report (w_px, h_px) against each device (device, need_w, need_h); the device table is configuration of a few rows."""
     scale = F.least(F.col("w_px") / F.col("need_w"), F.col("h_px") / F.col("need_h"))
     held = F.collect_list(F.struct("device", "need_w", "need_h"))
+    if devices.limit(MOST_DEVICES + 1).count() > MOST_DEVICES:
+        raise ValueError(f"a device table has {MOST_DEVICES} rows at most")
     packed = devices.agg(held.alias("devices")).first()["devices"]
     literal = F.array(*[F.struct(F.lit(d["device"]).alias("device"), F.lit(d["need_w"]).alias("need_w"), F.lit(d["need_h"]).alias("need_h")) for d in packed])
     return reports.select("*", F.explode(literal).alias("d")).select("*", "d.device", "d.need_w", "d.need_h").drop("d").withColumn("gate", fitness(scale, 1.0, borderline))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from cataloom.functions import numbers, text
+from cataloom.scratch import written
 
 
 def ordered_lookup(queues: DataFrame, works: DataFrame, ids: str = "work_ids") -> DataFrame:
@@ -210,29 +211,33 @@ def lookup_by_precedence(rows: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def reachable_roots(edges: DataFrame, roots: Sequence[str]) -> DataFrame:
-    """node, root of each node from which a root is reached over edges (child, parent); cycles end where they close."""
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("__closure_edges")
-    wanted = ", ".join("'" + r.replace("'", "''") + "'" for r in roots)
-    return spark.sql(f"""
-        WITH RECURSIVE up(node, at, path) AS (
-            SELECT DISTINCT child, child, array(child) FROM __closure_edges
-            UNION ALL
-            SELECT u.node, e.parent, concat(u.path, array(e.parent)) FROM up u JOIN __closure_edges e ON e.child = u.at WHERE NOT array_contains(u.path, e.parent)
-        ) SELECT DISTINCT node, at AS root FROM up WHERE at IN ({wanted})""")
+    """node, root of each node from which a root is reached over edges (child, parent), and of roots that are children.
+
+    Reach spreads from the roots downwards, a step a round over written tables, so that a node costs once for each of its
+    roots, however many paths lead there, and cycles end.
+    """
+    both = edges.select("child", "parent").distinct()
+    reached = both.where(F.col("parent").isin(*roots)).select(F.col("child").alias("node"), F.col("parent").alias("root"))
+    reached = written(reached.union(both.where(F.col("child").isin(*roots)).select("child", "child")).distinct(), "reached")
+    latest = reached
+    while True:
+        step = both.join(latest, both["parent"] == latest["node"]).select(F.col("child").alias("node"), "root").distinct()
+        step = written(step.join(reached, ["node", "root"], "left_anti"), "reached")
+        if step.isEmpty():
+            return reached
+        reached, latest = written(reached.unionByName(step), "reached", replaces=reached if reached is not latest else None), step
 
 
 def family_roots(links: DataFrame, max_depth: int = 8) -> DataFrame:
     """item, root, depth over links (item, parent): the last ancestor reached within max_depth steps or before a cycle."""
-    spark = links.sparkSession
-    links.createOrReplaceTempView("__family_links")
-    return spark.sql(f"""
-        WITH RECURSIVE up(item, at, depth, path) AS (
-            SELECT item, item, 0, array(item) FROM __family_links
-            UNION ALL
-            SELECT u.item, l.parent, u.depth + 1, concat(u.path, array(l.parent)) FROM up u JOIN __family_links l ON l.item = u.at
-            WHERE u.depth < {int(max_depth)} AND l.parent IS NOT NULL AND NOT array_contains(u.path, l.parent)
-        ) SELECT item, max_by(at, depth) AS root, max(depth) AS depth FROM up GROUP BY item""")
+    parents = links.where("parent IS NOT NULL").select(F.col("item").alias("child"), "parent").distinct()
+    state = links.select("item").distinct().select("item", F.col("item").alias("at"), F.lit(0).alias("depth"), F.array("item").alias("path"))
+    for _ in range(max_depth):
+        met = state.join(parents, (F.col("at") == F.col("child")) & (F.size("path") == F.col("depth") + 1), "left")
+        onward = F.col("parent").isNotNull() & ~F.array_contains("path", F.col("parent"))
+        # A path that has ended grows by a null, so that it isn't followed again.
+        state = met.select("item", F.when(onward, F.col("parent")).otherwise(F.col("at")).alias("at"), F.when(onward, F.col("depth") + 1).otherwise(F.col("depth")).alias("depth"), F.concat("path", F.array(F.when(onward, F.col("parent")))).alias("path"))
+    return state.groupBy("item").agg(F.max_by("at", F.struct("depth", "at")).alias("root"), F.max("depth").alias("depth"))
 
 
 def compare_manifest(manifest: DataFrame, payload: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from cataloom.operators.aggregates import exact_quantiles
 from cataloom.scratch import written
 
 # Centroid weights, prior games, fit limits, display weights.
@@ -26,7 +27,7 @@ FIT_ITEMS, FIT_PAIRS = 20_000, 1_000_000
 def rocchio_weights(features: DataFrame, scores: DataFrame) -> DataFrame:
     """feature, idf, weight over features (work_id, feature) and scores (work_id, score); ties at the median teach nothing."""
     rated = scores.where("score IS NOT NULL")
-    split = rated.agg(F.median("score").alias("split"))
+    split = exact_quantiles(rated, [], "score", {"split": 0.5}).select("split")
     cls = rated.join(F.broadcast(split)).select("work_id", F.signum(F.col("score") - F.col("split")).alias("cls"))
     sizes = cls.agg(F.count("*").alias("n"), F.count_if(F.col("cls") > 0).alias("n_pos"), F.count_if(F.col("cls") < 0).alias("n_neg"))
     per_feature = features.distinct().join(cls, "work_id").groupBy("feature").agg(F.count("*").alias("df"), F.count_if(F.col("cls") > 0).alias("pos"), F.count_if(F.col("cls") < 0).alias("neg"))

@@ -118,7 +118,9 @@ def near_duplicate_lines(lines: DataFrame, group: str, order: str, line: str, le
 def grouped_jobs(jobs: DataFrame, rules: DataFrame) -> DataFrame:
     """rule, jobs: names of the jobs whose slug a rule's prefix starts, or the rule's fallback. rules: (rule, prefix, fallback)."""
     slugged = jobs.select("job", F.regexp_replace(F.lower("job"), "[^a-z0-9]+", "-").alias("slug"))
-    hit = slugged.join(F.broadcast(rules.limit(1_000)), F.startswith("slug", F.col("prefix"))).groupBy("rule").agg(F.array_sort(F.collect_set("job")).alias("jobs"))
+    # Each prefix of a slug meets the rules by equality, so that no job is held against every rule.
+    prefixes = slugged.select("job", F.explode(F.transform(F.sequence(F.lit(0), F.length("slug")), lambda n: F.left("slug", n))).alias("prefix"))
+    hit = prefixes.join(rules.select("rule", "prefix"), "prefix").groupBy("rule").agg(F.array_sort(F.collect_set("job")).alias("jobs"))
     return rules.join(hit, "rule", "left").select("rule", F.coalesce("jobs", F.array("fallback")).alias("jobs"))
 
 
@@ -131,7 +133,7 @@ def tag_state(actions: DataFrame) -> DataFrame:
 
 def policy_tags(scores: DataFrame, rules: DataFrame, margin: float) -> DataFrame:
     """work_id, tag of threshold rules, and of contrastive ones that beat all their negatives by a margin. scores: (work_id, label, score); rules: (tag, positive, negatives, threshold)."""
-    positive = scores.join(F.broadcast(rules.limit(10_000)), scores["label"] == F.col("positive")).select("work_id", "tag", "score", "negatives", "threshold")
+    positive = scores.join(rules, scores["label"] == F.col("positive")).select("work_id", "tag", "score", "negatives", "threshold")
     passed = positive.where(F.col("score") >= F.col("threshold"))
     rivals = passed.select("work_id", "tag", F.explode_outer("negatives").alias("label")).join(scores.withColumnRenamed("score", "rival"), ["work_id", "label"], "left").groupBy("work_id", "tag").agg(F.max("rival").alias("rival"))
     return passed.join(rivals, ["work_id", "tag"]).where(F.col("rival").isNull() | (F.col("score") > F.col("rival") + margin)).select("work_id", "tag", "score")

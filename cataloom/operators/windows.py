@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from cataloom.scratch import written
+
 
 def latest_per_key(events: DataFrame, keys: Sequence[str], ts: str = "ts", tie: str = "row_id") -> DataFrame:
     """The event of each key with the greatest timestamp as text; of equal ones the later row. One aggregate, no sort."""
@@ -89,3 +91,25 @@ def packed_sections(sections: DataFrame, keys: Sequence[str], order: Sequence[st
     left = F.greatest(F.lit(budget) - used, F.lit(0))
     packed = sections.withColumn("taken", F.least(F.col(tokens), left))
     return packed.withColumn("packing", F.when(F.col("taken") == F.col(tokens), "whole").when(F.col("taken") > 0, "truncated").otherwise("dropped"))
+
+
+def running_totals(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], totals: Mapping[str, Column]) -> DataFrame:
+    """rows with running totals per key in an order that is total. No task sorts a whole key.
+
+    Rows are sorted over range partitions and written; a total is that within the partition plus what the earlier
+    partitions of the key hold, of which there is one row a partition and key.
+    """
+    place, part = "__running_place", "__running_part"
+    held = rows.orderBy(*keys, *order).select("*", *[value.alias(name) for name, value in totals.items()])
+    held = written(held.withColumn(place, F.monotonically_increasing_id()), "running").withColumn(part, F.shiftright(place, 33))
+    per_part = held.groupBy(part, *keys).agg(*[F.sum(name).alias(name) for name in totals])
+    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_part.select(F.col(part).alias("__key_part"), *[F.col(k).alias(f"__key_{k}") for k in keys], *[F.coalesce(F.sum(name).over(before), F.lit(0)).alias(f"__before_{name}") for name in totals])
+    joined = held.join(offsets, [held[part] == F.col("__key_part"), *[held[k].eqNullSafe(F.col(f"__key_{k}")) for k in keys]])
+    within = Window.partitionBy(part, *keys).orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+    return joined.select(*rows.columns, *[(F.sum(name).over(within) + F.col(f"__before_{name}")).alias(name) for name in totals])
+
+
+def numbered(rows: DataFrame, order: Sequence[Column | str], name: str = "place", keys: Sequence[str] = ()) -> DataFrame:
+    """rows with their number from 1, per key if there are any, in a total order."""
+    return running_totals(rows, keys, order, {name: F.lit(1)})

@@ -111,10 +111,8 @@ def most_common_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT s_suppkey, row_number() OVER (ORDER BY CAST(substr('Q' || s_suppkey, 2) AS BIGINT), 'Q' || s_suppkey) AS place FROM supplier""",
 )
 def identifier_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    qid = F.concat(F.lit("Q"), F.col("s_suppkey").cast("string"))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.row_number().over(Window.orderBy(*sets.identifier_order(qid))).cast("bigint").alias("place"))
+    held = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("Q"), F.col("s_suppkey").cast("string")).alias("qid"))
+    return windows.numbered(held, sets.identifier_order(F.col("qid"))).select("s_suppkey", "place")
 
 
 @register(

@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from cataloom.functions.dates import is_live
 from cataloom.operators.transforms import upsert_runs
+from cataloom.operators.windows import numbered
 
 
 def write_snapshot(records: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
@@ -70,9 +70,9 @@ def export_plan(items: DataFrame, order: Sequence[str], file_format: str = "png"
         raise ValueError("lossy formats change palette colours")
     reason = F.when(F.col("master").isNull(), "no-master").when(F.trim(F.coalesce("title", F.lit(""))) == "", "no-title")
     judged = items.withColumn("skipped", reason)
-    w = Window.partitionBy(F.col("skipped").isNull()).orderBy(*order)
-    name = F.concat(F.lpad(F.row_number().over(w).cast("string"), 4, "0"), F.lit(f".{file_format}"))
-    return judged.withColumn("file", F.when(F.col("skipped").isNull(), name))
+    name = F.concat(F.lpad(F.col("__n").cast("string"), 4, "0"), F.lit(f".{file_format}"))
+    placed = numbered(judged.where("skipped IS NULL"), list(order), "__n").withColumn("file", name).drop("__n")
+    return placed.unionByName(judged.where("skipped IS NOT NULL"), allowMissingColumns=True)
 
 
 def feed_manifest(items: DataFrame, feed: str, order: str, fields: Sequence[str]) -> DataFrame:

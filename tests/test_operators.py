@@ -268,3 +268,47 @@ def test_glob(spark):
         return one(spark, F.regexp_like(F.lit(path), filters.glob_to_regex(F.lit(glob))))
 
     assert hit("src/**", "src/a/b.py") and not hit("src/*", "src/a/b.py") and hit("*.md", "x.md") and not hit("a.b", "axb")
+
+
+def test_running_totals_over_range_partitions(spark):
+    rows = spark.createDataFrame([(i % 3, (i * 37) % 101, i) for i in range(300)], "k long, o long, i long").repartition(7)
+    got = {r.i: (r.t, r.n) for r in windows.running_totals(rows, ["k"], ["o", "i"], {"t": F.col("o"), "n": F.lit(1)}).collect()}
+    for k in range(3):
+        held = sorted(((i * 37) % 101, i) for i in range(300) if i % 3 == k)
+        assert [got[i] for _, i in held] == [(sum(o for o, _ in held[: n + 1]), n + 1) for n in range(len(held))]
+    assert sorted(r.place for r in windows.numbered(rows, ["i"]).collect()) == list(range(1, 301))
+
+
+def test_exact_quantiles(spark):
+    rows = spark.createDataFrame([("a", float(x)) for x in (5, 1, 1, 9, 4)] + [("b", 2.0), ("b", None), ("c", None), (None, 3.0)], "k string, v double")
+    got = {r.k: (r.n, r.median, r.p90, r.most) for r in aggregates.distribution(rows, ["k"], "v").collect()}
+    assert got == {"a": (5, 4.0, pytest.approx(7.4), 9.0), "b": (1, 2.0, 2.0, 2.0), "c": (0, None, None, None), None: (1, 3.0, 3.0, 3.0)}
+
+
+def test_rules_beyond_any_cap(spark):
+    """Every rule counts, however many there are."""
+    rules = spark.createDataFrame([(f"r{i}", f"job-{i}-", f"f{i}") for i in range(1_100)], "rule string, prefix string, fallback string")
+    jobs = spark.createDataFrame([("Job 1099 x",), ("job 3 y",), ("job 3 z",)], "job string")
+    got = {r.rule: r.jobs for r in transforms.grouped_jobs(jobs, rules).collect()}
+    assert len(got) == 1_100 and got["r1099"] == ["Job 1099 x"] and got["r3"] == ["job 3 y", "job 3 z"] and got["r7"] == ["f7"]
+    tags = spark.createDataFrame([(f"t{i}", f"l{i}", [], 0.5) for i in range(10_001)], "tag string, positive string, negatives array<string>, threshold double")
+    scores = spark.createDataFrame([(1, f"l{i}", 0.9) for i in range(10_001)], "work_id long, label string, score double")
+    assert transforms.policy_tags(scores, tags, 0.1).count() == 10_001
+    with pytest.raises(ValueError):
+        filters.device_gate(jobs, spark.range(1_001).selectExpr("CAST(id AS string) AS device", "1.0 AS need_w", "1.0 AS need_h"))
+
+
+def test_two_closures_in_one_session(spark):
+    a = joins.reachable_roots(spark.createDataFrame([("x", "root"), ("y", "x"), ("x", "y"), ("z", "z")], "child string, parent string"), ["root"])
+    b = joins.reachable_roots(spark.createDataFrame([("q", "root")], "child string, parent string"), ["root"])
+    assert {tuple(r) for r in a.collect()} == {("x", "root"), ("y", "root")} and {tuple(r) for r in b.collect()} == {("q", "root")}
+    c = joins.family_roots(spark.createDataFrame([(1, 2), (2, 3), (3, None), (4, 5), (5, 4)], "item long, parent long"))
+    d = joins.family_roots(spark.createDataFrame([(i, i + 1) for i in range(20)], "item long, parent long"), 8)
+    assert {tuple(r) for r in c.collect()} == {(1, 3, 2), (2, 3, 1), (3, 3, 0), (4, 5, 1), (5, 4, 1)}
+    assert {r.item: (r.root, r.depth) for r in d.collect()} == {i: (min(i + 8, 20), min(8, 20 - i)) for i in range(20)}
+
+
+def test_high_frequencies(spark):
+    checks = np.indices((16, 16)).sum(axis=0) % 2 * 255
+    ramp = np.tile(np.arange(16) * 16, (16, 1))
+    assert images.high_frequency_share(checks) == pytest.approx(1.0) and images.high_frequency_share(ramp) < 0.05

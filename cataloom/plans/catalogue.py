@@ -26,7 +26,7 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = F.filter(F.array(*[F.when(F.col("n_chars") % n == 0, F.lit(t)) for t, n in TAGS.items()]), lambda t: t.isNotNull())
     return d.select(
         F.col("doc_id").alias("work_id"),
-        F.substring(F.split("text", "\n")[0], 1, 40).alias("title"),
+        F.split("text", "\n")[0].alias("title"),
         F.when(F.col("doc_id") % 13 != 0, F.col("source")).alias("artist"),
         F.when(F.col("n_chars") % 9 != 0, F.concat(F.lit("painting/"), "lang")).alias("genre"),
         F.when(F.col("doc_id") % 11 != 0, (F.lit(1350) + F.col("doc_id") % 650).cast("int")).alias("year"),
@@ -36,7 +36,7 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 WORKS_SQL = (
-    "works AS (SELECT doc_id AS work_id, substr(string_split(text, chr(10))[1], 1, 40) AS title, "
+    "works AS (SELECT doc_id AS work_id, string_split(text, chr(10))[1] AS title, "
     "CASE WHEN doc_id % 13 <> 0 THEN source END AS artist, CASE WHEN n_chars % 9 <> 0 THEN 'painting/' || lang END AS genre, "
     "CASE WHEN doc_id % 11 <> 0 THEN CAST(1350 + doc_id % 650 AS INTEGER) END AS year, "
     "list_filter([" + ", ".join(f"CASE WHEN n_chars % {n} = 0 THEN '{t}' END" for t, n in TAGS.items()) + "], lambda t: t IS NOT NULL) AS tags, n_chars AS size FROM documents)"

@@ -173,13 +173,13 @@ def junk_and_derivation_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "scoped_selection",
     "FLT-15",
-    """SELECT n_name AS name FROM nation WHERE n_nationkey % 3 = 0 OR n_nationkey % 5 IN (SELECT p_partkey % 5 FROM part WHERE p_partkey < 2)""",
+    """SELECT n_name AS name FROM nation WHERE n_nationkey % 3 = 0 OR n_nationkey % 5 IN (SELECT s_nationkey % 5 FROM supplier WHERE s_acctbal < 0)""",
 )
 def scoped_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     patterns = F.when(F.col("n_nationkey") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("src/"), (F.col("n_nationkey") % 5).cast("string"), F.lit("/**"))))
     scenarios = n.select(F.col("n_name").alias("name"), patterns.alias("patterns"))
-    changed = table(spark, sf_dir, "part").where("p_partkey < 2").select(F.concat(F.lit("src/"), (F.col("p_partkey") % 5).cast("string"), F.lit("/a/b.py")).alias("path"))
+    changed = table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.concat(F.lit("src/"), (F.col("s_nationkey") % 5).cast("string"), F.lit("/a/b.py")).alias("path"))
     return filters.select_scoped(scenarios, changed).select("name")
 
 

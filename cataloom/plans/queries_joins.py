@@ -44,28 +44,14 @@ def alias_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "tiered_duplicate_match",
     "JOIN-05 STR-01 STR-05 STR-06 SRT-14",
-    f"""WITH {INVENTORY_SQL}, c AS (SELECT rel_id AS cid, title AS ct, artist AS ca FROM inventory WHERE rel_id % 50 = 0), i AS (SELECT rel_id AS iid, CASE WHEN rel_id % 3 = 0 THEN title || ' large' ELSE title END AS it, CASE WHEN rel_id % 7 = 0 THEN 'Other Maker' ELSE artist END AS ia FROM inventory),
-        p AS (SELECT cid, iid, ct, it, replace(lower(ca), '#', ' ') AS ca, replace(lower(ia), '#', ' ') AS ia, list_distinct(string_split(ct, ' ')) AS a, list_distinct(string_split(it, ' ')) AS b FROM c JOIN i ON ct = it OR ca = ia),
-        s AS (SELECT *, len(list_intersect(a, b)) AS k, greatest(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE, CASE WHEN least(len(a), len(b)) >= 2 THEN len(list_intersect(a, b)) / least(len(a), len(b))::DOUBLE ELSE 0 END) AS sim FROM p),
-        t AS (SELECT *, CASE WHEN ct = it AND ca = ia THEN 'exact-title-artist' WHEN ca = ia AND sim >= 0.6 THEN 'exact-artist+near-title' WHEN ct = it THEN 'exact-title' END AS tier FROM s)
-        SELECT cid AS candidate_id, iid AS inventory_id, tier, round(CASE tier WHEN 'exact-title-artist' THEN 0.99 WHEN 'exact-title' THEN 0.70 ELSE 0.70 + 0.25 * sim END, 6)::DOUBLE AS confidence FROM t WHERE tier IS NOT NULL""",
-)
-def tiered_duplicate_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = inventory(spark, sf_dir)
-    return _tiered(i.where("rel_id % 50 = 0"), i)
-
-
-@register(
-    "tiered_duplicate_match_all",
-    "JOIN-05 STR-01 STR-05 STR-06 SRT-14",
     f"""WITH {INVENTORY_SQL}, c AS (SELECT rel_id AS cid, title AS ct, artist AS ca FROM inventory), i AS (SELECT rel_id AS iid, CASE WHEN rel_id % 3 = 0 THEN title || ' large' ELSE title END AS it, CASE WHEN rel_id % 7 = 0 THEN 'Other Maker' ELSE artist END AS ia FROM inventory),
         p AS (SELECT cid, iid, ct, it, replace(lower(ca), '#', ' ') AS ca, replace(lower(ia), '#', ' ') AS ia, list_distinct(string_split(ct, ' ')) AS a, list_distinct(string_split(it, ' ')) AS b FROM c JOIN i ON (ct = it OR ca = ia) AND cid <> iid),
         s AS (SELECT *, len(list_intersect(a, b)) AS k, greatest(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE, CASE WHEN least(len(a), len(b)) >= 2 THEN len(list_intersect(a, b)) / least(len(a), len(b))::DOUBLE ELSE 0 END) AS sim FROM p),
         t AS (SELECT *, CASE WHEN ct = it AND ca = ia THEN 'exact-title-artist' WHEN ca = ia AND sim >= 0.6 THEN 'exact-artist+near-title' WHEN ct = it THEN 'exact-title' END AS tier FROM s)
         SELECT cid AS candidate_id, iid AS inventory_id, tier, round(CASE tier WHEN 'exact-title-artist' THEN 0.99 WHEN 'exact-title' THEN 0.70 ELSE 0.70 + 0.25 * sim END, 6)::DOUBLE AS confidence FROM t WHERE tier IS NOT NULL""",
 )
-def tiered_duplicate_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row against all others; tiered_duplicate_match thins the candidates."""
+def tiered_duplicate_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row against all others."""
     return _tiered(inventory(spark, sf_dir), inventory(spark, sf_dir)).where("candidate_id <> inventory_id")
 
 
@@ -76,58 +62,29 @@ def _tiered(candidates: DataFrame, i: DataFrame) -> DataFrame:
     return out.withColumn("confidence", F.round("confidence", 6))
 
 
-def _hash_rows(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Hashes, artists and titles of documents; titles are whole first lines or prefixes of them."""
+def _hash_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes, artists and titles of documents; titles are first lines."""
     digest = F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("bigint")
     d = table(spark, sf_dir, "documents")
     noisy = digest.bitwiseXOR(F.when(F.col("doc_id") % 2 == 0, F.expr("shiftleft(1L, CAST(doc_id % 32 AS INT))")).otherwise(0))
-    line = F.split("text", "\n")[0]
-    title = line if whole else F.substring(line, 1, 30)
-    return d.select(F.col("doc_id").alias("id"), noisy.alias("hash"), F.sha2("text", 256).alias("digest"), F.col("source").alias("artist"), title.alias("title"))
+    return d.select(F.col("doc_id").alias("id"), noisy.alias("hash"), F.sha2("text", 256).alias("digest"), F.col("source").alias("artist"), F.split("text", "\n")[0].alias("title"))
 
 
 _HASH_SQL = """h AS (SELECT doc_id AS id, xor(CAST('0x' || substr(md5(text), 1, 8) AS BIGINT), CASE WHEN doc_id % 2 = 0 THEN CAST(1 AS BIGINT) << CAST(doc_id % 32 AS BIGINT) ELSE 0 END) AS hash, sha256(text) AS digest, source AS artist,
-    substr(string_split(text, chr(10))[1], 1, 30) AS title FROM documents)"""
+    string_split(text, chr(10))[1] AS title FROM documents)"""
 
-_WHOLE_HASH_SQL = _HASH_SQL.replace("substr(string_split(text, chr(10))[1], 1, 30)", "string_split(text, chr(10))[1]")
 
-
-@register("hamming_knn", "JOIN-07 MTH-01 SRC-12", f"""WITH {_HASH_SQL} SELECT a.id AS left_id, b.id AS right_id, CAST(bit_count(xor(a.hash, b.hash)) AS INTEGER) AS distance FROM h a JOIN h b ON bit_count(xor(a.hash, b.hash)) <= 3 WHERE a.id % 10 = 0""")
+@register("hamming_knn", "JOIN-07 MTH-01 SRC-12", f"""WITH {_HASH_SQL} SELECT a.id AS left_id, b.id AS right_id, CAST(bit_count(xor(a.hash, b.hash)) AS INTEGER) AS distance FROM h a JOIN h b ON bit_count(xor(a.hash, b.hash)) <= 3 AND a.id <> b.id""")
 def hamming_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = _hash_rows(spark, sf_dir)
-    return joins.hamming_pairs(h.where("id % 10 = 0"), h, 3, bits=32)
-
-
-@register(
-    "layered_dedup",
-    "JOIN-06 UDX-01 ITR-06",
-    f"""WITH {_HASH_SQL}, c AS (SELECT * FROM h WHERE id % 10 = 3), a AS (SELECT * FROM h WHERE id % 10 <> 3),
-        s AS (SELECT c.id AS candidate_id, min(a.id) AS archive_id FROM c JOIN a USING (digest) GROUP BY 1),
-        n AS (SELECT c.id AS candidate_id, arg_min(a.id, (bit_count(xor(a.hash, c.hash)), a.id)) AS archive_id FROM c JOIN a ON bit_count(xor(a.hash, c.hash)) <= 3 WHERE c.id NOT IN (SELECT candidate_id FROM s) GROUP BY 1),
-        r AS (SELECT * FROM c WHERE id NOT IN (SELECT candidate_id FROM s UNION SELECT candidate_id FROM n)), tk AS (SELECT id, artist, list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(strip_accents(title)), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda x: x <> '')) AS t FROM h),
-        p AS (SELECT r.id AS candidate_id, y.id AS archive_id, len(list_intersect(x.t, y.t)) AS k, x.t AS xt, y.t AS yt FROM r JOIN tk x ON x.id = r.id JOIN tk y ON y.artist = x.artist AND y.id % 10 <> 3),
-        q AS (SELECT *, CASE WHEN len(xt) = 0 OR len(yt) = 0 THEN 0 ELSE greatest(k / len(list_distinct(list_concat(xt, yt)))::DOUBLE, CASE WHEN least(len(xt), len(yt)) >= 2 THEN k / least(len(xt), len(yt))::DOUBLE ELSE 0 END) END AS sim FROM p),
-        m AS (SELECT candidate_id, arg_max(archive_id, (sim, -archive_id)) AS archive_id FROM q WHERE sim >= 0.85 GROUP BY 1)
-        SELECT candidate_id, archive_id, 'digest' AS layer, 'duplicate' AS verdict FROM s UNION ALL SELECT candidate_id, archive_id, 'hash', 'duplicate' FROM n UNION ALL SELECT candidate_id, archive_id, 'title', 'needs_review' FROM m
-        UNION ALL SELECT id, NULL, 'none', 'new' FROM r WHERE id NOT IN (SELECT candidate_id FROM m)""",
-)
-def layered_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = _hash_rows(spark, sf_dir)
-    c, a = h.where("id % 10 = 3"), h.where("id % 10 <> 3")
-    return joins.layered_dedup(c, a, bits=32)
-
-
-@register("hamming_knn_all", "JOIN-07 MTH-01 SRC-12", f"""WITH {_HASH_SQL} SELECT a.id AS left_id, b.id AS right_id, CAST(bit_count(xor(a.hash, b.hash)) AS INTEGER) AS distance FROM h a JOIN h b ON bit_count(xor(a.hash, b.hash)) <= 3 AND a.id <> b.id""")
-def hamming_knn_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row against all others; hamming_knn thins the left side."""
+    """Every row against all others."""
     h = _hash_rows(spark, sf_dir)
     return joins.hamming_pairs(h, h, 3, bits=32).where("left_id <> right_id")
 
 
 @register(
-    "layered_dedup_all",
+    "layered_dedup",
     "JOIN-06 UDX-01 ITR-06",
-    f"""WITH {_WHOLE_HASH_SQL}, c AS (SELECT * FROM h), a AS (SELECT * FROM h),
+    f"""WITH {_HASH_SQL}, c AS (SELECT * FROM h), a AS (SELECT * FROM h),
         s AS (SELECT c.id AS candidate_id, min(a.id) AS archive_id FROM c JOIN a ON a.digest = c.digest AND a.id <> c.id GROUP BY 1),
         n AS (SELECT c.id AS candidate_id, arg_min(a.id, (bit_count(xor(a.hash, c.hash)), a.id)) AS archive_id FROM c JOIN a ON bit_count(xor(a.hash, c.hash)) <= 3 AND a.id <> c.id WHERE c.id NOT IN (SELECT candidate_id FROM s) GROUP BY 1),
         r AS (SELECT * FROM c WHERE id NOT IN (SELECT candidate_id FROM s UNION SELECT candidate_id FROM n)), tk AS (SELECT id, artist, list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(strip_accents(title)), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda x: x <> '')) AS t FROM h),
@@ -137,21 +94,21 @@ def hamming_knn_all(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT candidate_id, archive_id, 'digest' AS layer, 'duplicate' AS verdict FROM s UNION ALL SELECT candidate_id, archive_id, 'hash', 'duplicate' FROM n UNION ALL SELECT candidate_id, archive_id, 'title', 'needs_review' FROM m
         UNION ALL SELECT id, NULL, 'none', 'new' FROM r WHERE id NOT IN (SELECT candidate_id FROM m)""",
 )
-def layered_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row against all others, by whole titles; layered_dedup splits the rows into two sides."""
-    h = _hash_rows(spark, sf_dir, whole=True)
+def layered_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row against all others, by whole titles."""
+    h = _hash_rows(spark, sf_dir)
     return joins.layered_dedup(h, h.select("*"), bits=32)
 
 
 @register(
     "embedding_blocked",
     "JOIN-08 MTH-02 SRC-13 SRT-15 JOIN-29",
-    """WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS match_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 10 = 0),
+    """WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS match_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, match_id) AS rank FROM p) SELECT query_id, match_id, round(s, 6) AS similarity, CAST(rank AS INTEGER) AS rank, CASE WHEN s >= 0.9 THEN 'duplicate' WHEN s >= 0.8 THEN 'review' ELSE 'distinct' END AS tag FROM r WHERE rank <= 5""",
 )
 def embedding_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), "label")
-    top = joins.blocked_cosine_topk(e.where("id % 10 = 0"), e, "label", 5)
+    top = joins.blocked_cosine_topk(e.where("id % 20 = 0"), e, "label", 5)
     return top.select("query_id", "match_id", F.round("similarity", 6).alias("similarity"), "rank", joins.similarity_tag(F.col("similarity")).alias("tag"))
 
 
@@ -168,20 +125,6 @@ def embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("query_id", "match_id", F.round("similarity", 6).alias("similarity"), "rank", joins.similarity_tag(F.col("similarity")).alias("tag"))
 
 
-@register(
-    "variant_edges",
-    "JOIN-09 JOIN-10 BAT-11",
-    """WITH e AS (SELECT s_suppkey AS owner, (s_suppkey * 7) % 50 AS held, s_suppkey AS ord FROM supplier WHERE s_suppkey < 50), m AS (SELECT DISTINCT a.owner, a.held FROM e a JOIN e b ON a.owner = b.held AND a.held = b.owner AND a.owner <> a.held),
-        h AS (SELECT held, arg_min(owner, (ord, owner)) AS owner FROM e WHERE (owner, held) NOT IN (SELECT owner, held FROM m) GROUP BY held), q AS (SELECT s_suppkey AS item, CASE WHEN s_suppkey % 3 <> 0 THEN s_nationkey END AS qid FROM supplier)
-        SELECT owner, held, CASE WHEN o.qid IS NULL AND i.qid IS NULL THEN 'unresolved' WHEN o.qid IS NULL THEN 'owner-no-qid' WHEN i.qid IS NULL OR o.qid = i.qid THEN 'true-crop' ELSE 'qid-conflict' END AS verdict FROM h LEFT JOIN q o ON o.item = owner LEFT JOIN q i ON i.item = held
-        UNION ALL SELECT owner, held, 'mutual' FROM m WHERE owner < held UNION ALL SELECT owner, owner, 'self' FROM e WHERE owner = held""",
-)
-def variant_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier")
-    edges = s.where("s_suppkey < 50").select(F.col("s_suppkey").alias("owner"), (F.col("s_suppkey") * 7 % 50).alias("held"), F.col("s_suppkey").alias("ord"))
-    return _variant_verdicts(edges, s)
-
-
 def _variant_verdicts(edges: DataFrame, s: DataFrame) -> DataFrame:
     holdings, mutual, own = joins.variant_edges(edges)
     qids = s.select(F.col("s_suppkey").alias("item"), F.when(F.col("s_suppkey") % 3 != 0, F.col("s_nationkey")).alias("qid"))
@@ -190,15 +133,15 @@ def _variant_verdicts(edges: DataFrame, s: DataFrame) -> DataFrame:
 
 
 @register(
-    "variant_edges_all",
+    "variant_edges",
     "JOIN-09 JOIN-10 BAT-11",
     """WITH e AS (SELECT s_suppkey AS owner, (s_suppkey * 7) % (SELECT count(*) FROM supplier) AS held, s_suppkey AS ord FROM supplier), m AS (SELECT DISTINCT a.owner, a.held FROM e a JOIN e b ON a.owner = b.held AND a.held = b.owner AND a.owner <> a.held),
         h AS (SELECT held, arg_min(owner, (ord, owner)) AS owner FROM e WHERE (owner, held) NOT IN (SELECT owner, held FROM m) GROUP BY held), q AS (SELECT s_suppkey AS item, CASE WHEN s_suppkey % 3 <> 0 THEN s_nationkey END AS qid FROM supplier)
         SELECT owner, held, CASE WHEN o.qid IS NULL AND i.qid IS NULL THEN 'unresolved' WHEN o.qid IS NULL THEN 'owner-no-qid' WHEN i.qid IS NULL OR o.qid = i.qid THEN 'true-crop' ELSE 'qid-conflict' END AS verdict FROM h LEFT JOIN q o ON o.item = owner LEFT JOIN q i ON i.item = held
         UNION ALL SELECT owner, held, 'mutual' FROM m WHERE owner < held UNION ALL SELECT owner, owner, 'self' FROM e WHERE owner = held""",
 )
-def variant_edges_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over every supplier; variant_edges stops at a fixed identifier."""
+def variant_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over every supplier."""
     s = table(spark, sf_dir, "supplier")
     n = s.agg(F.count("*").alias("n"))
     edges = s.join(F.broadcast(n)).select(F.col("s_suppkey").alias("owner"), (F.col("s_suppkey") * 7 % F.col("n")).alias("held"), F.col("s_suppkey").alias("ord"))
@@ -208,22 +151,11 @@ def variant_edges_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "uniqueness_guard",
     "JOIN-11 BAT-07",
-    """WITH h AS (SELECT DISTINCT p_size AS qid FROM part WHERE p_partkey < 20), p AS (SELECT p_partkey AS id, p_size AS qid FROM part WHERE p_partkey >= 20 AND p_partkey < 200)
-        SELECT id, qid, CASE WHEN qid IN (SELECT qid FROM h) THEN 'held' WHEN row_number() OVER (PARTITION BY qid ORDER BY id) = 1 THEN 'assigned' ELSE 'contested' END AS outcome FROM p""",
-)
-def uniqueness_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("qid"))
-    return joins.claim_unique(p.where("id >= 20 AND id < 200"), p.where("id < 20"), "qid", "id").select("id", "qid", "outcome")
-
-
-@register(
-    "uniqueness_guard_all",
-    "JOIN-11 BAT-07",
     """WITH a AS (SELECT p_partkey AS id, p_partkey // 3 AS qid, p_size % 5 = 0 AS holds FROM part), h AS (SELECT DISTINCT qid FROM a WHERE holds), p AS (SELECT id, qid FROM a WHERE NOT holds)
         SELECT id, qid, CASE WHEN qid IN (SELECT qid FROM h) THEN 'held' WHEN row_number() OVER (PARTITION BY qid ORDER BY id) = 1 THEN 'assigned' ELSE 'contested' END AS outcome FROM p""",
 )
-def uniqueness_guard_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over every part, which its size makes a holder or a proposal; uniqueness_guard stops at a fixed identifier."""
+def uniqueness_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over every part, which its size makes a holder or a proposal."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.floor(F.col("p_partkey") / 3).alias("qid"), (F.col("p_size") % 5 == 0).alias("holds"))
     return joins.claim_unique(p.where("NOT holds"), p.where("holds"), "qid", "id").select("id", "qid", "outcome")
 
@@ -236,23 +168,23 @@ def shared_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "want_list_anti",
     "JOIN-19 SET-05",
-    """SELECT p_partkey FROM part WHERE p_size NOT IN (SELECT p_size FROM part WHERE p_partkey < 10) AND lower(p_name) NOT IN (SELECT lower(p_name) FROM part WHERE p_partkey < 10)""",
+    """SELECT p_partkey FROM part WHERE p_size NOT IN (SELECT p_size FROM part WHERE p_size = 7) AND lower(p_name) NOT IN (SELECT lower(p_name) FROM part WHERE p_size = 7)""",
 )
 def want_list_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("qid"), F.col("p_name").alias("title"))
-    held = p.where("p_partkey < 10")
+    held = p.where("qid = 7")
     return joins.not_held(p, held, held).select("p_partkey")
 
 
 @register(
     "catalog_diff",
     "JOIN-27 SET-04 SET-06 JOIN-31",
-    """SELECT p_name, 'added' AS change FROM (SELECT DISTINCT p_name FROM part WHERE p_partkey % 40 = 1) WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_partkey % 40 = 2)
-        UNION ALL SELECT p_name, 'removed' FROM (SELECT DISTINCT p_name FROM part WHERE p_partkey % 40 = 2) WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_partkey % 40 = 1)""",
+    """SELECT o_custkey, 'added' AS change FROM (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '5-LOW')
+        UNION ALL SELECT o_custkey, 'removed' FROM (SELECT o_custkey FROM orders WHERE o_orderpriority = '5-LOW' EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""",
 )
 def catalog_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
-    return joins.catalog_diff(p.where("p_partkey % 40 = 1"), p.where("p_partkey % 40 = 2"), "p_name")
+    o = table(spark, sf_dir, "orders")
+    return joins.catalog_diff(o.where("o_orderpriority = '1-URGENT'"), o.where("o_orderpriority = '5-LOW'"), "o_custkey")
 
 
 @register(
@@ -304,23 +236,12 @@ def family_root(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "known_works_merge",
     "JOIN-20 SRT-16 SET-01",
-    """WITH s AS (SELECT p_partkey AS ord, p_name AS title, 1900 + p_size AS year, CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS holder, p_type AS source, p_partkey % 40 AS sitelinks FROM part WHERE p_partkey < 400),
-        j AS (SELECT *, lower(title) AS key, CASE WHEN year - lag(year) OVER (PARTITION BY lower(title) ORDER BY year, ord) > 3 THEN 1 ELSE 0 END AS jump FROM s), c AS (SELECT *, sum(jump) OVER (PARTITION BY key ORDER BY year, ord) AS cluster FROM j)
-        SELECT key, CAST(cluster AS BIGINT) AS cluster, arg_min(title, ord) AS title, arg_min(year, ord) AS year, arg_min(holder, ord) FILTER (holder IS NOT NULL) AS holder, list_sort(list(DISTINCT source)) AS sources, max(sitelinks) AS sitelinks FROM c GROUP BY key, cluster""",
-)
-def known_works_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _known_works(table(spark, sf_dir, "part").where("p_partkey < 400"))
-
-
-@register(
-    "known_works_merge_all",
-    "JOIN-20 SRT-16 SET-01",
     """WITH s AS (SELECT p_partkey AS ord, p_name AS title, 1900 + p_size AS year, CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS holder, p_type AS source, p_partkey % 40 AS sitelinks FROM part),
         j AS (SELECT *, lower(title) AS key, CASE WHEN year - lag(year) OVER (PARTITION BY lower(title) ORDER BY year, ord) > 3 THEN 1 ELSE 0 END AS jump FROM s), c AS (SELECT *, sum(jump) OVER (PARTITION BY key ORDER BY year, ord) AS cluster FROM j)
         SELECT key, CAST(cluster AS BIGINT) AS cluster, arg_min(title, ord) AS title, arg_min(year, ord) AS year, arg_min(holder, ord) FILTER (holder IS NOT NULL) AS holder, list_sort(list(DISTINCT source)) AS sources, max(sitelinks) AS sitelinks FROM c GROUP BY key, cluster""",
 )
-def known_works_merge_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over every part; known_works_merge stops at a fixed identifier."""
+def known_works_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over every part."""
     return _known_works(table(spark, sf_dir, "part"))
 
 
@@ -359,13 +280,13 @@ def guarded_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "label_matches",
     "JOIN-29 SET-09 STR-21",
-    """WITH k AS (SELECT p_name AS label, 0.95 AS score, 1 AS kw FROM part WHERE p_partkey % 200 = 0), v AS (SELECT upper(p_name), round(p_size / 60.0, 4), 0 FROM part WHERE p_partkey % 100 < 3), u AS (SELECT label, score::DOUBLE AS score, kw, lower(label) AS norm FROM (SELECT * FROM k UNION ALL SELECT * FROM v))
+    """WITH k AS (SELECT p_name AS label, 0.95 AS score, 1 AS kw FROM part WHERE p_size < 3), v AS (SELECT upper(p_name), round(p_size / 60.0, 4), 0 FROM part), u AS (SELECT label, score::DOUBLE AS score, kw, lower(label) AS norm FROM (SELECT * FROM k UNION ALL SELECT * FROM v))
         SELECT arg_max(label, (kw, score, label)) AS label, arg_max(score, (kw, score, label)) AS score, arg_max(kw, (kw, score, label)) AS kw FROM u GROUP BY norm""",
 )
 def label_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    k = p.where("p_partkey % 200 = 0").select(F.col("p_name").alias("label"), F.lit(0.95).alias("score"))
-    v = p.where("p_partkey % 100 < 3").select(F.upper("p_name").alias("label"), F.round(F.col("p_size") / 60, 4).alias("score"))
+    k = p.where("p_size < 3").select(F.col("p_name").alias("label"), F.lit(0.95).alias("score"))
+    v = p.select(F.upper("p_name").alias("label"), F.round(F.col("p_size") / 60, 4).alias("score"))
     return joins.keyword_or_vector(k, v, F.lower("label"))
 
 
@@ -383,26 +304,13 @@ def same_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "title_margin_match",
     "JOIN-13 JOIN-16 JOIN-17 JOIN-18 STR-07 STR-10",
-    """WITH w AS (SELECT p_partkey AS id, p_brand AS creator, p_name AS title, p_size AS year FROM part WHERE p_partkey % 20 = 0), o AS (SELECT p_partkey AS qid, p_brand AS creator, p_name AS label, p_size AS year FROM part WHERE p_partkey % 20 <> 0),
-        p AS (SELECT id, qid, w.year AS wy, o.year AS oy, list_distinct(string_split(w.title, ' ')) AS a, list_distinct(string_split(o.label, ' ')) AS b FROM w JOIN o USING (creator)),
-        s AS (SELECT id, qid, abs(wy - oy) <= 6 AS sane, len(list_intersect(a, b)) / len(a)::DOUBLE AS score FROM p), g AS (SELECT *, max(score) OVER (PARTITION BY id) AS best FROM s), c AS (SELECT *, count(*) OVER (PARTITION BY id) AS n_cluster FROM g WHERE score >= best - 0.04 AND best >= 0.5)
-        SELECT id, qid, score, CASE WHEN n_cluster > 1 THEN 'ambiguous' WHEN NOT sane THEN 'year-mismatch' ELSE 'matched' END AS reason FROM c""",
-)
-def title_margin_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
-    return _title_margin(p.where("p_partkey % 20 = 0"), p.where("p_partkey % 20 <> 0"))
-
-
-@register(
-    "title_margin_match_all",
-    "JOIN-13 JOIN-16 JOIN-17 JOIN-18 STR-07 STR-10",
     """WITH w AS (SELECT p_partkey AS id, p_brand AS creator, p_name AS title, p_size AS year FROM part), o AS (SELECT p_partkey AS qid, p_brand AS creator, p_name AS label, p_size AS year FROM part),
         p AS (SELECT id, qid, w.year AS wy, o.year AS oy, list_distinct(string_split(w.title, ' ')) AS a, list_distinct(string_split(o.label, ' ')) AS b FROM w JOIN o ON w.creator = o.creator AND id <> qid),
         s AS (SELECT id, qid, abs(wy - oy) <= 6 AS sane, len(list_intersect(a, b)) / len(a)::DOUBLE AS score FROM p), g AS (SELECT *, max(score) OVER (PARTITION BY id) AS best FROM s), c AS (SELECT *, count(*) OVER (PARTITION BY id) AS n_cluster FROM g WHERE score >= best - 0.04 AND best >= 0.5)
         SELECT id, qid, score, CASE WHEN n_cluster > 1 THEN 'ambiguous' WHEN NOT sane THEN 'year-mismatch' ELSE 'matched' END AS reason FROM c""",
 )
-def title_margin_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every part against all others; title_margin_match splits the parts into two sides."""
+def title_margin_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part against all others."""
     p = table(spark, sf_dir, "part")
     return _title_margin(p, p)
 
@@ -443,12 +351,12 @@ def merge_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "single_creator_adoption",
     "BAT-01 BAT-02 BAT-03",
-    """WITH c AS (SELECT DISTINCT l_orderkey AS work_qid, l_suppkey % 40 AS creator_qid FROM lineitem WHERE l_linenumber <= 2), n AS (SELECT work_qid, count(*) AS n, min(creator_qid) AS creator_qid FROM c GROUP BY 1)
+    """WITH c AS (SELECT DISTINCT l_orderkey AS work_qid, l_suppkey % 40 AS creator_qid FROM lineitem WHERE l_returnflag = 'R'), n AS (SELECT work_qid, count(*) AS n, min(creator_qid) AS creator_qid FROM c GROUP BY 1)
         SELECT o_orderkey AS work_id, n.creator_qid, s_name AS display_name, CASE WHEN n.n IS NULL THEN 'no-claim' WHEN n.n > 1 THEN 'several' WHEN o_orderkey % 5 = 0 AND s_name IS NOT NULL THEN 'already-named' ELSE 'adopted' END AS outcome
         FROM orders LEFT JOIN n ON n.work_qid = o_orderkey LEFT JOIN supplier s ON s.s_suppkey = n.creator_qid""",
 )
 def single_creator_adoption(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("work_qid"), (F.col("l_suppkey") % 40).alias("creator_qid"))
+    claims = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("work_qid"), (F.col("l_suppkey") % 40).alias("creator_qid"))
     identities = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("creator_qid"), F.col("s_name").alias("display_name"))
     first = claims.groupBy("work_qid").agg(F.min("creator_qid").alias("creator_qid")).join(identities, "creator_qid").select("work_qid", F.col("display_name").alias("artist"))
     works = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("work_id"), F.col("o_orderkey").alias("work_qid")).join(first, "work_qid", "left")

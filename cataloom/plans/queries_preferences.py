@@ -59,22 +59,11 @@ def bt_strengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "bt_components",
     "AGG-10",
-    """WITH RECURSIVE e AS (SELECT s_suppkey AS a, s_suppkey + 7 AS b FROM supplier WHERE s_suppkey % 5 <> 0 AND s_suppkey < 93), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, seen) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.seen)
-        SELECT node, min(seen) AS component FROM r GROUP BY node""",
-)
-def bt_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").where("s_suppkey % 5 <> 0 AND s_suppkey < 93")
-    return preferences.components(s.select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") + 7).alias("b")))
-
-
-@register(
-    "bt_components_all",
-    "AGG-10",
     """WITH RECURSIVE e AS (SELECT s_suppkey AS a, CASE WHEN s_suppkey % 5 = 0 THEN s_suppkey ELSE s_suppkey + 7 END AS b FROM supplier), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, seen) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.seen)
         SELECT node, min(seen) AS component FROM r GROUP BY node""",
 )
-def bt_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over every supplier; bt_components leaves out some and stops at a fixed identifier."""
+def bt_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over every supplier."""
     k = F.col("s_suppkey")
     return preferences.components(table(spark, sf_dir, "supplier").select(k.alias("a"), F.when(k % 5 == 0, k).otherwise(k + 7).alias("b")))
 

@@ -17,7 +17,7 @@ _ASCII = r"trim(regexp_replace(regexp_replace(lower(strip_accents({0})), '[^a-z0
 @register(
     "fold_and_tokens",
     "STR-01 STR-02 STR-03 STR-04",
-    r"""WITH t AS (SELECT doc_id, substr(string_split(text, chr(10))[1], 1, 60) AS s FROM documents)
+    r"""WITH t AS (SELECT doc_id, text AS s FROM documents)
         SELECT doc_id, """
     + _NORM.format("s")
     + " AS norm, "
@@ -30,7 +30,7 @@ _ASCII = r"trim(regexp_replace(regexp_replace(lower(strip_accents({0})), '[^a-z0
     + """, ' ', -1) ELSE '' END AS surname FROM t""",
 )
 def fold_and_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "documents").select("doc_id", F.substring(F.split("text", "\n")[0], 1, 60).alias("s"))
+    t = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("s"))
     s = F.col("s")
     return t.select("doc_id", text.norm_title(s).alias("norm"), text.ascii_fold(s).alias("folded"), text.plain_fold(s).alias("plain"), text.surname(s).alias("surname"))
 
@@ -67,11 +67,11 @@ def medium_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     "slug_ids",
     "STR-18 CPX-08",
     r"""WITH t AS (SELECT doc_id, sha256(text) AS h, list_filter(string_split("""
-    + _ASCII.format("substr(string_split(text, chr(10))[1], 1, 80)")
+    + _ASCII.format("string_split(text, chr(10))[1]")
     + """, ' '), lambda x: x <> '') AS w FROM documents) SELECT doc_id, concat_ws('-', left(h, 7), array_to_string(w[1:6], '-')) AS work_id FROM t""",
 )
 def slug_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.substring(F.split("text", "\n")[0], 1, 80)
+    first = F.split("text", "\n")[0]
     return table(spark, sf_dir, "documents").select("doc_id", text.work_identifier(F.sha2("text", 256), first).alias("work_id"))
 
 

@@ -1,4 +1,4 @@
-"""Queries over whole tables, on tables whose identifiers go beyond the ranges that the older registrations stop at."""
+"""Queries over whole tables, on tables larger than those of the other tests."""
 
 from __future__ import annotations
 
@@ -27,7 +27,7 @@ def against_oracle(spark, name, folder=LARGER):
     return sorted(rows, key=repr), sorted((tuple(plain(r[i]) for i in order) for r in held.fetchall()), key=repr)
 
 
-@pytest.mark.parametrize("name", ["known_works_merge_all", "uniqueness_guard_all", "variant_edges_all", "bt_components_all", "embedding_topk"])
+@pytest.mark.parametrize("name", ["known_works_merge", "uniqueness_guard", "variant_edges", "bt_components", "embedding_topk"])
 def test_oracle_beyond_the_ranges(spark, name):
     rows, expected = against_oracle(spark, name)
     assert rows == expected and rows
@@ -35,13 +35,13 @@ def test_oracle_beyond_the_ranges(spark, name):
 
 def test_every_part_and_supplier_counts(spark):
     q = registry.queries()
-    merged = q["known_works_merge_all"](spark, LARGER)
+    merged = q["known_works_merge"](spark, LARGER)
     names = spark.read.parquet(f"{LARGER}/part.parquet").selectExpr("lower(p_name) AS key").distinct()
     assert names.join(merged, "key", "left_anti").count() == 0
-    guarded = q["uniqueness_guard_all"](spark, LARGER)
+    guarded = q["uniqueness_guard"](spark, LARGER)
     assert guarded.count() == spark.read.parquet(f"{LARGER}/part.parquet").where("p_size % 5 <> 0").count()
     assert {r.outcome for r in guarded.select("outcome").distinct().collect()} == {"held", "assigned", "contested"}
-    verdicts = q["variant_edges_all"](spark, LARGER)
+    verdicts = q["variant_edges"](spark, LARGER)
     assert verdicts.selectExpr("max(owner)").first()[0] > 93 and verdicts.where("verdict IN ('mutual', 'self')").count() > 0
 
 
@@ -74,7 +74,7 @@ def test_image_kernels_over_every_part(spark):
 
 
 def test_components_hold_every_supplier(spark):
-    nodes = registry.queries()["bt_components_all", "embedding_topk"](spark, LARGER).select("node")
+    nodes = registry.queries()["bt_components"](spark, LARGER).select("node")
     assert spark.read.parquet(f"{LARGER}/supplier.parquet").selectExpr("s_suppkey AS node").join(nodes, "node", "left_anti").count() == 0
 
 
@@ -96,7 +96,7 @@ def test_same_side_duplicates_meet(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "red ring bolts", "b", 5), (2, "red ring bolts", "b", 5), (3, "blue", "c", 5)], "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     q = registry.queries()
-    layered = {r.candidate_id: (r.archive_id, r.layer) for r in q["layered_dedup_all"](spark, str(tmp_path)).collect()}
+    layered = {r.candidate_id: (r.archive_id, r.layer) for r in q["layered_dedup"](spark, str(tmp_path)).collect()}
     assert layered[13] == (23, "digest") and layered[23] == (13, "digest")
-    assert {(r.id, r.qid) for r in q["title_margin_match_all"](spark, str(tmp_path)).collect()} == {(1, 2), (2, 1)}
+    assert {(r.id, r.qid) for r in q["title_margin_match"](spark, str(tmp_path)).collect()} == {(1, 2), (2, 1)}
     assert {(r.id, r.qid): r.score for r in q["entity_match_ratio"](spark, str(tmp_path)).collect()} == {(1, 2): 1.0, (2, 1): 1.0}

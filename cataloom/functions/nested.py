@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -120,3 +120,23 @@ def decayed_depth(counts: Mapping[str, tuple[Column, float]], full_at: int = 5)
     for n, weight in counts.values():
         total = total + weight * F.least(F.coalesce(n, F.lit(0)), F.lit(full_at)) / float(full_at)
     return F.least(total, F.lit(100.0))
+
+
+def json_leaves(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """key, path, leaf (as text) of every scalar in JSON documents of any depth; null leaves and invalid documents drop out.
+
+    Each round opens one level of all documents; what is a scalar by then goes to the result.
+    """
+    level = rows.select(key, F.lit("").alias("path"), F.try_parse_json(value).alias("v")).where("v IS NOT NULL")
+    found = None
+    while True:
+        kind = F.schema_of_variant("v")
+        nested_ = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+        leaves = level.where(~nested_ & (kind != "VOID")).select(key, "path", F.try_variant_get("v", "$", "string").alias("leaf"))
+        found = leaves if found is None else found.unionByName(leaves)
+        deeper = level.where(nested_)
+        if deeper.isEmpty():
+            return found
+        opened = deeper.lateralJoin(deeper.sparkSession.tvf.variant_explode(F.col("v").outer()).toDF("pos", "name", "inner"))
+        step = F.when(F.col("name").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(F.col("path") == "", F.col("name")).otherwise(F.concat(F.lit("."), "name"))
+        level = opened.select(key, F.concat("path", step).alias("path"), F.col("inner").alias("v"))

@@ -187,3 +187,22 @@ def classify_crop_pair(a_aspect: Column, b_aspect: Column, a_bytes: Column, b_by
 def closest_schema(errors: DataFrame) -> DataFrame:
     """Per document (doc, schema, n_errors): passed if any schema has none, and the schema with the fewest."""
     return errors.groupBy("doc").agg(F.bool_or(F.col("n_errors") == 0).alias("passed"), F.min_by("schema", F.struct("n_errors", "schema")).alias("closest"), F.min("n_errors").alias("n_errors"))
+
+
+def registry_findings(entries: DataFrame, known: DataFrame, item: str, slot: str, reference: str, due: str, today: Column) -> DataFrame:
+    """item, finding: references that aren't known, slots that several items fill (the least is named) and entries past their date."""
+    missing = entries.join(known.select(reference).distinct(), reference, "left_anti").select(item, F.lit("missing-reference").alias("finding"))
+    doubled = entries.groupBy(slot).agg(F.min(item).alias(item), F.count("*").alias("n")).where("n > 1").select(item, F.lit("duplicate").alias("finding"))
+    late = entries.where(F.col(due) < today).select(item, F.lit("overdue").alias("finding"))
+    return missing.unionByName(doubled).unionByName(late)
+
+
+def check_envelopes(envelopes: DataFrame, key: str, required: Sequence[str], versions: Sequence[str], unsafe: Sequence[str]) -> DataFrame:
+    """key, violations of JSON envelopes (key, value): missing fields, unknown versions, and keys that must not appear at any depth."""
+    record = F.try_parse_json("value")
+    rules = {"not-json": record.isNull()}
+    rules |= {f"missing-{name}": record.isNotNull() & F.try_variant_get(record, f"$.{name}", "string").isNull() for name in required}
+    rules["unknown-version"] = ~F.try_variant_get(record, "$.version", "string").isin(*versions)
+    names = F.regexp_extract_all("value", F.lit(r'"((?:[^"\\]|\\.)*)"\s*:'), F.lit(1))
+    rules["unsafe-key"] = F.arrays_overlap(F.transform(names, lambda n: F.lower(n)), F.array(*[F.lit(u) for u in unsafe]))
+    return with_violations(envelopes, rules).select(key, "violations")

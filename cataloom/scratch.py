@@ -59,3 +59,20 @@ def _delete(path: str, spark: SparkSession) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
     except Exception:  # the session has ended; the files are scratch
         return
+
+
+def folder(spark: SparkSession, tag: str) -> str:
+    """A path in the shared folder for files that are no table; deleted when the driver ends."""
+    path = f"{shared_folder(spark)}/cataloom-{tag}-{uuid.uuid4().hex}"
+    if not _held:
+        atexit.register(release)
+    _held[path] = spark
+    return path
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, written by the driver."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()

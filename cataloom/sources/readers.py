@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,9 +105,13 @@ def scan_queues(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def read_yaml(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A configuration file that holds a list of records, or a map of them by `key`; a dimension table."""
-    import yaml
+    try:
+        import yaml
+    except ImportError as missing:
+        raise RuntimeError("reading YAML needs the yaml package") from missing
 
-    loaded = yaml.safe_load(Path(path).read_text()) or []
+    held = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+    loaded = yaml.safe_load(held) or []
     rows = [{"key": k, **v} for k, v in loaded.items()] if isinstance(loaded, dict) else loaded
     return spark.createDataFrame([], schema) if not rows else spark.createDataFrame(rows, schema)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from cataloom.functions.dates import is_live
 from cataloom.operators.transforms import upsert_runs
 from cataloom.operators.windows import numbered
+from cataloom.scratch import put_text
 
 
 def write_snapshot(records: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
@@ -52,6 +54,15 @@ def markdown_table(report: DataFrame, order: Sequence[str], most: int = 1_000) -
     return "\n".join([*lines, *("| " + " | ".join("" if v is None else str(v) for v in row) + " |" for row in rows)])
 
 
+def write_yaml(report: DataFrame, path: str, key: str, most: int = 1_000) -> None:
+    """A report of at most `most` rows as a YAML map by key, in one file. JSON values are YAML, so none needs a package."""
+    rows = report.orderBy(key).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report has {most} rows at most")
+    lines = [f"{json.dumps(str(r[key]))}: {json.dumps({c: r[c] for c in report.columns if c != key})}" for r in rows]
+    put_text(report.sparkSession, path, "\n".join(lines) + "\n")
+
+
 def emit_documents(records: DataFrame, document: Column, path: str) -> None:
     """A JSON document a line; null fields left out."""
     records.select(F.to_json(document).alias("value")).write.mode("errorifexists").text(path)

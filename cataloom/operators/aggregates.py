@@ -245,3 +245,59 @@ def ordered_tally(rows: DataFrame, column: str, values: Sequence[str]) -> DataFr
 def coverage_delta(current: Column, baseline: Column, alert_drop: float) -> Column:
     delta = current - baseline
     return F.struct(F.round(delta, 4).alias("delta"), F.when(baseline.isNull(), "no-baseline").when(delta <= -alert_drop, "drop").when(delta < 0, "slight-drop").otherwise("ok").alias("status"))
+
+
+def keepalive_summary(entries: DataFrame, pr: str, iterations: str, outcome: str, done: str, failed: str) -> DataFrame:
+    """One row: entries, distinct pull requests, iterations (unreadable ones don't count), and what was completed or failed."""
+    n = F.col(iterations).try_cast("int")
+    return entries.agg(
+        F.count("*").alias("entries"),
+        F.count_distinct(pr).alias("prs"),
+        F.round(F.avg(n), 6).alias("avg_iterations"),
+        F.count_if(F.col(outcome) == done).alias("completed"),
+        F.round(F.try_divide(F.count_if(F.col(outcome) == done), F.count("*")), 6).alias("completion_rate"),
+        F.count_if(F.col(outcome) == failed).alias("failed"),
+        F.max(n).alias("most_iterations"),
+    )
+
+
+def autofix_summary(entries: DataFrame, trigger: str, applied: str, pr: str) -> DataFrame:
+    """Per trigger: attempts, how many were applied, and distinct pull requests."""
+    hit = F.coalesce(F.col(applied), F.lit(False))
+    return entries.groupBy(F.col(trigger).alias("trigger")).agg(F.count("*").alias("attempts"), F.count_if(hit).alias("applied"), F.round(F.count_if(hit) / F.count("*"), 6).alias("applied_rate"), F.count_distinct(pr).alias("prs"))
+
+
+def verifier_counters(entries: DataFrame, passed: str, failed: str, confident: int, doubtful: int) -> DataFrame:
+    """One row of counters over verifier entries (run, pr, verdict, confidence, cost, ts)."""
+    ok, bad = F.col("verdict") == passed, F.col("verdict") == failed
+    sure = F.col("confidence") >= confident
+    return entries.agg(
+        F.count("*").alias("entries"),
+        F.count_distinct("run").alias("runs"),
+        F.count_if(ok).alias("passed"),
+        F.count_if(bad).alias("failed"),
+        F.count_if(~ok & ~bad).alias("other"),
+        F.count_if(F.col("confidence").isNull()).alias("unscored"),
+        F.count_if(sure).alias("confident"),
+        F.count_if(bad & sure).alias("confident_failures"),
+        F.count_distinct(F.when(bad, F.col("run"))).alias("failing_runs"),
+        F.count_distinct(F.when(F.col("confidence") < doubtful, F.col("pr"))).alias("doubtful_prs"),
+        F.round(F.avg("cost"), 6).alias("mean_cost"),
+        F.min("ts").alias("first_ts"),
+        F.max("ts").alias("last_ts"),
+    )
+
+
+def freshness_summary(entries: DataFrame) -> DataFrame:
+    """target, n, most_behind for each update target of entries (targets, behind, delta), and the greatest readable delta of all."""
+    overall = entries.agg(F.max(F.coalesce(F.col("delta").try_cast("int"), F.lit(0))).alias("overall"))
+    per_target = entries.select(F.explode("targets").alias("target"), "behind").groupBy("target").agg(F.count("*").alias("n"), F.max("behind").alias("most_behind"))
+    return per_target.join(F.broadcast(overall))
+
+
+def policy_basis(tags: DataFrame, rules: DataFrame, curated: DataFrame) -> DataFrame:
+    """tag, basis: contrastive if its rule has negatives, curated if it stands in that list, provisional with a bare rule, inert without one."""
+    ruled = rules.groupBy("tag").agg(F.max(F.size("negatives")).alias("n_negatives"))
+    listed = curated.select("tag", F.lit(True).alias("listed")).distinct()
+    basis = F.when(F.col("n_negatives").isNull(), "inert").when(F.col("n_negatives") > 0, "contrastive").when(F.col("listed"), "curated").otherwise("provisional")
+    return tags.join(ruled, "tag", "left").join(listed, "tag", "left").select("tag", basis.alias("basis"))

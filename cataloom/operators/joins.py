@@ -294,3 +294,26 @@ def paired_cases(cases: DataFrame) -> DataFrame:
     n_all = all_cases.agg(F.count("*").alias("n_all"))
     per_model = cases.groupBy("model_id").agg(F.count_distinct("case_id").alias("n"))
     return models.join(per_model, "model_id").join(F.broadcast(n_all)).where("n < n_all").select("model_id", (F.col("n_all") - F.col("n")).alias("n_missing"))
+
+
+def hamming_pairs_wide(left: DataFrame, right: DataFrame, threshold: int, digits: int = 64, id_col: str = "id", hash_col: str = "hash") -> DataFrame:
+    """left_id, right_id, distance of hexadecimal hashes of any length within a threshold. Of threshold + 1 bands of digits one at least is equal in hashes that near; with 64 digits and a threshold of 7 a band has 32 bits."""
+    n_bands = threshold + 1
+    if digits < n_bands:
+        raise ValueError("a band needs a digit")
+    edges = [digits * k // n_bands for k in range(n_bands + 1)]
+
+    def banded(rows: DataFrame, side: str) -> DataFrame:
+        bands = F.array(*[F.struct(F.lit(k).alias("band"), F.substring(hash_col, lo + 1, hi - lo).alias("value")) for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))])
+        return rows.select(F.col(id_col).alias(f"{side}_id"), numbers.hash_limbs(F.col(hash_col), digits // 16).alias(f"{side}_hash"), F.explode(bands).alias("b")).select(f"{side}_id", f"{side}_hash", "b.band", "b.value")
+
+    met = banded(left, "left").join(banded(right, "right"), ["band", "value"]).where("left_id <> right_id")
+    near = met.withColumn("distance", numbers.hamming_limbs(F.col("left_hash"), F.col("right_hash"))).where(F.col("distance") <= threshold)
+    return near.select("left_id", "right_id", "distance").distinct()
+
+
+def drift(manifest: DataFrame, held: DataFrame, key: str) -> DataFrame:
+    """key, n_manifest, n_held of keys whose counts differ."""
+    a, b = manifest.groupBy(key).agg(F.count("*").alias("n_manifest")), held.groupBy(key).agg(F.count("*").alias("n_held"))
+    both = a.join(b, key, "full_outer").select(key, F.coalesce("n_manifest", F.lit(0)).alias("n_manifest"), F.coalesce("n_held", F.lit(0)).alias("n_held"))
+    return both.where("n_manifest <> n_held")

@@ -137,3 +137,71 @@ def policy_tags(scores: DataFrame, rules: DataFrame, margin: float) -> DataFrame
     passed = positive.where(F.col("score") >= F.col("threshold"))
     rivals = passed.select("work_id", "tag", F.explode_outer("negatives").alias("label")).join(scores.withColumnRenamed("score", "rival"), ["work_id", "label"], "left").groupBy("work_id", "tag").agg(F.max("rival").alias("rival"))
     return passed.join(rivals, ["work_id", "tag"]).where(F.col("rival").isNull() | (F.col("score") > F.col("rival") + margin)).select("work_id", "tag", "score")
+
+
+def fill_identities(records: DataFrame, identities: DataFrame) -> DataFrame:
+    """records (artist_qid, display_name, lifespan, ...) whose empty name and lifespan come from identities by QID, with filled: whether any did."""
+    known = identities.select(F.col("qid").alias("artist_qid"), F.col("display_name").alias("__name"), F.col("lifespan").alias("__span"))
+    joined = records.join(known, "artist_qid", "left")
+    name, span = F.coalesce(blank_to_null(F.col("display_name")), "__name"), F.coalesce(blank_to_null(F.col("lifespan")), "__span")
+    filled = ~name.eqNullSafe(blank_to_null(F.col("display_name"))) | ~span.eqNullSafe(blank_to_null(F.col("lifespan")))
+    return joined.withColumn("__filled", filled).withColumn("display_name", name).withColumn("lifespan", span).withColumn("filled", F.col("__filled")).drop("__name", "__span", "__filled")
+
+
+def complete_fields(records: DataFrame, candidates: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """records with empty fields set from candidates (key, field, value, tier), the least tier first, and completed: which were set, in the order of fields."""
+    best = candidates.where(F.col("field").isin(*fields)).groupBy(key, "field").agg(F.min_by("value", F.struct("tier", "value")).alias("value"))
+    per_record = best.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("__found"))
+    joined = records.join(per_record, key, "left")
+    sets = [F.when(blank_to_null(F.col(f)).isNull() & F.try_element_at("__found", F.lit(f)).isNotNull(), F.lit(f)) for f in fields]
+    joined = joined.withColumn("completed", F.array_compact(F.array(*sets)))
+    return joined.select(*[F.coalesce(blank_to_null(F.col(c)), F.try_element_at("__found", F.lit(c))).alias(c) if c in fields else F.col(c) for c in [*records.columns, "completed"]])
+
+
+def creator_status(kind: Column, qid: Column, decided_version: Column, version: int) -> Column:
+    """resolved, settled, retired, due or reopened: persons without an identifier are due; a decision of an earlier version is open again; other kinds are settled."""
+    return F.when(qid.isNotNull(), "resolved").when(kind != "person", "settled").when(decided_version.isNull(), "due").when(decided_version < version, "reopened").otherwise("retired")
+
+
+def finalized(records: DataFrame, now: str) -> DataFrame:
+    """records (title, body, width, height, history) with digest, size, dimensions and identifier computed anew, and an event that says so."""
+    digest = F.sha2("body", 256)
+    event = append_event(F.col("history"), F.lit(now), F.lit("engine"), F.lit("finalize"), F.concat_ws("x", F.col("width").cast("string"), F.col("height").cast("string")))
+    return records.select("*", digest.alias("sha256"), F.octet_length("body").cast("long").alias("size_bytes"), F.array("width", "height").alias("dimensions_px"), text.work_identifier(digest, F.col("title")).alias("work_id")).withColumn("history", event)
+
+
+def merged_tags(existing: DataFrame, proposed: DataFrame, precedence: Sequence[str]) -> DataFrame:
+    """work_id, tag, state, source after a merge: what a person has decided stays; else the source of highest precedence wins. Both: work_id, tag, state, source."""
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(s) for s in precedence]), F.col("source")), F.lit(0)), F.lit(len(precedence) + 1))
+    old = existing.withColumn("__rank", F.when(F.col("state").isin("confirmed", "rejected"), 0).otherwise(rank)).withColumn("__new", F.lit(0))
+    both = old.unionByName(proposed.withColumn("__rank", rank).withColumn("__new", F.lit(1)))
+    best = F.min_by(F.struct("state", "source"), F.struct("__rank", "__new", "source"))
+    return both.groupBy("work_id", "tag").agg(best.alias("b")).select("work_id", "tag", "b.state", "b.source")
+
+
+def awaits_dossier(categories: Sequence[str]) -> Column:
+    """Whether a record (category, holder, qid, artist_qid, summary) is of those categories, has a holder and any identifier, and no summary."""
+    return F.col("category").isin(*categories) & F.col("holder").isNotNull() & F.coalesce("qid", "artist_qid").isNotNull() & blank_to_null(F.col("summary")).isNull()
+
+
+#: Logical field -> where it lies in a record.
+FIELD_PATHS = {"artist_qid": ("artist", "wikidata_q"), "work_qid": ("stable_identifiers", "wikidata_q"), "holder_name": ("holder", "name")}
+
+
+def get_field(record: Column, field: str) -> Column:
+    """A logical field of a record, wherever it lies."""
+    for step in FIELD_PATHS.get(field, (field,)):
+        record = record[step]
+    return record
+
+
+def set_field(record: Column, field: str, value: Column) -> Column:
+    """The record with a logical field set; what lies beside it stays."""
+    return record.withField(".".join(FIELD_PATHS.get(field, (field,))), value)
+
+
+def triage(rows: DataFrame, column: str, rules: Sequence[tuple[str, str]]) -> DataFrame:
+    """One row: how many rows any rule flags, how many none does, and whether both together are all."""
+    flagged = F.size(text.all_rules(F.col(column), rules)) > 0
+    counts = rows.agg(F.count("*").alias("n"), F.count_if(flagged).alias("flagged"), F.count_if(~flagged).alias("clean"))
+    return counts.withColumn("conserved", F.col("flagged") + F.col("clean") == F.col("n"))

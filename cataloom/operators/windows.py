@@ -113,3 +113,9 @@ def running_totals(rows: DataFrame, keys: Sequence[str], order: Sequence[Column
 def numbered(rows: DataFrame, order: Sequence[Column | str], name: str = "place", keys: Sequence[str] = ()) -> DataFrame:
     """rows with their number from 1, per key if there are any, in a total order."""
     return running_totals(rows, keys, order, {name: F.lit(1)})
+
+
+def first_seen_mode(rows: DataFrame, keys: Sequence[str], value: str, arrival: str) -> DataFrame:
+    """Per key the most frequent value; of equally frequent ones that seen first, then the least."""
+    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("__n"), F.min(arrival).alias("__first"))
+    return counts.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("__n"), "__first", value)).alias(value))

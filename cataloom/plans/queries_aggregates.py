@@ -33,7 +33,7 @@ def rating_summary_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "lineage_grouping_sets",
-    "AGG-18 SRC-10",
+    "AGG-18",
     """SELECT 'p_brand' AS level, p_brand AS value, count(*) AS n FROM part GROUP BY p_brand UNION ALL SELECT 'p_type', p_type, count(*) FROM part GROUP BY p_type UNION ALL SELECT 'p_size', CAST(p_size AS VARCHAR), count(*) FROM part GROUP BY p_size""",
 )
 def lineage_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +93,7 @@ def source_quality_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "completeness_crosstab",
-    "AGG-05 SET-11 CPX-02 FLT-08",
+    "AGG-05 SET-11 CPX-02",
     """WITH e AS (SELECT doc_id, 'medium' AS field, CASE doc_id % 4 WHEN 0 THEN 'available' WHEN 1 THEN 'unverified' WHEN 2 THEN 'conflicting' END AS status FROM documents UNION ALL SELECT doc_id, 'year', CASE WHEN doc_id % 3 = 0 THEN 'not_available' END FROM documents
         UNION ALL SELECT doc_id, 'holder', NULL FROM documents)
         SELECT field, count(*) FILTER (status = 'available') AS available, count(*) FILTER (coalesce(status, 'not_researched') = 'not_researched') AS not_researched, count(*) FILTER (status = 'not_available') AS not_available, count(*) FILTER (status = 'unverified') AS unverified,
@@ -122,7 +122,7 @@ def cost_per_success(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "step_durations",
-    "AGG-16 AGG-21",
+    "AGG-16",
     """SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean_ms, max(value) AS max_ms, count(*) FILTER (event_id % 5 <> 0) AS n_success, count(*) FILTER (event_id % 5 = 0) AS n_failure FROM events GROUP BY event_type""",
 )
 def step_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +133,7 @@ def step_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "verifier_summary",
-    "AGG-14 AGG-12",
+    "AGG-16",
     """SELECT event_type, count(DISTINCT coalesce(nullif(CAST(user_id AS VARCHAR), '0'), 'none')) AS n_runs, count(*) FILTER (value >= 50) AS n_pass, CAST(len(list_distinct(list(user_id % 10))) AS INTEGER) AS n_traces FROM events GROUP BY event_type""",
 )
 def verifier_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +143,7 @@ def verifier_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "confusion_wilson_p95",
-    "AGG-22 MTH-06 JOIN-35 SRT-13",
+    "AGG-22 MTH-06",
     """WITH c AS (SELECT source, quality AS expected, CAST(n_chars % 3 <> 0 AS INTEGER) AS actual, doc_id % 10 <> 0 AS valid, n_chars / 1000.0::DOUBLE AS cost, n_chars AS latency FROM documents JOIN labels USING (doc_id)),
         s AS (SELECT source, count(*) AS n, count(*) FILTER (expected = actual) AS n_right, count(*) FILTER (expected = 0 AND actual = 1) AS n_false_pass, count(*) FILTER (expected = 1 AND actual = 0) AS n_false_fail, count(*) FILTER (NOT valid) AS n_invalid,
             CAST(quantile_disc(latency, 0.95) AS DOUBLE) AS p95_latency, sum(cost) / nullif(count(*) FILTER (expected = actual), 0) AS cost_per_right FROM c GROUP BY source)
@@ -163,7 +163,7 @@ def confusion_wilson_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "percentile_corpus",
-    "AGG-11 AGG-34",
+    "AGG-11",
     """SELECT l_returnflag, count(l_extendedprice) AS n, round(median(l_extendedprice), 4) AS median, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, max(l_extendedprice) AS most FROM lineitem GROUP BY 1""",
 )
 def percentile_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,7 +234,7 @@ def position_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "coverage_deltas",
-    "AGG-36 AGG-31 SRC-15",
+    "AGG-36",
     """WITH b AS (SELECT p_brand, round(avg(p_retailprice) FILTER (p_partkey % 2 = 0), 4) AS cur, round(avg(p_retailprice) FILTER (p_partkey % 2 = 1), 4) AS base FROM part GROUP BY 1)
         SELECT p_brand, round(cur - base, 4) AS delta, CASE WHEN base IS NULL THEN 'no-baseline' WHEN cur - base <= -5 THEN 'drop' WHEN cur - base < 0 THEN 'slight-drop' ELSE 'ok' END AS status FROM b""",
 )
@@ -246,7 +246,7 @@ def coverage_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "pricing_summary",
-    "AGG-03 AGG-21",
+    "AGG-03",
     """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '2000-09-02' GROUP BY ALL""",
 )
 def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,7 +85,7 @@ def period_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "eligibility_queue",
-    "FLT-07 FLT-08 SRT-18",
+    "FLT-07 SRT-18",
     """WITH s AS (SELECT o_orderkey AS work_id, CASE WHEN o_orderstatus = 'F' AND o_orderkey % 7 = 0 THEN 'derived' WHEN o_orderpriority = '5-LOW' THEN 'resolved' WHEN o_orderkey % 5 = 0 THEN 'adjudicated'
         WHEN o_orderkey % 4 + 1 >= 3 THEN 'retired' ELSE 'eligible' END AS state FROM orders)
         SELECT * FROM s WHERE state = 'eligible' ORDER BY work_id LIMIT 500""",
@@ -111,7 +111,7 @@ def eligibility_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "validation_violations",
-    "FLT-13 FLT-14 FLT-25 FLT-17 MTH-09",
+    "FLT-14 MTH-09",
     """WITH r AS (SELECT event_id, CASE WHEN event_type <> 'view' THEN event_type END AS name, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
         v AS (SELECT event_id, list_filter([CASE WHEN name IS NULL THEN 'missing-name' END, CASE WHEN value < 1 THEN 'value-low' END, CASE WHEN k > 90 AND name = 'error' THEN 'error-high' END], lambda x: x IS NOT NULL) AS violations FROM r)
         SELECT event_id, violations FROM v WHERE len(violations) > 0""",
@@ -147,7 +147,7 @@ def metric_record_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "epoch_members",
-    "FLT-05 FLT-06 WIN-03 PRJ-18",
+    "FLT-05 WIN-03",
     """WITH f AS (SELECT l_orderkey, min(strftime(l_shipdate, '%Y-%m-%d')) AS first_ts, arg_min(l_suppkey, (l_shipdate, l_linenumber, l_partkey)) AS first_actor FROM lineitem GROUP BY 1)
         SELECT * FROM f WHERE first_ts >= '1997-06-01'""",
 )
@@ -159,7 +159,7 @@ def epoch_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "junk_and_derivation_titles",
-    "FLT-10 FLT-11 FLT-18 FLT-19 STR-09 STR-10",
+    "FLT-11 FLT-19 STR-09 STR-10",
     r"""WITH t AS (SELECT p_partkey AS id, p_name || CASE p_partkey % 5 WHEN 0 THEN ' (copy)' WHEN 1 THEN ' (3)' WHEN 2 THEN '_final' ELSE '' END AS title FROM part)
         SELECT id, contains(title, '_') AS junk, regexp_matches(title, '\(copy\)') AS derivation,
         CASE WHEN title LIKE '%(copy)' THEN [title, regexp_replace(title, ' \(copy\)$', '')] WHEN title LIKE '%(3)' THEN [title, regexp_replace(title, ' \(3\)$', '')] ELSE [title] END AS variants FROM t""",
@@ -185,7 +185,7 @@ def scoped_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "model_gate",
-    "FLT-21 FLT-12 CPX-12",
+    "FLT-21",
     """WITH r AS (SELECT s_suppkey AS model_id, s_nationkey AS profile, CASE WHEN s_acctbal > 0 THEN 'approved' ELSE 'trial' END AS status, CASE WHEN s_suppkey % 4 = 0 THEN 'retired' ELSE 'current' END AS lifecycle FROM supplier),
         d AS (SELECT s_nationkey AS profile, s_suppkey AS model_id, CASE WHEN s_suppkey % 3 <> 0 THEN 'report' END AS evidence FROM supplier WHERE s_suppkey % 6 < 2),
         o AS (SELECT * FROM d QUALIFY count(*) OVER (PARTITION BY profile) = 1)
@@ -200,7 +200,7 @@ def model_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "injection_and_triage_rules",
-    "FLT-23 TXT-02",
+    "FLT-23",
     r"""WITH r AS (SELECT doc_id, lower(text) AS t FROM documents)
         SELECT doc_id, list_filter([CASE WHEN regexp_matches(t, 'ignore (all|previous)') THEN 'override' END, CASE WHEN regexp_matches(t, '\|') THEN 'table' END, CASE WHEN regexp_matches(t, '(stupid|worthless|trash)') THEN 'abuse' END], lambda x: x IS NOT NULL) AS findings,
         regexp_matches(t, '(stupid|worthless|trash)') AS blocking FROM r""",
@@ -243,7 +243,7 @@ def crop_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "dossier_probe",
-    "FLT-20 FLT-09 BAT-15",
+    "FLT-20",
     """SELECT page_id FROM pages WHERE contains(html, '<article>') AND NOT contains(html, '<h1></h1>') AND page_id % 3 <> 0""",
 )
 def dossier_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,7 +263,7 @@ def artist_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "hot_spot_files",
-    "SRT-07 AGG-36 SRC-15 SRT-06",
+    "SRT-07 AGG-36",
     """WITH f AS (SELECT p_partkey, CASE WHEN p_size > 40 THEN p_size - 40 ELSE 0 END AS missing, p_size AS total FROM part) SELECT * FROM f WHERE missing > 0 ORDER BY missing DESC, p_partkey LIMIT 15""",
 )
 def hot_spot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,7 +273,7 @@ def hot_spot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "inherit_fields",
-    "CPX-03 CPX-05 SET-08 SET-03",
+    "CPX-03",
     """WITH p AS (SELECT a.p_partkey AS id, CASE WHEN a.p_partkey % 2 = 0 THEN a.p_name END AS own_name, a.p_type AS own_type, b.p_name AS up_name, b.p_type AS up_type FROM part a JOIN part b ON b.p_partkey = a.p_partkey - 1)
         SELECT id, coalesce(own_name, up_name) AS name, coalesce(own_type, up_type) AS type, list_filter([CASE WHEN own_name IS NULL THEN 'name' END], lambda x: x IS NOT NULL) AS took,
         list_filter([CASE WHEN own_name <> up_name THEN 'name' END, CASE WHEN own_type <> up_type THEN 'type' END], lambda x: x IS NOT NULL) AS clash FROM p""",

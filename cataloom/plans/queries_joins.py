@@ -14,7 +14,7 @@ from cataloom.registry import register
 
 @register(
     "queue_ordered_join",
-    "JOIN-03 SRC-10",
+    "JOIN-03",
     """WITH q AS (SELECT conv_id AS name, list(conv_id * 3 + turn ORDER BY turn) AS ids FROM conversations GROUP BY 1), u AS (SELECT name, unnest(ids) AS work_id, generate_subscripts(ids, 1) - 1 AS pos FROM q)
         SELECT name, CAST(pos AS INTEGER) AS pos, work_id, source FROM u JOIN documents ON doc_id = work_id""",
 )
@@ -27,7 +27,7 @@ def queue_ordered_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "alias_resolution",
-    "JOIN-02 JOIN-34 STR-02 STR-04 STR-11",
+    "JOIN-02 STR-02 STR-04 STR-11",
     """WITH n AS (SELECT n_nationkey, translate(n_name, '0123456789_', 'abcdefghij') AS n_name FROM nation),
         r AS (SELECT DISTINCT s_suppkey % 4 AS kind, n_nationkey, CASE s_suppkey % 4 WHEN 0 THEN upper(n_name) WHEN 1 THEN 'Jan ' || n_name WHEN 2 THEN 'circle of Jan ' || n_name ELSE n_name || ' / Somebody Else' END AS raw FROM supplier JOIN n ON s_nationkey = n_nationkey)
         SELECT raw, 'Q' || n_nationkey AS qid, CASE kind WHEN 0 THEN 0.99 WHEN 1 THEN 0.85 WHEN 2 THEN 0.5 ELSE round(0.99 * 0.9, 6) END::DOUBLE AS confidence, CASE WHEN kind IN (0, 3) THEN 'exact' ELSE 'surname' END AS method FROM r""",
@@ -74,7 +74,7 @@ _HASH_SQL = """h AS (SELECT doc_id AS id, xor(CAST('0x' || substr(md5(text), 1,
     string_split(text, chr(10))[1] AS title FROM documents)"""
 
 
-@register("hamming_knn", "JOIN-07 MTH-01 SRC-12", f"""WITH {_HASH_SQL} SELECT a.id AS left_id, b.id AS right_id, CAST(bit_count(xor(a.hash, b.hash)) AS INTEGER) AS distance FROM h a JOIN h b ON bit_count(xor(a.hash, b.hash)) <= 3 AND a.id <> b.id""")
+@register("hamming_knn", "MTH-01", f"""WITH {_HASH_SQL} SELECT a.id AS left_id, b.id AS right_id, CAST(bit_count(xor(a.hash, b.hash)) AS INTEGER) AS distance FROM h a JOIN h b ON bit_count(xor(a.hash, b.hash)) <= 3 AND a.id <> b.id""")
 def hamming_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row against all others."""
     h = _hash_rows(spark, sf_dir)
@@ -83,7 +83,7 @@ def hamming_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "layered_dedup",
-    "JOIN-06 UDX-01 ITR-06",
+    "JOIN-06",
     f"""WITH {_HASH_SQL}, c AS (SELECT * FROM h), a AS (SELECT * FROM h),
         s AS (SELECT c.id AS candidate_id, min(a.id) AS archive_id FROM c JOIN a ON a.digest = c.digest AND a.id <> c.id GROUP BY 1),
         n AS (SELECT c.id AS candidate_id, arg_min(a.id, (bit_count(xor(a.hash, c.hash)), a.id)) AS archive_id FROM c JOIN a ON bit_count(xor(a.hash, c.hash)) <= 3 AND a.id <> c.id WHERE c.id NOT IN (SELECT candidate_id FROM s) GROUP BY 1),
@@ -134,7 +134,7 @@ def _variant_verdicts(edges: DataFrame, s: DataFrame) -> DataFrame:
 
 @register(
     "variant_edges",
-    "JOIN-09 JOIN-10 BAT-11",
+    "JOIN-09 JOIN-10",
     """WITH e AS (SELECT s_suppkey AS owner, (s_suppkey * 7) % (SELECT count(*) FROM supplier) AS held, s_suppkey AS ord FROM supplier), m AS (SELECT DISTINCT a.owner, a.held FROM e a JOIN e b ON a.owner = b.held AND a.held = b.owner AND a.owner <> a.held),
         h AS (SELECT held, arg_min(owner, (ord, owner)) AS owner FROM e WHERE (owner, held) NOT IN (SELECT owner, held FROM m) GROUP BY held), q AS (SELECT s_suppkey AS item, CASE WHEN s_suppkey % 3 <> 0 THEN s_nationkey END AS qid FROM supplier)
         SELECT owner, held, CASE WHEN o.qid IS NULL AND i.qid IS NULL THEN 'unresolved' WHEN o.qid IS NULL THEN 'owner-no-qid' WHEN i.qid IS NULL OR o.qid = i.qid THEN 'true-crop' ELSE 'qid-conflict' END AS verdict FROM h LEFT JOIN q o ON o.item = owner LEFT JOIN q i ON i.item = held
@@ -160,7 +160,7 @@ def uniqueness_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.claim_unique(p.where("NOT holds"), p.where("holds"), "qid", "id").select("id", "qid", "outcome")
 
 
-@register("shared_identifiers", "JOIN-12 BAT-17", """SELECT o_custkey, list_sort(list(DISTINCT o_orderstatus)) AS items FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1""")
+@register("shared_identifiers", "JOIN-12", """SELECT o_custkey, list_sort(list(DISTINCT o_orderstatus)) AS items FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1""")
 def shared_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.shared_keys(table(spark, sf_dir, "orders"), "o_custkey", "o_orderstatus")
 
@@ -178,7 +178,7 @@ def want_list_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "catalog_diff",
-    "JOIN-27 SET-04 SET-06 JOIN-31",
+    "JOIN-27 SET-04 SET-06",
     """SELECT o_custkey, 'added' AS change FROM (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '5-LOW')
         UNION ALL SELECT o_custkey, 'removed' FROM (SELECT o_custkey FROM orders WHERE o_orderpriority = '5-LOW' EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""",
 )
@@ -202,7 +202,7 @@ def manifest_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "class_closure",
-    "JOIN-22 SRC-18 CPX-14",
+    "JOIN-22",
     """WITH RECURSIVE e AS (SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent FROM nation UNION ALL SELECT 'r' || r_regionkey, CASE WHEN r_regionkey < 3 THEN 'top' ELSE 'other' END FROM region UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'top', 'n1'),
         up(node, cur, path) AS (SELECT DISTINCT child, child, [child] FROM e UNION ALL SELECT u.node, e.parent, list_append(u.path, e.parent) FROM up u JOIN e ON e.child = u.cur WHERE NOT list_contains(u.path, e.parent))
         SELECT DISTINCT node, cur AS root FROM up WHERE cur IN ('top', 'other')""",
@@ -235,7 +235,7 @@ def family_root(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "known_works_merge",
-    "JOIN-20 SRT-16 SET-01",
+    "JOIN-20 SET-01",
     """WITH s AS (SELECT p_partkey AS ord, p_name AS title, 1900 + p_size AS year, CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS holder, p_type AS source, p_partkey % 40 AS sitelinks FROM part),
         j AS (SELECT *, lower(title) AS key, CASE WHEN year - lag(year) OVER (PARTITION BY lower(title) ORDER BY year, ord) > 3 THEN 1 ELSE 0 END AS jump FROM s), c AS (SELECT *, sum(jump) OVER (PARTITION BY key ORDER BY year, ord) AS cluster FROM j)
         SELECT key, CAST(cluster AS BIGINT) AS cluster, arg_min(title, ord) AS title, arg_min(year, ord) AS year, arg_min(holder, ord) FILTER (holder IS NOT NULL) AS holder, list_sort(list(DISTINCT source)) AS sources, max(sitelinks) AS sitelinks FROM c GROUP BY key, cluster""",
@@ -252,7 +252,7 @@ def _known_works(p: DataFrame) -> DataFrame:
 
 @register(
     "registry_precedence",
-    "JOIN-21 SRC-11 CPX-06",
+    "JOIN-21 CPX-06",
     """WITH g AS (SELECT n_nationkey AS ord, 'host' || n_nationkey AS host, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey END AS qid, n_name AS name FROM nation)
         SELECT s_suppkey, coalesce(a.host, b.host) AS host, CASE WHEN a.host IS NOT NULL THEN 'qid' WHEN b.host IS NOT NULL THEN 'name' ELSE 'none' END AS found_by
         FROM supplier LEFT JOIN g a ON a.qid = s_nationkey LEFT JOIN nation n ON n.n_nationkey = s_nationkey AND s_suppkey % 3 = 0 LEFT JOIN g b ON lower(b.name) = lower(n.n_name)""",
@@ -267,7 +267,7 @@ def registry_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "guarded_corrections",
-    "JOIN-28 JOIN-36 BAT-10 BAT-05",
+    "JOIN-28 JOIN-36",
     """WITH f AS (SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'WRONG' ELSE p_type END AS expected, CASE WHEN p_partkey % 6 = 0 THEN p_type ELSE 'FIXED' END AS value FROM part WHERE p_partkey % 2 = 0)
         SELECT p.p_partkey, CASE WHEN value IS NOT NULL AND p_type = expected THEN value ELSE p_type END AS p_type, CASE WHEN value IS NULL THEN 'none' WHEN p_type = value THEN 'already' WHEN p_type = expected THEN 'applied' ELSE 'refused' END AS outcome FROM part p LEFT JOIN f USING (p_partkey)""",
 )
@@ -279,7 +279,7 @@ def guarded_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "label_matches",
-    "JOIN-29 SET-09 STR-21",
+    "JOIN-29",
     """WITH k AS (SELECT p_name AS label, 0.95 AS score, 1 AS kw FROM part WHERE p_size < 3), v AS (SELECT upper(p_name), round(p_size / 60.0, 4), 0 FROM part), u AS (SELECT label, score::DOUBLE AS score, kw, lower(label) AS norm FROM (SELECT * FROM k UNION ALL SELECT * FROM v))
         SELECT arg_max(label, (kw, score, label)) AS label, arg_max(score, (kw, score, label)) AS score, arg_max(kw, (kw, score, label)) AS kw FROM u GROUP BY norm""",
 )
@@ -303,7 +303,7 @@ def same_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "title_margin_match",
-    "JOIN-13 JOIN-16 JOIN-17 JOIN-18 STR-07 STR-10",
+    "JOIN-13 STR-10",
     """WITH w AS (SELECT p_partkey AS id, p_brand AS creator, p_name AS title, p_size AS year FROM part), o AS (SELECT p_partkey AS qid, p_brand AS creator, p_name AS label, p_size AS year FROM part),
         p AS (SELECT id, qid, w.year AS wy, o.year AS oy, list_distinct(string_split(w.title, ' ')) AS a, list_distinct(string_split(o.label, ' ')) AS b FROM w JOIN o ON w.creator = o.creator AND id <> qid),
         s AS (SELECT id, qid, abs(wy - oy) <= 6 AS sane, len(list_intersect(a, b)) / len(a)::DOUBLE AS score FROM p), g AS (SELECT *, max(score) OVER (PARTITION BY id) AS best FROM s), c AS (SELECT *, count(*) OVER (PARTITION BY id) AS n_cluster FROM g WHERE score >= best - 0.04 AND best >= 0.5)
@@ -339,7 +339,7 @@ def entity_match_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "merge_records",
-    "SET-10 SET-02 CPX-04",
+    "SET-10 SET-02",
     """SELECT p_brand, arg_max(p_name, (length(p_name), -p_partkey)) AS p_name, arg_min(p_type, p_partkey) AS p_type, max(CASE WHEN p_type = 'PROMO' THEN 2 WHEN p_type = 'SMALL' THEN 1 ELSE 0 END) >= 1 AS restricted, list_sort(list(DISTINCT p_size)) AS sizes FROM part GROUP BY p_brand""",
 )
 def merge_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -350,7 +350,7 @@ def merge_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "single_creator_adoption",
-    "BAT-01 BAT-02 BAT-03",
+    "BAT-02",
     """WITH c AS (SELECT DISTINCT l_orderkey AS work_qid, l_suppkey % 40 AS creator_qid FROM lineitem WHERE l_returnflag = 'R'), n AS (SELECT work_qid, count(*) AS n, min(creator_qid) AS creator_qid FROM c GROUP BY 1)
         SELECT o_orderkey AS work_id, n.creator_qid, s_name AS display_name, CASE WHEN n.n IS NULL THEN 'no-claim' WHEN n.n > 1 THEN 'several' WHEN o_orderkey % 5 = 0 AND s_name IS NOT NULL THEN 'already-named' ELSE 'adopted' END AS outcome
         FROM orders LEFT JOIN n ON n.work_qid = o_orderkey LEFT JOIN supplier s ON s.s_suppkey = n.creator_qid""",
@@ -366,7 +366,7 @@ def single_creator_adoption(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "batch_pass_outcomes",
-    "BAT-04 BAT-06 BAT-08 BAT-09 BAT-12 BAT-16 AGG-35 SRT-18 SNK-01 SNK-02 CPX-01",
+    "BAT-04 AGG-35 SRT-18 CPX-01",
     """WITH e AS (SELECT p_partkey, p_partkey % 3 = 0 AS eligible, p_name FROM part), r AS (SELECT *, CASE WHEN eligible THEN row_number() OVER (PARTITION BY eligible ORDER BY p_partkey) END AS rn FROM e)
         SELECT CASE WHEN NOT eligible THEN 'not-eligible' WHEN rn > 300 THEN 'not-attempted' WHEN contains(p_name, 'ring') THEN 'applied' ELSE 'unresolved' END AS outcome, count(*) AS n FROM r GROUP BY 1""",
 )

@@ -45,7 +45,7 @@ def _comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max_by("l_suppkey", order).alias("winner"), F.min_by("l_suppkey", order).alias("loser")).select("winner", "loser")
 
 
-@register("bt_pair_counts", "AGG-09 MTH-08", f"""WITH {_COMPARISONS_SQL} SELECT least(winner, loser) AS a, greatest(winner, loser) AS b, count(*) + 1.0::DOUBLE AS n, count(*) FILTER (winner < loser) + 0.5::DOUBLE AS wins_a, count(*) FILTER (winner > loser) + 0.5::DOUBLE AS wins_b FROM c WHERE winner <> loser GROUP BY ALL""")
+@register("bt_pair_counts", "AGG-09", f"""WITH {_COMPARISONS_SQL} SELECT least(winner, loser) AS a, greatest(winner, loser) AS b, count(*) + 1.0::DOUBLE AS n, count(*) FILTER (winner < loser) + 0.5::DOUBLE AS wins_a, count(*) FILTER (winner > loser) + 0.5::DOUBLE AS wins_b FROM c WHERE winner <> loser GROUP BY ALL""")
 def bt_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preferences.pair_counts(_comparisons(spark, sf_dir))
 
@@ -93,7 +93,7 @@ def display_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.round(score, 6).alias("score"))
 
 
-@register("image_kernels", "IMG-01 IMG-02 UDX-02")
+@register("image_kernels", "IMG-01 IMG-02")
 def image_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashes and sharpness of pixel arrays made from parts; tests compare with known images."""
     i = F.sequence(F.lit(0), F.lit(31))
@@ -103,7 +103,7 @@ def image_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "render_strategy",
-    "IMG-03 IMG-05",
+    "IMG-05",
     """SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'direct' WHEN 1 THEN 'range-map' ELSE 'range-map-strong' END AS strategy FROM part""",
 )
 def render_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ def fold_and_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "year_parse",
-    "DAT-01 DAT-02 DAT-03 DAT-06",
+    "DAT-01 DAT-02",
     r"""WITH t AS (SELECT o_orderkey AS id, year(o_orderdate) AS y, CASE o_orderkey % 5 WHEN 0 THEN 'c. ' || year(o_orderdate) WHEN 1 THEN year(o_orderdate) || '-' || lpad(CAST(o_orderkey % 90 + 10 AS VARCHAR), 2, '0') WHEN 2 THEN (year(o_orderdate) // 10 * 10) || 's' WHEN 3 THEN 'undated' ELSE year(o_orderdate) || ' (1234)' END AS s FROM orders)
         SELECT id, CASE WHEN id % 5 IN (0, 1, 4) THEN CAST(y AS INTEGER) END AS best, CASE id % 5 WHEN 0 THEN CAST(y AS INTEGER) WHEN 1 THEN greatest(y, CAST(y // 100 * 100 + id % 90 + 10 AS INTEGER)) WHEN 2 THEN CAST(y // 10 * 10 + 9 AS INTEGER) WHEN 4 THEN CAST(y AS INTEGER) END::INTEGER AS year_max,
         CASE WHEN id % 5 = 4 THEN 1234 END AS in_parentheses FROM t""",
@@ -52,7 +52,7 @@ def year_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "medium_vocab",
-    "STR-16 STR-17 SET-08 CPX-05",
+    "STR-16",
     """WITH t AS (SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'Oil on canvas' WHEN 1 THEN 'egg tempera and gold leaf on wood panel' WHEN 2 THEN 'Watercolor / paper' WHEN 3 THEN 'black chalk, ink (paper)' WHEN 4 THEN 'bronze' ELSE 'oils on linen' END AS s FROM part)
         SELECT id, CASE id % 6 WHEN 0 THEN 'Oil on canvas' WHEN 1 THEN 'Tempera and gold on panel' WHEN 2 THEN 'Watercolour on paper' WHEN 3 THEN 'Ink and chalk on paper' WHEN 5 THEN 'Oil on canvas' END AS medium FROM t""",
 )
@@ -65,7 +65,7 @@ def medium_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "slug_ids",
-    "STR-18 CPX-08",
+    "STR-18",
     r"""WITH t AS (SELECT doc_id, sha256(text) AS h, list_filter(string_split("""
     + _ASCII.format("string_split(text, chr(10))[1]")
     + """, ' '), lambda x: x <> '') AS w FROM documents) SELECT doc_id, concat_ws('-', left(h, 7), array_to_string(w[1:6], '-')) AS work_id FROM t""",
@@ -88,7 +88,7 @@ def html_text_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "numeric_guards",
-    "MTH-07 MTH-08 MTH-09 MTH-10 STR-23",
+    "MTH-07 MTH-09 MTH-10 STR-23",
     """SELECT event_id, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN value WHEN 2 THEN NULL ELSE value END AS finite, round(1 / (1 + value), 8) AS similarity, CASE WHEN event_id % 2 = 0 THEN round(least(1.0, value / 100), 6) ELSE round(least(1.0, CASE WHEN value > 1 THEN value / 100 ELSE value END), 6) END AS confidence,
         '4.' || (event_id % 7) AS version FROM events""",
 )
@@ -102,7 +102,7 @@ def numeric_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "timestamps_and_durations",
-    "DAT-04 DAT-05 TXT-05",
+    "DAT-04 DAT-05",
     """SELECT event_id, CASE event_id % 3 WHEN 0 THEN to_timestamp(1700000000 + event_id)::TIMESTAMP WHEN 1 THEN ts END AS parsed, CASE WHEN event_id % 2 = 0 THEN event_id * 10 END AS ms, greatest(date_diff('day', ts::DATE, DATE '2024-01-15'), 0) AS overdue FROM events""",
 )
 def timestamps_and_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +115,7 @@ def timestamps_and_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "map_ledger",
-    "CPX-01 CPX-02 CPX-07 CPX-09 PRJ-16 BAT-12",
+    "CPX-01 CPX-02 CPX-07 PRJ-16",
     """SELECT o_orderkey, [o_orderpriority, 'set'] AS ops, sha256('{"priority":"' || o_orderpriority || '","status":"' || o_orderstatus || '"}') AS fingerprint FROM orders""",
 )
 def map_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +127,7 @@ def map_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "tier_resolution",
-    "CPX-04 CPX-15 UDX-03",
+    "CPX-04 CPX-15",
     """WITH c AS (SELECT l_orderkey AS work, l_linenumber AS ord, l_suppkey % 3 AS tier, CASE WHEN l_partkey % 4 <> 0 THEN l_partkey END AS candidate FROM lineitem)
         SELECT work, arg_min(candidate, (tier, ord, candidate)) FILTER (candidate IS NOT NULL) AS candidate, count(*) AS n_tried FROM c GROUP BY work""",
 )
@@ -153,7 +153,7 @@ def tag_review_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "policy_tags",
-    "CPX-11 AGG-31 UDX-02",
+    "CPX-11",
     """WITH s AS (SELECT s_suppkey AS work_id, k AS label, ((s_suppkey * 7 + i * 31) % 100) / 100.0::DOUBLE AS score FROM supplier, (VALUES ('a', 1), ('b', 2), ('c', 3)) v(k, i)), r(tag, positive, negative, threshold) AS (VALUES ('A', 'a', 'b', 0.4), ('C', 'c', NULL, 0.7)),
         p AS (SELECT work_id, tag, score, negative FROM s JOIN r ON label = positive WHERE score >= threshold)
         SELECT p.work_id, p.tag, p.score FROM p LEFT JOIN s n ON n.work_id = p.work_id AND n.label = p.negative WHERE n.score IS NULL OR p.score > n.score + 0.1""",
@@ -169,7 +169,7 @@ def policy_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "creator_strings",
-    "STR-11 STR-12",
+    "STR-11",
     """WITH t AS (SELECT s_suppkey AS id, CASE s_suppkey % 5 WHEN 0 THEN 'Unknown' WHEN 1 THEN 'Family, Given' WHEN 2 THEN 'A. One and B. Two' WHEN 3 THEN 'attributed to Jan Steen' ELSE '17th century' END AS s FROM supplier)
         SELECT id, CASE id % 5 WHEN 0 THEN ['Unknown'] WHEN 1 THEN ['Family, Given'] WHEN 2 THEN ['A. One', 'B. Two'] WHEN 3 THEN ['Jan Steen'] ELSE ['17th century'] END AS names, CASE id % 5 WHEN 0 THEN 'anonymous' WHEN 4 THEN 'era' ELSE 'person' END AS kind FROM t""",
 )

@@ -14,7 +14,7 @@ from cataloom.sources import readers, sinks
 
 @register(
     "scan_clean_projection",
-    "SRC-01 PRJ-01 PRJ-09 PRJ-12 DAT-01",
+    "PRJ-01 PRJ-09 DAT-01",
     f"""WITH {WORKS_SQL} SELECT work_id, coalesce(nullif(trim(title), ''), 'Untitled') AS title, coalesce(artist, 'Unknown') AS creator,
         coalesce(CAST(year AS VARCHAR), '') AS date,
         CASE WHEN year IS NULL THEN 'western-painting-unknown-period' WHEN year < 1800 THEN 'western-painting-pre1800' WHEN year < 1900 THEN 'western-painting-19c' ELSE 'western-painting-modern' END AS work_class
@@ -37,7 +37,7 @@ _LINES = "CASE event_id % 10 WHEN 0 THEN '' WHEN 1 THEN substr(props, 1, 4) WHEN
 
 @register(
     "corrupt_line_accounting",
-    "SRC-05 SRC-07 SRC-08 AGG-20 STM-01",
+    "SRC-05 AGG-20 STM-01",
     f"""SELECT reason, count(*) AS n FROM (SELECT {_LINES} AS value FROM events) l,
         LATERAL (SELECT CASE WHEN NOT json_valid(value) THEN 'invalid-json' WHEN json_type(CASE WHEN json_valid(value) THEN value END) <> 'OBJECT' THEN 'non-object-json' ELSE 'parsed' END AS reason)
         WHERE trim(value) <> '' GROUP BY reason""",
@@ -77,7 +77,7 @@ def json_variant_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "path_domain_projection",
-    "STR-19 FLT-16 PRJ-13 STR-25",
+    "PRJ-13",
     r"""SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), '^www\.', '') AS domain,
         split_part(regexp_replace(url, '^[a-z]+://[^/]+/', ''), '/', 1) AS family, len(regexp_extract_all(lower(html), 'href')) >= 2 AS linked,
         1.0::DOUBLE + CASE WHEN regexp_matches(regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), '^www\.', ''), '\.(edu|gov)(\.|$)') THEN 0.5 ELSE 0.0 END AS authority FROM pages""",
@@ -95,7 +95,7 @@ def path_domain_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "list_page",
-    "SRT-01 JOIN-01 PRJ-07 WIN-01 FLT-03",
+    "JOIN-01 PRJ-07 WIN-01 FLT-03",
     f"""WITH {INVENTORY_SQL}, {RATINGS_SQL},
         page AS (SELECT rel_id, title, artist FROM inventory WHERE contains(lower(title), 'ring') OR contains(lower(artist), 'ring') ORDER BY rel_id LIMIT 25 OFFSET 10),
         latest AS (SELECT work_id, arg_max(quality, (ts, row_id)) FILTER (WHERE quality IS NOT NULL) AS quality, count(*) AS n_ratings FROM ratings GROUP BY work_id)
@@ -112,7 +112,7 @@ def list_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "source_union_projection",
-    "PRJ-04 PRJ-05 PRJ-11 SET-01 SRC-22",
+    "PRJ-04 PRJ-05 PRJ-11 SET-01",
     """SELECT 'supplier' AS source, s_suppkey AS id, s_name AS name, n_name AS place, NULL::DOUBLE AS amount, 'public-domain' AS rights FROM supplier JOIN nation ON n_nationkey = s_nationkey
         UNION ALL SELECT 'customer', c_custkey, c_name, NULL, c_acctbal, CASE WHEN c_mktsegment = 'BUILDING' THEN 'public-domain' ELSE 'rights-reserved' END FROM customer""",
 )
@@ -150,7 +150,7 @@ def display_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "json_document_projection",
-    "PRJ-02 PRJ-03 PRJ-16 SNK-07 SNK-11 CPX-07 CPX-08",
+    "PRJ-16 CPX-07",
     """SELECT doc_id, '{"id":"' || doc_id || '","label":"' || source || '"' || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ',"language":"' || lang || '"' END || '}' AS document,
         substr(sha256(doc_id || '|' || source || '|' || n_chars), 1, 16) AS etag FROM documents""",
 )
@@ -162,7 +162,7 @@ def json_document_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "tag_projection",
-    "PRJ-19 WIN-11 CPX-10 STR-17 STR-27",
+    "PRJ-19 STR-27",
     """WITH r AS (SELECT doc_id, lower(text) AS t FROM documents)
         SELECT doc_id, list_filter([CASE WHEN contains(t, 'http') THEN 'has:link' END, CASE WHEN contains(t, 'license') THEN 'has:license' END, CASE WHEN contains(t, '@') THEN 'has:address' END], lambda x: x IS NOT NULL) AS tags,
         CASE WHEN contains(t, 'license') THEN 'legal' WHEN contains(t, '|') THEN 'table' ELSE 'prose' END AS category FROM r""",
@@ -189,7 +189,7 @@ def fact_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "bag_manifest",
-    "SRC-20 SRC-25 SNK-08 AGG-27 AGG-33",
+    "SNK-08 AGG-27 AGG-33",
     """SELECT sha256(text) || '  data/' || doc_id AS line, (SELECT CAST(sum(n_chars) AS VARCHAR) || '.' || count(*) FROM documents) AS oxum FROM documents""",
 )
 def bag_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,7 +227,7 @@ def idempotent_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "live_requests",
-    "SRC-09 SNK-03 STM-04 WIN-14 DAT-05",
+    "WIN-14 DAT-05",
     """WITH live AS (SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 10 DAY)
         SELECT user_id, arg_max(event_id, event_id) AS event_id, count(*) AS n_live FROM live GROUP BY user_id""",
 )
@@ -239,7 +239,7 @@ def live_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "reference_names",
-    "SRC-23 SRC-04",
+    "SRC-23",
     """WITH f AS (SELECT p_brand FROM part GROUP BY 1 HAVING count(*) >= 70), x AS (SELECT trim(regexp_replace(lower(p_brand), '[^a-z0-9 ]+', ' ', 'g')) AS v FROM f)
         SELECT 'full' AS kind, v AS value FROM x UNION SELECT 'surname', split_part(v, ' ', -1) FROM x WHERE length(split_part(v, ' ', -1)) >= 4""",
 )
@@ -263,7 +263,7 @@ def markdown_and_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "relation_signature",
-    "AGG-33 SRC-20",
+    "AGG-33",
     """SELECT CAST(sum(event_id) AS BIGINT) AS sum_modified, CAST(sum(user_id) AS BIGINT) AS sum_size, count(*) AS n FROM events""",
 )
 def relation_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,7 +272,7 @@ def relation_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "seek_page",
-    "SRT-01 SRT-18",
+    "SRT-18",
     "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 5000 ORDER BY o_orderkey LIMIT 100",
 )
 def seek_page(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ def _drained(stream: DataFrame, mode: str) -> DataFrame:
 
 @register(
     "stream_latest_state",
-    "STM-01 STM-02 STM-07",
+    "STM-01 STM-02",
     """SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value, count(*) AS n_events FROM events GROUP BY user_id""",
 )
 def stream_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def stream_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(latest.select("user_id", "event_id", "value", "n_events"), "complete")
 
 
-@register("stream_dedupe", "STM-05 STM-06", "SELECT DISTINCT user_id, event_type FROM events")
+@register("stream_dedupe", "STM-05", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = streams.first_deliveries(_events(spark, sf_dir), ["user_id", "event_type"], "ts", "60 days")
     return _drained(first.select("user_id", "event_type"), "append")

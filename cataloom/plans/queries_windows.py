@@ -12,7 +12,7 @@ from cataloom.registry import register
 
 @register(
     "latest_per_key",
-    "WIN-01 STM-02 STM-08 JOIN-04",
+    "WIN-01 STM-02 STM-08",
     f"""WITH {RATINGS_SQL} SELECT work_id, row_id, ts, surface, fit, quality, dwell, count(*) OVER (PARTITION BY work_id) AS n_events FROM ratings QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY ts DESC, row_id DESC) = 1""",
 )
 def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def last_non_null_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "first_event_actor",
-    "WIN-03 WIN-04",
+    "WIN-03",
     """SELECT o_custkey, min(o_orderdate) AS first_ts, arg_min(o_orderpriority, (o_orderdate, o_orderkey)) AS first_actor FROM orders GROUP BY o_custkey""",
 )
 def first_event_actor(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def trailing_n_all_above(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "margin_rule",
-    "WIN-07 SRT-09 WIN-05",
+    "WIN-07 WIN-05",
     """WITH s AS (SELECT p_brand, p_type, round(avg(p_retailprice), 4) AS score FROM part GROUP BY ALL),
         r AS (SELECT *, lead(score) OVER w AS next_score, row_number() OVER w AS rn FROM s WINDOW w AS (PARTITION BY p_brand ORDER BY score DESC, p_type))
         SELECT p_brand, p_type, score, next_score, CASE WHEN next_score IS NULL OR score - next_score >= 30 THEN 'margin' ELSE 'tied-fallback' END AS rule FROM r WHERE rn = 1""",

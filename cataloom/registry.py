@@ -14,7 +14,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 _OPERATORS: dict[str, str] = {}
 #: Modules that register queries.
-_MODULES = ("queries_resolution", "queries_rules", "queries_files", "queries_scans", "queries_filters", "queries_windows", "queries_aggregates", "queries_joins", "queries_scalars", "queries_preferences", "queries_streams")
+_MODULES = ("queries_passes", "queries_resolution", "queries_rules", "queries_files", "queries_scans", "queries_filters", "queries_windows", "queries_aggregates", "queries_joins", "queries_scalars", "queries_preferences", "queries_streams")
 
 
 def _load() -> None:

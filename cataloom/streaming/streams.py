@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -89,3 +90,30 @@ def drain(stream: DataFrame, name: str, mode: str, checkpoint: str | None = None
     query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+class _BudgetSpent(Exception):
+    pass
+
+
+def budgeted(spark: SparkSession, path: str, schema: str, files: int, checkpoint: str, out: str, batches: int = 1) -> int:
+    """Work on new files where the checkpoint says the last run ended, `files` a batch; the number of batches done.
+
+    The batch beyond the budget is refused, so it isn't committed and comes first in the next run. Each batch is a folder
+    of its own, written anew if it comes again.
+    """
+    done: list[int] = []
+
+    def work(batch: DataFrame, number: int) -> None:
+        if len(done) >= batches:
+            raise _BudgetSpent
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        done.append(number)
+
+    query = upsert_batches(tail(spark, path, schema, files_per_batch=files), work, checkpoint)
+    try:
+        query.awaitTermination()
+    except StreamingQueryException:
+        if len(done) < batches:
+            raise
+    return len(done)

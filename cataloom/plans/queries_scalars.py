@@ -189,13 +189,18 @@ def checklists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.headings(body).alias("headings"), F.transform(text.checklist(body), lambda c: c["done"]).alias("done"))
 
 
-@register("hash_bow", "UDX-06")
+@register(
+    "hash_bow",
+    "UDX-06",
+    r"""WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\W+'), lambda x: x <> '')) AS token FROM documents), c AS (SELECT doc_id, CAST('0x' || substr(sha256(token), 1, 2) AS INTEGER) AS cell, count(*) AS n FROM t GROUP BY 1, 2)
+        SELECT doc_id, cell, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 9) AS weight FROM c""",
+)
 def hash_bow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hashed bag of words: cell and weight of each token, the vector having length 1. Cells come from a 64-bit hash of Spark's, so tests compare with a loop over its values."""
+    """Hashed bag of words: cell and weight of each token, the vector having length 1."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.filter(F.split(F.lower("text"), r"\W+"), lambda t: t != "")).alias("token"))
-    cells = d.groupBy("doc_id", F.pmod(F.xxhash64("token"), F.lit(256)).alias("cell")).agg(F.count("*").alias("n"))
+    cells = d.groupBy("doc_id", numbers.hash_cell(F.col("token"), 256).alias("cell")).agg(F.count("*").alias("n"))
     norms = cells.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    return cells.join(norms, "doc_id").select("doc_id", "cell", (F.col("n") / F.col("norm")).alias("weight"))
+    return cells.join(norms, "doc_id").select("doc_id", "cell", F.round(F.col("n") / F.col("norm"), 9).alias("weight"))
 
 
 @register(

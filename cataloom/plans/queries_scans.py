@@ -212,7 +212,7 @@ def export_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "idempotent_upsert",
-    "SNK-04 STM-06 SNK-12 BAT-14",
+    "STM-06",
     """WITH h AS (SELECT o_orderkey AS run_id, o_totalprice AS v FROM orders WHERE o_orderkey % 2 = 0), n AS (SELECT o_orderkey AS run_id, -o_totalprice AS v FROM orders WHERE o_orderkey % 3 = 0)
         SELECT * FROM n UNION ALL SELECT * FROM h WHERE run_id NOT IN (SELECT run_id FROM n)""",
 )

@@ -22,6 +22,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from math import inf
 
 import ahocorasick
 import pyarrow as pa
@@ -37,6 +38,9 @@ _UNITS = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 #: used again moves to the young one), what an entry takes beside its characters, the longest unit kept, and pairs kept.
 CACHE_BYTES, ENTRY_BYTES, CACHED_CHARS, CACHED_PAIRS = 32 << 20, 260, 48, 200_000
 
+#: Characters up to which neighbours are merged without a queue.
+SHORT = 32
+
 
 class PieceModel:
     """The pieces of a model as plain data, small enough to travel with a task."""
@@ -83,6 +87,8 @@ class PieceCodec:
 
     def merge(self, text: str) -> list[str]:
         """The model's own rule: join the neighbours whose joint piece scores best, the leftmost first, until none is left."""
+        if len(text) <= SHORT:
+            return self._merge_short(text)
         scores, parts = self.model.scores, list(text)
         before, after = list(range(-1, len(parts) - 1)), [*range(1, len(parts)), -1]
         queue: list[tuple[float, int, str]] = []
@@ -105,6 +111,21 @@ class PieceCodec:
             offer(i)
         return [p for p in parts if p]
 
+    def _merge_short(self, text: str) -> list[str]:
+        """The same by looking through all neighbours, which a queue only beats on longer texts."""
+        get, none = self.model.scores.get, -inf
+        parts = list(text)
+        joint = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while joint and (best := max(joint)) > none:
+            i = joint.index(best)
+            parts[i] += parts.pop(i + 1)
+            joint.pop(i)
+            if i:
+                joint[i - 1] = get(parts[i - 1] + parts[i], none)
+            if i < len(joint):
+                joint[i] = get(parts[i] + parts[i + 1], none)
+        return parts
+
     def compatible(self, left: int, right: int) -> bool:
         pieces = self.model.pieces
         if len(self.pairs) >= CACHED_PAIRS:

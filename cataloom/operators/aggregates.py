@@ -10,6 +10,7 @@ from pyspark.sql import Window
 
 from cataloom.functions.numbers import wilson_interval
 from cataloom.operators.windows import running_totals
+from cataloom.scratch import written
 
 # Prior rates by tier, weights of the composite and its warm-up.
 TIER_PRIORS: dict[int, dict[str, float]] = {
@@ -134,28 +135,44 @@ def distribution(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return exact_quantiles(rows, keys, value, {"median": 0.5, "p90": 0.9})
 
 
+#: Accuracy of the sketches that bracket a quantile: its rank is off by one in that many at most.
+SKETCH = 10_000
+
+
 def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str, shares: Mapping[str, float]) -> DataFrame:
     """Per key n, the linearly interpolated quantiles of the non-null values, and the maximum (most).
 
-    Values are counted, and the counts run up over range partitions, so that no task gathers the values of a key.
+    A first pass brackets each quantile by mergeable sketches, with three times their error on either side. A second one
+    counts what lies below the bracket, and by value what lies within: a few thousandths of the values, or all of them
+    where there are few. Only these are sorted, by key and quantile, and the result is exact.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("value")).agg(F.count("*").alias("n"))
-    upto = running_totals(counts, keys, ["value"], {"upto": F.col("n")})
+    names, margin = list(shares), 3.0 / SKETCH
     own = [f"__key_{k}" for k in keys]
-    sizes = upto.groupBy(*keys).agg(F.max("upto").alias("n_values"), F.max("value").alias("most")).toDF(*own, "n_values", "most")
-    held = upto.join(sizes, [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own, strict=True)]) if keys else upto.join(F.broadcast(sizes))
-    found = []
-    for name, share in shares.items():
-        place = (F.col("n_values") - 1) * F.lit(float(share))
-        low, high = (F.min(F.when(F.col("upto") > step(place), F.col("value"))).cast("double") for step in (F.floor, F.ceil))
-        rest = F.first(place - F.floor(place))
-        found.append((low + rest * (high - low)).alias(name))
-    stats = held.groupBy(*keys).agg(F.first("n_values").alias("n"), *found, F.first("most").alias("most"))
+    ends = [min(1.0, max(0.0, s + side)) for s in shares.values() for side in (-margin, margin)]
+    v = F.col(value).cast("double")
+    sketched = rows.groupBy(*keys).agg(F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), F.max(value).alias("most"), F.percentile_approx(v, ends, SKETCH).alias("ends")).toDF(*own, "n", "low", "high", "most", "ends")
+    few = F.col("n") < 3 * SKETCH
+    brackets = F.array(*[
+        F.struct(F.lit(i).alias("i"), ((F.col("n") - 1) * F.lit(float(shares[name]))).alias("place"), F.when(few, F.col("low")).otherwise(F.get("ends", F.lit(2 * i))).alias("start"), F.when(few, F.col("high")).otherwise(F.get("ends", F.lit(2 * i + 1))).alias("end"))
+        for i, name in enumerate(names)
+    ])
+    per_key = written(sketched.withColumn("brackets", brackets), "brackets")
+    on = [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own, strict=True)]
+    held = rows.where(v.isNotNull()).select(*keys, v.alias("__v"))
+    met = held.join(per_key.select(*own, "brackets"), on) if keys else held.join(F.broadcast(per_key.select("brackets")))
+    each = met.select(*own, "__v", F.explode("brackets").alias("b")).where(F.col("__v") <= F.col("b.end"))
+    inside = F.when(F.col("__v") >= F.col("b.start"), F.col("__v"))
+    counted = each.groupBy(*own, F.col("b.i").alias("i"), F.col("b.place").alias("place"), inside.alias("__v")).agg(F.count("*").alias("n"))
+    # What lies below a bracket is one row without a value, which comes first.
+    upto = counted.withColumn("upto", F.sum("n").over(Window.partitionBy(*own, "i").orderBy(F.col("__v").asc_nulls_first())))
+    low, high = (F.min(F.when(F.col("upto") > step("place"), F.col("__v"))) for step in (F.floor, F.ceil))
+    found = upto.groupBy(*own, "i").agg((low + F.first(F.col("place") - F.floor("place")) * (high - low)).alias("quantile"))
+    wide = found.groupBy(*own).agg(*[F.max(F.when(F.col("i") == i, F.col("quantile"))).alias(name) for i, name in enumerate(names)])
     if not keys:
-        return stats
-    stats = stats.toDF(*own, *stats.columns[len(keys) :])
-    out = rows.select(*keys).distinct().join(stats, [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own, strict=True)], "left")
-    return out.select(*keys, F.coalesce("n", F.lit(0)).alias("n"), *shares, "most")
+        return per_key.select("n", "most").join(F.broadcast(wide)).select("n", *names, "most") if names else per_key.select("n", "most")
+    wide = wide.toDF(*[f"{o}_" for o in own], *names)
+    out = per_key.join(wide, [F.col(o).eqNullSafe(F.col(f"{o}_")) for o in own], "left")
+    return out.select(*[F.col(o).alias(k) for k, o in zip(keys, own, strict=True)], "n", *names, "most")
 
 
 def f1_sweep(scores: DataFrame, score: str, label: str) -> DataFrame:

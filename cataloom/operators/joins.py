@@ -62,17 +62,27 @@ def tiered_match(candidates: DataFrame, inventory: DataFrame, candidate_cols: Se
     Equal title and artist: 0.99. Equal artist or surname and a similar title: 0.70 + 0.25 * similarity. Equal title: 0.70.
     """
     c, i = _prepared(candidates, *candidate_cols, "c"), _prepared(inventory, *inventory_cols, "i")
-    by_title = c.where("c_title <> ''").join(i, F.col("c_title") == F.col("i_title"))
-    by_artist = c.where("c_artist <> ''").join(i, F.col("c_artist") == F.col("i_artist"))
-    by_surname = c.where("c_surname <> ''").join(i, F.col("c_surname") == F.col("i_surname"))
-    pairs = by_title.unionByName(by_artist).unionByName(by_surname).dropDuplicates(["c_id", "i_id"])
-    sim = F.when(F.col("c_title") == "", 0.0).otherwise(text.title_similarity(F.col("c_tokens"), F.col("i_tokens")))
-    same_artist = (F.col("c_artist") != "") & ((F.col("c_artist") == F.col("i_artist")) | ((F.col("c_surname") != "") & (F.col("c_surname") == F.col("i_surname"))))
-    same_title = F.col("c_title") == F.col("i_title")
-    tier = F.when(same_title & (F.col("c_artist") == F.col("i_artist")), "exact-title-artist").when(same_artist & (sim >= near_title), "exact-artist+near-title").when(same_title & (F.col("c_title") != ""), "exact-title")
-    scored = pairs.withColumn("tier", tier).withColumn("sim", sim).where("tier IS NOT NULL")
+    # Three kinds of pairs that exclude each other: equal titles, equal artists of other titles, equal surnames of other artists.
+    same_artist = (F.col("c_artist") != "") & (F.col("c_artist") == F.col("i_artist"))
+    same_surname = (F.col("c_surname") != "") & (F.col("c_surname") == F.col("i_surname"))
+    equal_tier = F.when(F.col("c_artist") == F.col("i_artist"), "exact-title-artist").when(same_surname, "exact-artist+near-title").otherwise("exact-title")
+    equal = c.where("c_title <> ''").join(i, F.col("c_title") == F.col("i_title")).withColumn("tier", equal_tier).withColumn("sim", F.lit(1.0))
+    untitled = c.where("c_title = '' AND c_artist <> ''").join(i.where("i_title = ''"), F.col("c_artist") == F.col("i_artist")).withColumn("tier", F.lit("exact-title-artist")).withColumn("sim", F.lit(0.0))
+    parts = [equal, untitled]
+    for key, others in (("artist", F.lit(True)), ("surname", ~same_artist)):
+        # Titles repeat, so each pair of them is compared once a key.
+        titles = c.where(f"c_{key} <> '' AND c_title <> ''").select(f"c_{key}", "c_title", "c_tokens").dropDuplicates([f"c_{key}", "c_title"])
+        labels = i.where(f"i_{key} <> ''").select(f"i_{key}", "i_title", "i_tokens").dropDuplicates([f"i_{key}", "i_title"])
+        met = titles.join(labels, F.col(f"c_{key}") == F.col(f"i_{key}")).where("c_title <> i_title")
+        near = met.withColumn("sim", text.title_similarity(F.col("c_tokens"), F.col("i_tokens"))).where(F.col("sim") >= near_title).select(F.col(f"c_{key}").alias("key"), F.col("c_title").alias("title"), F.col("i_title").alias("label"), "sim")
+        found = c.join(near, (F.col(f"c_{key}") == F.col("key")) & (F.col("c_title") == F.col("title"))).join(i, (F.col(f"i_{key}") == F.col("key")) & (F.col("i_title") == F.col("label")))
+        parts.append(found.where(others).withColumn("tier", F.lit("exact-artist+near-title")))
     confidence = F.when(F.col("tier") == "exact-title-artist", 0.99).when(F.col("tier") == "exact-title", 0.70).otherwise(0.70 + 0.25 * F.col("sim"))
-    return scored.select(F.col("c_id").alias("candidate_id"), F.col("i_id").alias("inventory_id"), "tier", confidence.alias("confidence"))
+    out = None
+    for part in parts:
+        rows = part.select(F.col("c_id").alias("candidate_id"), F.col("i_id").alias("inventory_id"), "tier", confidence.alias("confidence"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def hamming_pairs(left: DataFrame, right: DataFrame, threshold: int, bits: int = 64, id_col: str = "id", hash_col: str = "hash") -> DataFrame:
@@ -89,19 +99,42 @@ def hamming_pairs(left: DataFrame, right: DataFrame, threshold: int, bits: int =
     return near.select("left_id", "right_id", "distance").distinct()
 
 
+def similar_token_sets(left: DataFrame, right: DataFrame, block: str, threshold: float) -> DataFrame:
+    """left_id, right_id, sim of rows of one block (left: left_id, block, lt; right: right_id, block, rt) whose tokens are that similar by text.title_similarity().
+
+    Of two sets so similar the smaller one shares that part of its tokens with the larger one, so one at least of its
+    rarest tokens, as many as it may lack and one more, is among them. Rows meet on those tokens only.
+    """
+    sides = {"left": left.select("left_id", block, F.col("lt").alias("tokens")), "right": right.select("right_id", block, F.col("rt").alias("tokens"))}
+    frequency = right.select(F.explode("rt").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+
+    def opened(side: str) -> DataFrame:
+        return sides[side].select(f"{side}_id", block, F.size("tokens").alias(f"{side}_size"), F.explode("tokens").alias("token"))
+
+    def rarest(side: str) -> DataFrame:
+        ranked = opened(side).join(frequency, "token", "left").groupBy(f"{side}_id", block, f"{side}_size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("ranked"))
+        kept = F.slice("ranked", 1, F.col(f"{side}_size") - F.ceil(F.col(f"{side}_size") * threshold - 1e-9).cast("int") + 1)
+        return ranked.select(f"{side}_id", block, f"{side}_size", F.explode(F.transform(kept, lambda r: r["token"])).alias("token"))
+
+    smaller_left = rarest("left").join(opened("right"), [block, "token"]).where("left_size <= right_size").select("left_id", "right_id")
+    smaller_right = rarest("right").join(opened("left"), [block, "token"]).where("right_size < left_size").select("left_id", "right_id")
+    met = smaller_left.unionByName(smaller_right).distinct().join(left.select("left_id", "lt"), "left_id").join(right.select("right_id", "rt"), "right_id")
+    return met.select("left_id", "right_id", text.title_similarity(F.col("lt"), F.col("rt")).alias("sim")).where(F.col("sim") >= threshold)
+
+
 def layered_dedup(candidates: DataFrame, archive: DataFrame, phash_threshold: int = 3, title_threshold: float = 0.85, bits: int = 64) -> DataFrame:
     """candidate_id, archive_id, layer and verdict, the cheapest decisive layer first. Both: id, digest, hash, artist, title. A row doesn't meet itself."""
     sha = candidates.join(archive.select(F.col("id").alias("archive_id"), "digest"), "digest").where("archive_id <> id").groupBy(F.col("id").alias("candidate_id")).agg(F.min("archive_id").alias("archive_id"))
     layers = [sha.select("candidate_id", "archive_id", F.lit("digest").alias("layer"), F.lit("duplicate").alias("verdict"))]
     rest = candidates.join(sha, candidates["id"] == sha["candidate_id"], "left_anti")
     near = hamming_pairs(rest.where("hash IS NOT NULL"), archive.where("hash IS NOT NULL"), phash_threshold, bits).where("left_id <> right_id")
-    best = near.groupBy(F.col("left_id").alias("candidate_id")).agg(F.min_by("right_id", F.struct("distance", "right_id")).alias("archive_id"))
+    best = written(near.groupBy(F.col("left_id").alias("candidate_id")).agg(F.min_by("right_id", F.struct("distance", "right_id")).alias("archive_id")), "near")
     layers.append(best.select("candidate_id", "archive_id", F.lit("hash").alias("layer"), F.lit("duplicate").alias("verdict")))
-    rest = rest.join(best, rest["id"] == best["candidate_id"], "left_anti")
-    c = rest.select(F.col("id").alias("candidate_id"), "artist", text.tokens(text.norm_title(F.col("title"))).alias("ct"))
-    a = archive.select(F.col("id").alias("archive_id"), "artist", text.tokens(text.norm_title(F.col("title"))).alias("at"))
-    alike = c.join(a, "artist").where("archive_id <> candidate_id").withColumn("sim", text.title_similarity(F.col("ct"), F.col("at"))).where(F.col("sim") >= title_threshold)
-    titled = alike.groupBy("candidate_id").agg(F.max_by("archive_id", F.struct("sim", -F.col("archive_id"))).alias("archive_id"))
+    rest = written(rest.join(best, rest["id"] == best["candidate_id"], "left_anti"), "rest")  # each layer is computed once
+    c = rest.select(F.col("id").alias("left_id"), "artist", text.tokens(text.norm_title(F.col("title"))).alias("lt"))
+    a = archive.select(F.col("id").alias("right_id"), "artist", text.tokens(text.norm_title(F.col("title"))).alias("rt"))
+    alike = similar_token_sets(written(c, "titles"), written(a, "titles"), "artist", title_threshold).where("left_id <> right_id").select(F.col("left_id").alias("candidate_id"), F.col("right_id").alias("archive_id"), "sim")
+    titled = written(alike.groupBy("candidate_id").agg(F.max_by("archive_id", F.struct("sim", -F.col("archive_id"))).alias("archive_id")), "titled")
     layers.append(titled.select("candidate_id", "archive_id", F.lit("title").alias("layer"), F.lit("needs_review").alias("verdict")))
     new = rest.join(titled, rest["id"] == titled["candidate_id"], "left_anti")
     layers.append(new.select(F.col("id").alias("candidate_id"), F.lit(None).cast("long").alias("archive_id"), F.lit("none").alias("layer"), F.lit("new").alias("verdict")))

@@ -93,14 +93,22 @@ def packed_sections(sections: DataFrame, keys: Sequence[str], order: Sequence[st
     return packed.withColumn("packing", F.when(F.col("taken") == F.col(tokens), "whole").when(F.col("taken") > 0, "truncated").otherwise("dropped"))
 
 
+#: Rows that one task sorts for running totals; more are sorted over range partitions.
+ONE_TASK_ROWS = 100_000
+
+
 def running_totals(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], totals: Mapping[str, Column]) -> DataFrame:
-    """rows with running totals per key in an order that is total. No task sorts a whole key.
+    """rows with running totals per key in an order that is total. No task sorts more than ONE_TASK_ROWS of a key.
 
-    Rows are sorted over range partitions and written; a total is that within the partition plus what the earlier
-    partitions of the key hold, of which there is one row a partition and key.
+    Beyond that, rows are sorted over range partitions and written; a total is that within the partition plus what the
+    earlier partitions of the key hold, of which there is one row a partition and key.
     """
     place, part = "__running_place", "__running_part"
-    held = rows.orderBy(*keys, *order).select("*", *[value.alias(name) for name, value in totals.items()])
+    base = written(rows.select("*", *[value.alias(name) for name, value in totals.items()]), "running")
+    if base.count() <= ONE_TASK_ROWS:
+        whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return base.select(*rows.columns, *[F.sum(name).over(whole).alias(name) for name in totals])
+    held = base.orderBy(*keys, *order)
     held = written(held.withColumn(place, F.monotonically_increasing_id()), "running").withColumn(part, F.shiftright(place, 33))
     per_part = held.groupBy(part, *keys).agg(*[F.sum(name).alias(name) for name in totals])
     before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)

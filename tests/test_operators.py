@@ -270,7 +270,9 @@ def test_glob(spark):
     assert hit("src/**", "src/a/b.py") and not hit("src/*", "src/a/b.py") and hit("*.md", "x.md") and not hit("a.b", "axb")
 
 
-def test_running_totals_over_range_partitions(spark):
+@pytest.mark.parametrize("one_task", [0, 10**6])
+def test_running_totals_over_range_partitions(spark, monkeypatch, one_task):
+    monkeypatch.setattr(windows, "ONE_TASK_ROWS", one_task)
     rows = spark.createDataFrame([(i % 3, (i * 37) % 101, i) for i in range(300)], "k long, o long, i long").repartition(7)
     got = {r.i: (r.t, r.n) for r in windows.running_totals(rows, ["k"], ["o", "i"], {"t": F.col("o"), "n": F.lit(1)}).collect()}
     for k in range(3):
@@ -285,6 +287,38 @@ def test_exact_quantiles(spark):
     assert got == {"a": (5, 4.0, pytest.approx(7.4), 9.0), "b": (1, 2.0, 2.0, 2.0), "c": (0, None, None, None), None: (1, 3.0, 3.0, 3.0)}
 
 
+def test_exact_quantiles_by_brackets(spark, monkeypatch):
+    """Brackets that hold a part of the values only, with many ties and a hot key."""
+    monkeypatch.setattr(aggregates, "SKETCH", 100)
+    r = np.random.default_rng(2)
+    frame = pd.DataFrame({"k": ["hot" if i % 3 else f"k{i % 2}" for i in range(30_000)], "v": np.round(r.exponential(50, 30_000), 1)})
+    frame.loc[frame.index % 7 == 0, "v"] = 12.5
+    got = {x.k: (x.n, x.q1, x.median, x.p99) for x in aggregates.exact_quantiles(spark.createDataFrame(frame).repartition(5), ["k"], "v", {"q1": 0.25, "median": 0.5, "p99": 0.99}).collect()}
+    for k, rows in frame.groupby("k"):
+        assert got[k] == (len(rows), *[pytest.approx(float(np.quantile(rows.v, q))) for q in (0.25, 0.5, 0.99)])
+    alone = aggregates.exact_quantiles(spark.createDataFrame(frame), [], "v", {"m": 0.5}).first()
+    assert alone.m == pytest.approx(float(np.median(frame.v)))
+
+
+def test_similar_token_sets_lose_nothing(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, "ab"[i % 2], sorted({f"t{int(x)}" for x in r.zipf(1.4, r.integers(1, 14)) if x < 60})) for i in range(150)]
+    rows += [(200 + i, "a", rows[i][2][:-1] or ["x"]) for i in range(40)] + [(300, "a", [])]
+    frame = spark.createDataFrame(rows, "i long, block string, t array<string>")
+    got = {(x.left_id, x.right_id) for x in joins.similar_token_sets(frame.select(F.col("i").alias("left_id"), "block", F.col("t").alias("lt")), frame.select(F.col("i").alias("right_id"), "block", F.col("t").alias("rt")), "block", 0.85).collect()}
+    expected = set()
+    for i, b, t in rows:
+        for j, c, u in rows:
+            if b == c and t and u:
+                shared = len(set(t) & set(u))
+                sim = shared / len(set(t) | set(u))
+                if min(len(t), len(u)) >= 2:
+                    sim = max(sim, shared / min(len(t), len(u)))
+                if sim >= 0.85:
+                    expected.add((i, j))
+    assert got == expected
+
+
 def test_rules_beyond_any_cap(spark):
     """Every rule counts, however many there are."""
     rules = spark.createDataFrame([(f"r{i}", f"job-{i}-", f"f{i}") for i in range(1_100)], "rule string, prefix string, fallback string")
@@ -312,3 +346,20 @@ def test_high_frequencies(spark):
     checks = np.indices((16, 16)).sum(axis=0) % 2 * 255
     ramp = np.tile(np.arange(16) * 16, (16, 1))
     assert images.high_frequency_share(checks) == pytest.approx(1.0) and images.high_frequency_share(ramp) < 0.05
+
+
+def test_a_cluster_needs_a_shared_folder():
+    """Without spark.checkpoint.dir only an application that runs on this machine alone has a scratch folder."""
+    from types import SimpleNamespace
+
+    from cataloom.scratch import shared_folder
+
+    def session(master, root=None):
+        conf = SimpleNamespace(get=lambda key, default: root or default)
+        context = SimpleNamespace(master=master, applicationId="a", getConf=lambda: conf, getCheckpointDir=lambda: "x")
+        return SimpleNamespace(sparkContext=context)
+
+    assert shared_folder(session("yarn", "hdfs://x/shared/")) == "hdfs://x/shared"
+    assert shared_folder(session("local[4]")).startswith("/tmp/")
+    with pytest.raises(ValueError):
+        shared_folder(session("yarn"))

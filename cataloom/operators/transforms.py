@@ -117,11 +117,14 @@ def near_duplicate_lines(lines: DataFrame, group: str, order: str, line: str, le
 
 def grouped_jobs(jobs: DataFrame, rules: DataFrame) -> DataFrame:
     """rule, jobs: names of the jobs whose slug a rule's prefix starts, or the rule's fallback. rules: (rule, prefix, fallback)."""
-    slugged = jobs.select("job", F.regexp_replace(F.lower("job"), "[^a-z0-9]+", "-").alias("slug"))
-    # Each prefix of a slug meets the rules by equality, so that no job is held against every rule.
-    prefixes = slugged.select("job", F.explode(F.transform(F.sequence(F.lit(0), F.length("slug")), lambda n: F.left("slug", n))).alias("prefix"))
-    hit = prefixes.join(rules.select("rule", "prefix"), "prefix").groupBy("rule").agg(F.array_sort(F.collect_set("job")).alias("jobs"))
-    return rules.join(hit, "rule", "left").select("rule", F.coalesce("jobs", F.array("fallback")).alias("jobs"))
+    # Names repeat and prefixes have few lengths: each distinct name is cut to those lengths only, and the cut names meet
+    # the rules by equality, so that no job is held against every rule. Neither side is broadcast: the size that a plan
+    # expects of the cut names is that of the file, which may be a small part of theirs.
+    lengths = rules.agg(F.collect_set(F.length("prefix")).alias("lengths"))
+    slugged = jobs.where("job IS NOT NULL").select("job").distinct().select("job", F.regexp_replace(F.lower("job"), "[^a-z0-9]+", "-").alias("slug"))
+    prefixes = slugged.join(F.broadcast(lengths)).select("job", "slug", F.explode("lengths").alias("n")).where(F.length("slug") >= F.col("n")).select("job", F.expr("left(slug, n)").alias("prefix"))
+    hit = prefixes.join(rules.select("rule", "prefix").hint("merge"), "prefix").groupBy("rule").agg(F.array_sort(F.collect_set("job")).alias("jobs"))
+    return rules.join(hit.hint("merge"), "rule", "left").select("rule", F.coalesce("jobs", F.array("fallback")).alias("jobs"))
 
 
 def tag_state(actions: DataFrame) -> DataFrame:

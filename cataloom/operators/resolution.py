@@ -22,12 +22,21 @@ def _similarity(a: str, b: str) -> Column:
     return text.title_similarity(text.tokens(text.score_fold(F.col(a))), text.tokens(text.score_fold(F.col(b))))
 
 
-def _narrowed(rows: DataFrame, keep: Column) -> DataFrame:
-    """Of each work's candidates those that a tie-break keeps; all of them if it keeps none or the tie is broken already."""
-    w = Window.partitionBy("work_id")
-    hit = F.coalesce(keep, F.lit(False))
-    counted = rows.withColumn("__hits", F.count_if(hit).over(w)).withColumn("__n", F.count("*").over(w))
-    return counted.where(hit | (F.col("__hits") == 0) | (F.col("__n") == 1)).drop("__hits", "__n")
+#: The tie-breaks, in their order.
+_BREAKS = ("held", "sane", "kin", "fits")
+
+
+def _narrowed(codes: Column, bit: int) -> Column:
+    """Of a work's codes (code, n, qid) those that a tie-break keeps; all of them if it keeps none or the tie is broken already."""
+    hits = F.filter(codes, lambda c: F.getbit(c["code"], F.lit(bit)) == 1)
+    n = F.aggregate(codes, F.lit(0).cast("long"), lambda s, c: s + c["n"])
+    return F.when((F.size(hits) == 0) | (n == 1), codes).otherwise(hits)
+
+
+def _alike(left: DataFrame, right: DataFrame, key: str, least: float) -> DataFrame:
+    """key, title, label, score of the distinct titles and labels of a key that are that similar."""
+    pairs = left.select(key, "title").distinct().join(right.select(key, "label").distinct(), key)
+    return pairs.withColumn("score", _similarity("title", "label")).where(F.col("score") >= least)
 
 
 def match_by_creator(works: DataFrame, oeuvre: DataFrame) -> DataFrame:
@@ -36,18 +45,32 @@ def match_by_creator(works: DataFrame, oeuvre: DataFrame) -> DataFrame:
     works: work_id, title, year, creator, holder, medium, height, width; oeuvre: qid, creator, label, inception,
     collection, kind, tall, wide. Candidates share the creator and nearly the best title; ties are broken by the holder,
     the year, the medium and the dimensions, in this order. A single candidate whose year is off is refused.
+
+    Titles repeat, so each pair of them is scored once a creator, and entities that no tie-break tells apart are one row
+    with their number. A work's candidates are counted by which tie-breaks they pass, so that no candidate is sorted.
     """
-    scored = works.join(oeuvre, "creator").withColumn("score", _similarity("title", "label")).where(F.col("score") >= LEAST_TITLE)
-    near = scored.withColumn("best", F.max("score").over(Window.partitionBy("work_id"))).where(F.col("score") >= F.col("best") - MARGIN)
-    sane = F.col("year").isNull() | F.col("inception").isNull() | (F.abs(F.col("year") - F.col("inception")) <= YEARS)
-    tied = _narrowed(near, F.col("collection") == F.col("holder"))
-    tied = _narrowed(tied, sane)
-    tied = _narrowed(tied, F.col("kind") == F.col("medium"))
+    scored = _alike(works, oeuvre, "creator", LEAST_TITLE)
+    near = scored.withColumn("best", F.max("score").over(Window.partitionBy("creator", "title"))).where(F.col("score") >= F.col("best") - MARGIN).select("creator", "title", "label")
+    told = ["creator", "label", "inception", "collection", "kind", "tall", "wide"]
+    entities = oeuvre.groupBy(*told).agg(F.count("*").alias("alike"), F.min("qid").alias("qid"))
+    met = works.join(near, ["creator", "title"]).join(entities, ["creator", "label"])
     pair = F.array_sort(F.array(F.col("height").cast("double"), F.col("width").cast("double")))
     size = F.array_sort(F.array(F.col("tall").cast("double"), F.col("wide").cast("double")))
     known = F.col("height").isNotNull() & F.col("width").isNotNull() & F.col("tall").isNotNull() & F.col("wide").isNotNull()
-    tied = _narrowed(tied, known & (numbers.dimension_compat(pair, size, TOLERANCE) == "match"))
-    outcome = tied.groupBy("work_id").agg(F.count("*").alias("n"), F.min("qid").alias("qid"), F.bool_and(sane).alias("sane"))
+    passes = {
+        "held": F.col("collection") == F.col("holder"),
+        "sane": F.col("year").isNull() | F.col("inception").isNull() | (F.abs(F.col("year") - F.col("inception")) <= YEARS),
+        "kin": F.col("kind") == F.col("medium"),
+        "fits": known & (numbers.dimension_compat(pair, size, TOLERANCE) == "match"),
+    }
+    code = F.lit(0)
+    for bit, name in enumerate(_BREAKS):
+        code = code + F.when(passes[name], 1 << bit).otherwise(0)
+    counted = met.select("work_id", "alike", "qid", code.alias("code")).groupBy("work_id", "code").agg(F.sum("alike").alias("n"), F.min("qid").alias("qid"))
+    codes = counted.groupBy("work_id").agg(F.collect_list(F.struct("code", "n", "qid")).alias("codes"))
+    for bit in range(len(_BREAKS)):
+        codes = codes.select("work_id", _narrowed(F.col("codes"), bit).alias("codes"))
+    outcome = codes.select("work_id", F.aggregate("codes", F.lit(0).cast("long"), lambda s, c: s + c["n"]).alias("n"), F.array_min(F.transform("codes", lambda c: c["qid"])).alias("qid"), F.forall("codes", lambda c: F.getbit(c["code"], F.lit(_BREAKS.index("sane"))) == 1).alias("sane"))
     reason = F.when(F.col("n") > 1, "ambiguous").when(~F.col("sane"), "year-mismatch").otherwise("match")
     judged = outcome.select("work_id", F.when(reason == "match", F.col("qid")).alias("qid"), reason.alias("found"))
     creators = oeuvre.select("creator", F.lit(True).alias("has_works")).distinct()

@@ -91,14 +91,19 @@ def match_by_title(works: DataFrame, entities: DataFrame) -> DataFrame:
 
 def match_by_variants(works: DataFrame, oeuvre: DataFrame, least: float = 0.75) -> DataFrame:
     """work_id, qid, reason: one entity of the creator with a variant of the title, equal or within it in order, and a year that agrees; the year is required."""
-    variants = works.select("work_id", "creator", "year", F.explode(F.transform(text.title_variants(F.col("title")), lambda v: v["variant"])).alias("variant"))
-    met = variants.join(oeuvre.select("creator", "label", "qid", "inception"), "creator")
+    # Titles repeat, so each variant meets each label of its creator once; then works meet the labels that were hit, by year.
+    variants = works.select("creator", "title").distinct().select("creator", "title", F.explode(F.transform(text.title_variants(F.col("title")), lambda v: v["variant"])).alias("variant"))
+    met = variants.select("creator", "variant").distinct().join(oeuvre.select("creator", "label").distinct(), "creator")
     own, other = text.tokens(text.score_fold(F.col("variant"))), text.tokens(text.score_fold(F.col("label")))
     contained = (F.size(own) >= 2) & (text.ordered_containment(own, other) >= least)
-    hits = met.where((F.array_join(own, " ") == F.array_join(other, " ")) & (F.size(own) > 0) | contained).where(F.abs(F.col("year") - F.col("inception")) <= YEARS)
-    found = hits.groupBy("work_id").agg(F.count_distinct("qid").alias("n"), F.min("qid").alias("qid"))
-    reason = F.when(F.col("n").isNull(), "no-hit").when(F.col("n") > 1, "ambiguous").otherwise("match")
-    return works.select("work_id").join(found, "work_id", "left").select("work_id", F.when(reason == "match", F.col("qid")).alias("qid"), reason.alias("reason"))
+    hits = met.where((F.array_join(own, " ") == F.array_join(other, " ")) & (F.size(own) > 0) | contained)
+    labels = variants.join(hits, ["creator", "variant"]).select("creator", "title", "label").distinct()
+    # More than one entity hit means that the least and the greatest differ, so no list of them is needed.
+    dated = labels.join(oeuvre.groupBy("creator", "label", "inception").agg(F.min("qid").alias("low"), F.max("qid").alias("high")), ["creator", "label"]).groupBy("creator", "title", "inception").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    asked = works.select("creator", "title", "year").distinct()
+    found = asked.join(dated, ["creator", "title"]).where(F.abs(F.col("year") - F.col("inception")) <= YEARS).groupBy("creator", "title", "year").agg(F.min("low").alias("qid"), F.max("high").alias("high"))
+    reason = F.when(F.col("qid").isNull(), "no-hit").when(F.col("qid") != F.col("high"), "ambiguous").otherwise("match")
+    return works.select("work_id", "creator", "title", "year").join(found, ["creator", "title", "year"], "left").select("work_id", F.when(reason == "match", F.col("qid")).alias("qid"), reason.alias("reason"))
 
 
 def holders(matches: DataFrame, entities: DataFrame, immovable: DataFrame) -> DataFrame:

@@ -88,7 +88,12 @@ def test_entity_match_ratio(spark):
         best = max(scores.values(), default=0.0)
         if best >= 0.93:
             expected |= {(a, b) for b, s in scores.items() if s >= best - 0.04}
-    assert {(r.id, r.qid) for r in run(spark, "entity_match_ratio")} == expected
+    rows = run(spark, "entity_match_ratio")
+    members = [r for r in rows if r.kind == "member"]
+    links = {(r.id, r.other_id) for r in rows if r.kind == "link"}
+    assert sorted(r.id for r in members) == sorted(folded)
+    assert {(a.id, b.id) for a in members for b in members if a.id != b.id and (a.other_id, b.other_id) in links} == expected
+    assert {r.id: r.n_links for r in members} == {a: sum(x == a for x, _ in expected) for a in folded}
 
 
 def test_image_kernels(spark):

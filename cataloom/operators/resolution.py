@@ -18,25 +18,38 @@ from cataloom.functions import numbers, text
 LEAST_TITLE, MARGIN, YEARS, TOLERANCE = 0.90, 0.04, 2, 0.05
 
 
-def _similarity(a: str, b: str) -> Column:
-    return text.title_similarity(text.tokens(text.score_fold(F.col(a))), text.tokens(text.score_fold(F.col(b))))
+#: The tie-breaks, in their order, and what each weighs: more than all later ones together.
+_BREAKS = {"held": 8, "sane": 4, "kin": 2, "fits": 1}
 
 
-#: The tie-breaks, in their order.
-_BREAKS = ("held", "sane", "kin", "fits")
+def _alike(left: DataFrame, right: DataFrame, key: str, least: float) -> DataFrame:
+    """key, title, label, score of the distinct titles and labels of a key that are that similar.
+
+    Each is folded once. Of two token sets so similar the smaller shares that part of its tokens with the larger, so of
+    any of its tokens, as many as it may lack and one more, the larger holds one. Titles meet labels on such tokens of
+    the smaller set (its longest ones) only, and each pair on the first that both have.
+    """
 
+    def opened(rows: DataFrame, name: str, other: str) -> DataFrame:
+        """A row a token: the leading ones meet all of the larger sets (lead: this side), all meet the leading ones of smaller sets."""
+        sets = rows.select(key, name).distinct().select(key, name, text.tokens(text.score_fold(F.col(name))).alias("all"))
+        ranked = F.transform(F.array_sort(F.transform("all", lambda t: F.struct(-F.length(t), t.alias("token")))), lambda r: r["token"])
+        sets = sets.select(key, name, F.col("all").alias(f"{name}_all"), F.slice(ranked, 1, F.size("all") - F.ceil(F.size("all") * least - 1e-9).cast("int") + 1).alias(f"{name}_leading"))
+        met = F.concat(F.transform(f"{name}_leading", lambda t: F.struct(F.lit(name).alias("lead"), t.alias("token"))), F.transform(f"{name}_all", lambda t: F.struct(F.lit(other).alias("lead"), t.alias("token"))))
+        return sets.select("*", F.explode(met).alias("met")).select(key, name, f"{name}_all", f"{name}_leading", "met.lead", "met.token")
 
-def _narrowed(codes: Column, bit: int) -> Column:
-    """Of a work's codes (code, n, qid) those that a tie-break keeps; all of them if it keeps none or the tie is broken already."""
-    hits = F.filter(codes, lambda c: F.getbit(c["code"], F.lit(bit)) == 1)
-    n = F.aggregate(codes, F.lit(0).cast("long"), lambda s, c: s + c["n"])
-    return F.when((F.size(hits) == 0) | (n == 1), codes).otherwise(hits)
+    pairs = opened(left, "title", "label").join(opened(right, "label", "title"), [key, "lead", "token"])
+    own, other, smaller = F.col("title_all"), F.col("label_all"), F.size("title_all") <= F.size("label_all")
+    common = F.when(smaller, F.array_intersect("title_leading", other)).otherwise(F.array_intersect("label_leading", own))
+    once = pairs.where((F.col("lead") == F.when(smaller, "title").otherwise("label")) & (F.try_element_at(common, F.lit(1)) == F.col("token")))
+    return once.select(key, "title", "label", text.title_similarity(own, other).alias("score")).where(F.col("score") >= least)
 
 
-def _alike(left: DataFrame, right: DataFrame, key: str, least: float) -> DataFrame:
-    """key, title, label, score of the distinct titles and labels of a key that are that similar."""
-    pairs = left.select(key, "title").distinct().join(right.select(key, "label").distinct(), key)
-    return pairs.withColumn("score", _similarity("title", "label")).where(F.col("score") >= least)
+def _sides(a: str, b: str) -> tuple[Column, Column]:
+    """The shorter and the longer of two lengths, null if either is."""
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    known = x.isNotNull() & y.isNotNull()
+    return F.when(known, F.least(x, y)), F.when(known, F.greatest(x, y))
 
 
 def match_by_creator(works: DataFrame, oeuvre: DataFrame) -> DataFrame:
@@ -47,32 +60,33 @@ def match_by_creator(works: DataFrame, oeuvre: DataFrame) -> DataFrame:
     the year, the medium and the dimensions, in this order. A single candidate whose year is off is refused.
 
     Titles repeat, so each pair of them is scored once a creator, and entities that no tie-break tells apart are one row
-    with their number. A work's candidates are counted by which tie-breaks they pass, so that no candidate is sorted.
+    with their number. A tie-break keeps the candidates that pass it, or all if none does, so those left in the end are
+    those whose passes, read as a number with the first tie-break in front, are the greatest.
     """
     scored = _alike(works, oeuvre, "creator", LEAST_TITLE)
     near = scored.withColumn("best", F.max("score").over(Window.partitionBy("creator", "title"))).where(F.col("score") >= F.col("best") - MARGIN).select("creator", "title", "label")
     told = ["creator", "label", "inception", "collection", "kind", "tall", "wide"]
     entities = oeuvre.groupBy(*told).agg(F.count("*").alias("alike"), F.min("qid").alias("qid"))
-    met = works.join(near, ["creator", "title"]).join(entities, ["creator", "label"])
-    pair = F.array_sort(F.array(F.col("height").cast("double"), F.col("width").cast("double")))
-    size = F.array_sort(F.array(F.col("tall").cast("double"), F.col("wide").cast("double")))
-    known = F.col("height").isNotNull() & F.col("width").isNotNull() & F.col("tall").isNotNull() & F.col("wide").isNotNull()
+    low, high = _sides("tall", "wide")
+    entities = entities.select("creator", "label", "inception", "collection", "kind", low.alias("low"), high.alias("high"), "alike", "qid")
+    low, high = _sides("height", "width")
+    asked = works.select("work_id", "creator", "title", "year", "holder", "medium", low.alias("w_low"), high.alias("w_high"))
+    # Dealt by work: equal titles spread over all tasks, and what follows needs no other order.
+    met = asked.join(near, ["creator", "title"]).drop("title").repartition("work_id").join(entities, ["creator", "label"])
     passes = {
         "held": F.col("collection") == F.col("holder"),
         "sane": F.col("year").isNull() | F.col("inception").isNull() | (F.abs(F.col("year") - F.col("inception")) <= YEARS),
         "kin": F.col("kind") == F.col("medium"),
-        "fits": known & (numbers.dimension_compat(pair, size, TOLERANCE) == "match"),
+        "fits": F.greatest(numbers.relative_delta(F.col("w_low"), F.col("low")), numbers.relative_delta(F.col("w_high"), F.col("high"))) <= TOLERANCE,
     }
     code = F.lit(0)
-    for bit, name in enumerate(_BREAKS):
-        code = code + F.when(passes[name], 1 << bit).otherwise(0)
+    for name, weight in _BREAKS.items():
+        code = code + F.when(passes[name], weight).otherwise(0)
     counted = met.select("work_id", "alike", "qid", code.alias("code")).groupBy("work_id", "code").agg(F.sum("alike").alias("n"), F.min("qid").alias("qid"))
-    codes = counted.groupBy("work_id").agg(F.collect_list(F.struct("code", "n", "qid")).alias("codes"))
-    for bit in range(len(_BREAKS)):
-        codes = codes.select("work_id", _narrowed(F.col("codes"), bit).alias("codes"))
-    outcome = codes.select("work_id", F.aggregate("codes", F.lit(0).cast("long"), lambda s, c: s + c["n"]).alias("n"), F.array_min(F.transform("codes", lambda c: c["qid"])).alias("qid"), F.forall("codes", lambda c: F.getbit(c["code"], F.lit(_BREAKS.index("sane"))) == 1).alias("sane"))
-    reason = F.when(F.col("n") > 1, "ambiguous").when(~F.col("sane"), "year-mismatch").otherwise("match")
-    judged = outcome.select("work_id", F.when(reason == "match", F.col("qid")).alias("qid"), reason.alias("found"))
+    outcome = counted.groupBy("work_id").agg(F.max(F.struct("code", "n", "qid")).alias("left"))
+    sane = F.col("left.code").bitwiseAND(_BREAKS["sane"]) != 0
+    reason = F.when(F.col("left.n") > 1, "ambiguous").when(~sane, "year-mismatch").otherwise("match")
+    judged = outcome.select("work_id", F.when(reason == "match", F.col("left.qid")).alias("qid"), reason.alias("found"))
     creators = oeuvre.select("creator", F.lit(True).alias("has_works")).distinct()
     out = works.select("work_id", "creator").join(creators, "creator", "left").join(judged, "work_id", "left")
     missing = F.when(F.col("creator").isNull(), "no-creator").when(F.col("has_works").isNull(), "no-works").otherwise("below-threshold")

@@ -94,12 +94,17 @@ def match_by_creator(works: DataFrame, oeuvre: DataFrame) -> DataFrame:
 
 
 def match_by_title(works: DataFrame, entities: DataFrame) -> DataFrame:
-    """work_id, qid, reason: the one entity of that folded title. Uniqueness is judged among all, before the year is."""
-    e = entities.select(text.score_fold(F.col("label")).alias("folded"), "qid", "inception").where("folded <> ''")
-    per_title = e.groupBy("folded").agg(F.count_distinct("qid").alias("n"), F.min("qid").alias("qid"), F.min("inception").alias("inception"))
-    joined = works.select("work_id", "year", text.score_fold(F.col("title")).alias("folded")).join(per_title, "folded", "left")
+    """work_id, qid, reason: the one entity of that folded title. Uniqueness is judged among all, before the year is.
+
+    Titles repeat, so each is folded once; more than one entity means that the least and the greatest differ.
+    """
+    labels = entities.groupBy("label").agg(F.min("qid").alias("qid"), F.max("qid").alias("high"), F.min("inception").alias("inception"))
+    e = labels.select(text.score_fold(F.col("label")).alias("folded"), "qid", "high", "inception").where("folded <> ''")
+    per_title = e.groupBy("folded").agg(F.min("qid").alias("qid"), F.max("high").alias("high"), F.min("inception").alias("inception"))
+    titles = works.select("title").distinct().select("title", text.score_fold(F.col("title")).alias("folded")).join(per_title, "folded").select("title", F.lit(True).alias("hit"), "qid", "high", "inception")
+    joined = works.select("work_id", "year", "title").join(titles, "title", "left")
     off = F.abs(F.col("year") - F.col("inception")) > YEARS
-    reason = F.when(F.col("n").isNull(), "no-hit").when(F.col("n") > 1, "ambiguous").when(F.coalesce(off, F.lit(False)), "year-mismatch").otherwise("match")
+    reason = F.when(F.col("hit").isNull(), "no-hit").when(F.col("qid") != F.col("high"), "ambiguous").when(F.coalesce(off, F.lit(False)), "year-mismatch").otherwise("match")
     return joined.select("work_id", F.when(reason == "match", F.col("qid")).alias("qid"), reason.alias("reason"))
 
 
@@ -170,13 +175,15 @@ def resolve(works: DataFrame, strategies: Mapping[str, Strategy], plan_version:
     A work is due unless an earlier plan of this version or a later one has retired it (retired_at). Strategies run in
     order over what is left; tried lists name:reason of each. What none resolves is retired at this plan's version.
     """
-    due = works.where(F.coalesce(F.col("retired_at"), F.lit(-1)) < plan_version)
-    rest, done = due.drop("retired_at").withColumn("tried", F.array().cast("array<string>")), None
+    due = works.where(F.coalesce(F.col("retired_at"), F.lit(-1)) < plan_version).drop("retired_at")
+    chain = due.select("*", F.array().cast("array<string>").alias("tried"))
+    done = None
     for name, strategy in strategies.items():
-        found = strategy(rest.drop("tried")).select("work_id", F.col("qid").alias("found_qid"), "reason")
-        judged = rest.join(found, "work_id", "left").withColumn("tried", F.concat("tried", F.array(F.concat(F.lit(f"{name}:"), F.coalesce("reason", F.lit("skipped"))))))
-        hit = judged.where("found_qid IS NOT NULL").select("work_id", F.col("found_qid").alias("qid"), F.lit(name).alias("method"), "tried", F.lit(None).cast("int").alias("retired_at"))
-        done = hit if done is None else done.unionByName(hit)
-        rest = judged.where("found_qid IS NULL").drop("found_qid", "reason")
-    left = rest.select("work_id", F.lit(None).cast(dict(done.dtypes)["qid"]).alias("qid"), F.lit(None).cast("string").alias("method"), "tried", F.lit(plan_version).alias("retired_at"))
-    return done.unionByName(left)
+        # The outcomes join one chain of all due works: hits split from the rest would each run every strategy before.
+        rest = chain if done is None else chain.where("found_qid IS NULL").drop("found_qid", "found_by")
+        found = strategy(rest.drop("tried")).select("work_id", F.col("qid").alias("new_qid"), "reason")
+        left, hit = F.lit(True) if done is None else F.col("found_qid").isNull(), F.col("new_qid").isNotNull()
+        tried = F.when(left, F.concat("tried", F.array(F.concat(F.lit(f"{name}:"), F.coalesce("reason", F.lit("skipped")))))).otherwise(F.col("tried"))
+        qid, by = (F.col("new_qid"), F.when(hit, name)) if done is None else (F.coalesce("found_qid", "new_qid"), F.coalesce("found_by", F.when(hit, name)))
+        chain = done = chain.join(found, "work_id", "left").select(*due.columns, tried.alias("tried"), qid.alias("found_qid"), by.alias("found_by"))
+    return done.select("work_id", F.col("found_qid").alias("qid"), F.col("found_by").alias("method"), "tried", F.when(F.col("found_qid").isNull(), plan_version).alias("retired_at"))

@@ -87,3 +87,52 @@ def test_titles_of_a_creator_meet_on_tokens_and_are_folded_once(spark, tmp_path)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     pairs = [line for line in plan.splitlines() if "Join Inner" in line and "token" in line]
     assert pairs and len(plan) < 40_000
+
+
+def test_a_chain_runs_no_strategy_again_for_its_hits(spark):
+    """Each strategy judges what is left; one has no outcome for some works. The plan had the first of three strategies eleven times."""
+    rows = [(k, k % 7, [None, 1, 2, 3][k % 4]) for k in range(120)]
+    works = spark.createDataFrame(rows, "work_id long, a int, retired_at int")
+
+    def strategy(name, condition):
+        return lambda rest: rest.where("a <> 6").select("work_id", F.when(condition, F.col("work_id") + 1000).alias("qid"), F.concat(F.lit(f"mark-{name}"), F.when(condition, "").otherwise("-no")).alias("reason"))
+
+    chain = {"one": strategy("one", F.col("a") < 2), "two": strategy("two", F.col("a") < 4), "three": strategy("three", F.col("a") == 4)}
+    out = resolution.resolve(works, chain, 2)
+    expected = {}
+    for k, a, retired in rows:
+        if (-1 if retired is None else retired) >= 2:
+            continue
+        tried, method = [], None
+        for name, hit in (("one", a < 2), ("two", a < 4), ("three", a == 4)):
+            if method is None:
+                tried.append(f"{name}:" + ("skipped" if a == 6 else f"mark-{name}" + ("" if hit else "-no")))
+                method = name if hit else None
+        expected[k] = (None if method is None else k + 1000, method, tried, 2 if method is None else None)
+    assert {r.work_id: (r.qid, r.method, r.tried, r.retired_at) for r in out.collect()} == expected and out.count() == len(expected)
+    assert out.columns == ["work_id", "qid", "method", "tried", "retired_at"]
+    runs = out.select("*", F.lit("x").alias("y"))._jdf.queryExecution().analyzed().toString()
+    assert [runs.count(f"(mark-{name}, ") for name in chain] == [4, 2, 1]
+
+
+def test_title_matches_of_copies_and_odd_titles(spark):
+    """Works and entities of many copies, without a title or identifier, and titles that fold alike."""
+    entities = [(k, label, year) for k, (label, year) in enumerate([("Red cup", 1900), ("the red cup 1888", 1900), ("Jar", 1950), ("Jar", None), ("Lone", 1900), ("A plate", None), ("", 1900), (None, 1900), ("!", 1900)])] + [(None, "Lid", 1900), (4, "lone", 1920)]
+    titles = ["RED CUP", "jar", "The lone", "plate", "", None, "lid", "no such", "lone 1999"]
+    rows = [(i * 10 + j, t, y) for i, t in enumerate(titles) for j, y in enumerate([None, 1901, 1960])]
+    fold = {"RED CUP": "red cup", "The lone": "lone", "lone 1999": "lone", None: ""}
+    known = {"red cup": ({0, 1}, 1900), "jar": ({2, 3}, 1950), "lone": ({4}, 1900), "plate": ({5}, None), "lid": (set(), 1900)}
+
+    def outcome(title, year):
+        ids, inception = known.get(fold.get(title, title), (None, None))
+        if ids is None:
+            return None, "no-hit"
+        if len(ids) > 1:
+            return None, "ambiguous"
+        if year is not None and inception is not None and abs(year - inception) > resolution.YEARS:
+            return None, "year-mismatch"
+        return (min(ids) if ids else None), "match"
+
+    out = resolution.match_by_title(spark.createDataFrame(rows, "work_id long, title string, year int"), spark.createDataFrame(entities, "qid long, label string, inception int"))
+    assert {r.work_id: (r.qid, r.reason) for r in out.collect()} == {k: outcome(t, y) for k, t, y in rows}
+    assert "Aggregate [label" in out._jdf.queryExecution().optimizedPlan().toString()

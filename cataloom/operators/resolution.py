@@ -27,14 +27,20 @@ def _alike(left: DataFrame, right: DataFrame, key: str, least: float) -> DataFra
 
     Each is folded once. Of two token sets so similar the smaller shares that part of its tokens with the larger, so of
     any of its tokens, as many as it may lack and one more, the larger holds one. Titles meet labels on such tokens of
-    the smaller set (its longest ones) only, and each pair on the first that both have.
+    the smaller set (those in the fewest labels of the key) only, and each pair on the first that both have.
     """
 
+    def worded(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(key, name).distinct().select(key, name, F.explode(text.tokens(text.score_fold(F.col(name)))).alias("token"))
+
+    frequency = worded(right, "label").groupBy(key, "token").agg(F.count("*").alias("df"))
+
     def opened(rows: DataFrame, name: str, other: str) -> DataFrame:
         """A row a token: the leading ones meet all of the larger sets (lead: this side), all meet the leading ones of smaller sets."""
-        sets = rows.select(key, name).distinct().select(key, name, text.tokens(text.score_fold(F.col(name))).alias("all"))
-        ranked = F.transform(F.array_sort(F.transform("all", lambda t: F.struct(-F.length(t), t.alias("token")))), lambda r: r["token"])
-        sets = sets.select(key, name, F.col("all").alias(f"{name}_all"), F.slice(ranked, 1, F.size("all") - F.ceil(F.size("all") * least - 1e-9).cast("int") + 1).alias(f"{name}_leading"))
+        ranked = worded(rows, name).join(frequency, [key, "token"], "left").groupBy(key, name).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("ranked"))
+        sets = ranked.select(key, name, F.col("ranked.token").alias(f"{name}_all"))
+        size = F.size(f"{name}_all")
+        sets = sets.select("*", F.slice(f"{name}_all", 1, size - F.ceil(size * least - 1e-9).cast("int") + 1).alias(f"{name}_leading"))
         met = F.concat(F.transform(f"{name}_leading", lambda t: F.struct(F.lit(name).alias("lead"), t.alias("token"))), F.transform(f"{name}_all", lambda t: F.struct(F.lit(other).alias("lead"), t.alias("token"))))
         return sets.select("*", F.explode(met).alias("met")).select(key, name, f"{name}_all", f"{name}_leading", "met.lead", "met.token")
 

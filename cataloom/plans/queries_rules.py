@@ -130,9 +130,10 @@ def research_needs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH d AS (SELECT l_orderkey, arg_max(l_returnflag, (l_shipdate, l_linenumber)) AS decision FROM lineitem WHERE l_tax > 0.05 GROUP BY 1) SELECT o_orderkey, coalesce(decision, 'pending') AS decision FROM orders LEFT JOIN d ON l_orderkey = o_orderkey""",
 )
 def last_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Several lines of an order may share date and number; arg_max keeps the first of them in the table's own order, which is that of its files and their rows."""
+    """A date or number that is null comes after all others, as in arg_max over pairs. Several lines of an order may share date and number; arg_max on one thread keeps the first of them in the table's own order, which is that of its files and their rows."""
+    line = F.struct(F.isnull("l_shipdate").alias("no_date"), "l_shipdate", F.isnull("l_linenumber").alias("no_number"), "l_linenumber")
     place = F.struct("_metadata.file_path", "_metadata.row_index")
-    d = table(spark, sf_dir, "lineitem").where("l_tax > 0.05").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("decision"), F.struct("l_shipdate", "l_linenumber").alias("line"), place.alias("place"))
+    d = table(spark, sf_dir, "lineitem").where("l_tax > 0.05").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("decision"), line.alias("line"), place.alias("place"))
     judged = joins.last_decision(table(spark, sf_dir, "orders").select("o_orderkey"), d, "o_orderkey", "decision", "line", "place")
     return judged.select("o_orderkey", F.coalesce("decision", F.lit("pending")).alias("decision"))
 
